@@ -12,6 +12,7 @@ from threadmine.functions.ids import text_id
 from threadmine.operators import search as Q
 from threadmine.operators.rerank import judgments, rerank
 from threadmine.plans.index import SparseIndex
+from threadmine.session import stage
 
 
 def candidate_lists(
@@ -60,12 +61,14 @@ def retrieve_and_rerank(
     """Search with both variants of each query, combine, re-rank by the first variant's text.
 
     ``queries`` is ``(*keys, variant, text, vector)``. Both variants go through one search.
+    The lists (at most ``2 * limit`` rows per query) are written after the search and after
+    re-ranking: each is read several times from there on, and the search must not run again.
     """
-    hits = hybrid_search(queries, docs, vectors, [*keys, "variant"], limit, alpha, index=index)
+    hits = stage(hybrid_search(queries, docs, vectors, [*keys, "variant"], limit, alpha, index=index), "hits")
     order = F.when(F.col("variant") == variants[0], 0).otherwise(1) * 1_000_000 + F.col("rank")
-    combined = Q.combine_best(hits, keys, order)
+    combined = stage(Q.combine_best(hits, keys, order), "combined")
     main = queries.where(F.col("variant") == variants[0]).select(*keys, "text")
-    reranked = rerank(combined.drop("rank"), main, keys, limit, max_chars)
+    reranked = stage(rerank(combined.drop("rank"), main, keys, limit, max_chars), "reranked")
     return Retrieval(hits, combined, reranked, judgments(reranked, keys))
 
 
