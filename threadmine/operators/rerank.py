@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmine.functions.ids import text_id
@@ -25,40 +25,34 @@ def bm25_scores(
     candidates. A term in more than half of them has a negative IDF and gets
     ``epsilon`` times the mean IDF instead. Repeated query words count repeatedly.
     ``max_chars`` cuts the texts first; the default reads them whole.
+
+    A query's candidates are a short list (two searches' limit), so everything is
+    computed where the query's rows are: one shuffle by query, then windows whose
+    keys extend it.
     """
     text = F.col("text") if max_chars is None else clip(F.col("text"), max_chars)
-    tokens = candidates.select(*keys, "position", tokenize_words(text).alias("_t"))
-    lengths = tokens.select(*keys, "position", F.size("_t").alias("_len"))
-    terms = (
-        tokens.select(*keys, "position", F.size("_t").alias("_len"), F.explode_outer("_t").alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy(*keys, "position", "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    corpus = lengths.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_len").alias("_avg")
-    )
-    df = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_df"))
-    raw = df.join(corpus, keys).withColumn(
-        "_idf", F.log(F.col("_n") - F.col("_df") + F.lit(0.5)) - F.log(F.col("_df") + F.lit(0.5))
+    asked = queries.select(*keys, tokenize_words(F.col("text")).alias("_asked"))
+    by_query, by_term = Window.partitionBy(*keys), Window.partitionBy(*keys, "term")
+    tokens = (
+        candidates.select(*keys, "position", tokenize_words(text).alias("_t")).join(asked, keys)
+        .withColumns({"_n": F.count(F.lit(1)).over(by_query), "_avg": F.avg(F.size("_t")).over(by_query)})
     )
-    mean = raw.groupBy(*keys).agg(F.avg("_idf").alias("_mean"))
-    asked = (
-        queries.select(*keys, F.explode(tokenize_words(F.col("text"))).alias("term"))
-        .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_q"))
-    )
-    wanted = (
-        asked.join(raw.select(*keys, "term", "_idf", "_avg"), [*keys, "term"]).join(mean, keys)
-        .withColumn("_idf", F.when(F.col("_idf") < 0, F.lit(epsilon) * F.col("_mean")).otherwise(F.col("_idf")))
-    )
-    tf = F.col("tf")
-    norm = tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("_len") / F.col("_avg"))
-    scored = (
-        terms.join(wanted, [*keys, "term"])
-        .groupBy(*keys, "position")
-        .agg(F.sum(F.col("_q") * F.col("_idf") * tf * F.lit(k1 + 1.0) / norm).alias("bm25"))
+    terms = (
+        tokens.select(
+            *keys, "position", "_n", "_avg", "_asked", F.size("_t").alias("_len"), F.explode_outer("_t").alias("term")
+        )
+        # A text without words stays as one row without term, and scores 0.
+        .groupBy(*keys, "position", "_n", "_avg", "_asked", "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
+        .withColumn("_df", F.when(F.col("term").isNotNull(), F.count(F.lit(1)).over(by_term)))
+        .withColumn("_idf", F.log(F.col("_n") - F.col("_df") + F.lit(0.5)) - F.log(F.col("_df") + F.lit(0.5)))
+        # Mean over distinct terms: a term has _df rows here and weighs 1 / _df in each.
+        .withColumn("_mean", F.sum(F.col("_idf") / F.col("_df")).over(by_query) / F.sum(F.lit(1.0) / F.col("_df")).over(by_query))
     )
-    return lengths.select(*keys, "position").join(scored, [*keys, "position"], "left").withColumn(
-        "bm25", F.coalesce("bm25", F.lit(0.0))
+    q = F.size(F.filter("_asked", lambda t: t == F.col("term")))
+    idf = F.when(F.col("_idf") < 0, F.lit(epsilon) * F.col("_mean")).otherwise(F.col("_idf"))
+    norm = F.col("_tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("_len") / F.col("_avg"))
+    return terms.groupBy(*keys, "position").agg(
+        F.coalesce(F.sum(q * idf * F.col("_tf") * F.lit(k1 + 1.0) / norm), F.lit(0.0)).alias("bm25")
     )
 
 
@@ -72,15 +66,15 @@ def rerank(
     relevance. Columns added: ``rank``, ``bm25`` and ``relevance`` (BM25 scaled to
     0..1 within the query's candidates, null if it was not re-ranked).
     """
+    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     scored = scaled(bm25_scores(candidates, queries, keys, max_chars), keys, "bm25", "relevance")
-    sizes = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = candidates.join(scored, [*keys, "position"]).join(sizes, keys)
     reranked = F.col("_n") > limit
-    rows = rows.withColumn("bm25", F.when(reranked, F.col("bm25"))).withColumn(
-        "relevance", F.when(reranked, F.col("relevance"))
+    scored = scored.withColumn("_n", size).select(
+        *keys, "position", F.when(reranked, F.col("bm25")).alias("bm25"),
+        F.when(reranked, F.col("relevance")).alias("relevance"),
     )
     order = [score_key(F.coalesce("relevance", F.lit(0.0))).desc(), F.col("position")]
-    return top_k(rows, keys, order, limit).drop("_n")
+    return candidates.join(top_k(scored, keys, order, limit), [*keys, "position"])
 
 
 def judgments(reranked: DataFrame, keys: list[str]) -> DataFrame:

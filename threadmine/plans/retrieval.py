@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadmine.functions import text as X
 from threadmine.functions.ids import text_id
 from threadmine.operators import search as Q
+from threadmine.operators import weights as W
 from threadmine.operators.rerank import judgments, rerank
 from threadmine.plans.index import SparseIndex
 from threadmine.session import stage
@@ -17,14 +18,21 @@ from threadmine.session import stage
 
 def candidate_lists(
     queries: DataFrame, docs: DataFrame, vectors: DataFrame, keys: list[str], limit: int = Q.LIMIT,
-    index: SparseIndex | None = None,
+    index: SparseIndex | None = None, size: Q.QuerySize | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Dense and sparse lists of ``3 * limit`` documents per query."""
-    index = index or SparseIndex.of(docs)
+    """Dense and sparse lists of ``3 * limit`` documents per query.
+
+    Without a stored ``index`` the postings are made from ``docs`` on the fly and
+    only the frequency of the terms that are asked for is counted.
+    """
+    size = size or Q.QuerySize.of(queries)
     k = limit * Q.OVERFETCH
-    dense = Q.dense_topk(queries, vectors, keys, k)
-    sparse = Q.ranked(Q.sparse_scores(queries, index.postings, index.n_docs, keys), keys, k)
-    return dense, sparse
+    post = index.postings if index else W.postings(docs)
+    n_docs = index.n_docs if index else W.count_rows(docs)
+    scores = Q.sparse_scores(
+        queries, post, n_docs, keys, index.terms if index else None, bounded=size.terms_bounded
+    )
+    return Q.dense_topk(queries, vectors, keys, k), Q.ranked(scores, keys, k)
 
 
 def hybrid_search(
@@ -38,8 +46,10 @@ def hybrid_search(
     document ``columns`` (the text by default).
     """
     columns = columns or ["text"]
-    dense, sparse = candidate_lists(queries, docs, vectors, keys, limit, index)
-    fused = Q.with_text(Q.rrf_fuse(dense, sparse, keys, alpha, rrf_k), docs, columns)
+    size = Q.QuerySize.of(queries)
+    dense, sparse = candidate_lists(queries, docs, vectors, keys, limit, index, size)
+    fused = Q.rrf_fuse(dense, sparse, keys, alpha, rrf_k)
+    fused = Q.with_text(fused, docs, columns, size.hits_bounded(2 * limit * Q.OVERFETCH))
     top = Q.fused_top(fused, keys, limit)
     return top.select(*keys, "rank", "doc_id", "score", "rrf_dense", "rrf_sparse", *columns)
 
