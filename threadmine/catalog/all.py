@@ -1,6 +1,7 @@
 """Import this module to register every query."""
 
 from threadmine.catalog import (  # noqa: F401
+    curation_queries,
     search_queries,
     text_queries,
 )
