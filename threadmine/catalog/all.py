@@ -1,7 +1,9 @@
 """Import this module to register every query."""
 
 from threadmine.catalog import (  # noqa: F401
+    conversation_queries,
     curation_queries,
+    log_queries,
     search_queries,
     text_queries,
 )

@@ -127,9 +127,9 @@ def health_counts(
     minutes = F.lit(default)
     for group, m in windows.items():
         minutes = F.when(F.col("log_group") == group, F.lit(m)).otherwise(minutes)
-    age = F.timestamp_diff("SECOND", F.col("ts"), as_of)
+    age = F.timestamp_diff("MICROSECOND", F.col("ts"), as_of)
     message = F.col("message")
-    return logs.where((age >= 0) & (age <= minutes * 60)).groupBy("log_group").agg(
+    return logs.where((age >= 0) & (age <= minutes * F.lit(60_000_000).cast("bigint"))).groupBy("log_group").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(F.rlike(message, F.lit(r"START\s+RequestId"))).alias("n_starts"),
         F.count_if(F.rlike(message, F.lit(r"(?i)task timed out"))).alias("n_timeouts"),
