@@ -5,6 +5,7 @@ from threadmine.catalog import (  # noqa: F401
     curation_queries,
     log_queries,
     search_queries,
+    streaming_queries,
     text_queries,
 )
 from threadmine.catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -241,7 +241,10 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One answered query per benchmark item, with a run id on most."""
-    b = table(spark, sf_dir, "benchmark")
+    return as_messages(table(spark, sf_dir, "benchmark"))
+
+
+def as_messages(b: DataFrame) -> DataFrame:
     i = F.col("item_id")
     return b.select(
         i.alias("query_id"),
