@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmine.operators import logs as L
+from threadmine.session import stage
 
 
 
@@ -19,7 +20,10 @@ def invocations(logs: DataFrame) -> DataFrame:
 
 def cold_start_report(logs: DataFrame, keys: list[str], start: Column | None = None, end: Column | None = None) -> DataFrame:
     """Counts, rate and duration statistics of cold starts per key (a log group, a handler)."""
-    rows = invocations(L.scan(logs, start=start, end=end, limit=None))
+    found = invocations(L.scan(logs, start=start, end=end, limit=None))
+    # Few columns of few lines; written once, since counts and both statistics read them.
+    rows = stage(found.select(
+        *keys, "event_id", "is_cold_start", "init_duration_ms", "lambda_init_duration_ms"), "starts")
     cold = rows.where("is_cold_start")
     out = L.start_counts(rows, keys)
     for value in ("init_duration_ms", "lambda_init_duration_ms"):
