@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadmine import schemas
 from threadmine.catalog import sqlparts as S
 from threadmine.catalog import tables as T
 from threadmine.catalog.registry import query
 from threadmine.functions import decode, times
 from threadmine.operators import conversation as V
+from threadmine.operators import search as Q
 from threadmine.operators.tables import known_columns
+from threadmine.streaming import queues as U
 
 HID = ["history_id"]
 ORDER = ["conv_id", "turn"]
@@ -131,11 +134,28 @@ def known_fields(spark, sf_dir):
 def reshape_results(spark, sf_dir):
     """Flat result → re-ranker record with payload → flat result."""
     flat = T.table(spark, sf_dir, "documents").select("doc_id", "text", F.struct("lang").alias("metadata"), F.col("n_chars").cast("double").alias("score"))
-    record = flat.select("doc_id", F.struct("text", "metadata").alias("payload"), "score")
-    back = record.select("doc_id", "payload.text", "payload.metadata", "score")
+    back = Q.from_records(Q.to_records(flat, ["doc_id"]), ["doc_id"])
     return back.select("doc_id", F.md5("text").alias("text_id"), "metadata.lang", "score")
 
 
+@query("SELECT doc_id AS post_id, lower(source) AS subreddit_name, 'post' AS type FROM documents")
+def nested_fields(spark, sf_dir):
+    """Three fields of nested metadata; the others are not read."""
+    d = T.table(spark, sf_dir, "documents").select("text", F.struct(
+        F.col("doc_id").alias("post_id"), F.lower("source").alias("subreddit_name"), F.lit("post").alias("type"), "lang",
+        "n_chars").alias("metadata"))
+    return d.select("metadata.post_id", "metadata.subreddit_name", "metadata.type")
+
+
+@query("SELECT count(*) FILTER (conv_id % 4 <> 0) AS processed, count(*) FILTER (conv_id % 4 = 0) AS failed FROM conversations")
+def consumer_counts(spark, sf_dir):
+    """Queue bodies of which every fourth conversation's are cut off."""
+    body = F.to_json(F.struct(F.col("message"), F.col("request_id")))
+    cut = F.when(F.pmod(F.split("request_id", "-")[0].cast("bigint"), F.lit(4)) == 0, F.expr("substring(b, 1, length(b) - 1)")).otherwise(F.col("b"))
+    bodies = _payloads(spark, sf_dir).select("request_id", body.alias("b")).select(cut.alias("body"))
+    return U.consumer_counts(U.decode(bodies, schemas.CHAT_MESSAGE))
+
+
 @query(S.clauses(S.RESPONSE_EVENTS) + """SELECT message_id, count(*) FILTER (type = 'message_chunk') AS n_chunks, count(*) FILTER (type = 'message_end') > 0 AS complete,
   md5(string_agg(content, '' ORDER BY seq)) AS content_id FROM response_events GROUP BY message_id""")
 def message_reassembly(spark, sf_dir):
@@ -165,9 +185,8 @@ def live_connection_join(spark, sf_dir):
 @query(f"SELECT 'SESSION_API_' || upper(event_type) AS event_type, {S.EPOCH} AS epoch, CAST(user_id AS VARCHAR) AS session_id FROM events")
 def session_event_log(spark, sf_dir):
     e = T.events(spark, sf_dir)
-    rows = e.select(F.concat(F.lit("SESSION_API_"), F.upper("event_type")).alias("event_type"),
-                    times.epoch_seconds(F.col("ts")).alias("epoch"),
-                    F.create_map(F.lit("session_id"), F.col("user_id").cast("string")).alias("fields"))
+    fields = F.create_map(F.lit("session_id"), F.col("user_id").cast("string"))
+    rows = V.session_events(e, "event_type", times.epoch_seconds(F.col("ts")), fields)
     return rows.select("event_type", "epoch", F.col("fields")["session_id"].alias("session_id"))
 
 

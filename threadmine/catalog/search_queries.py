@@ -32,7 +32,7 @@ def _dense(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    return retrieval.hybrid_search(T.queries(spark, sf_dir), T.docs(spark, sf_dir), T.vectors(spark, sf_dir), KEYS)
+    return retrieval.search("rrf", T.queries(spark, sf_dir), T.docs(spark, sf_dir), T.vectors(spark, sf_dir), KEYS)
 
 
 def _stages(spark, sf_dir, max_chars=None):
@@ -89,9 +89,8 @@ _KEYWORD = (S.QUERIES, S.POSTINGS, S.QUERY_TERMS, _BM25_ALL)
 def _keyword(spark, sf_dir):
     d, q = T.docs(spark, sf_dir), T.queries(spark, sf_dir, vectors_too=False)
     post = W.postings(d)
-    # Average length over all documents, those without tokens included.
-    average = d.select(F.avg(F.size(X.tokenize_sparse(F.col("text"))))).scalar()
-    return Q.ranked(Q.keyword_scores(q, post, W.count_rows(d), average, KEYS), KEYS, 45)
+    n_docs = W.count_rows(d)
+    return Q.ranked(Q.keyword_scores(q, post, n_docs, W.average_length(post, n_docs), KEYS), KEYS, 45)
 
 
 @query(S.clauses(*_KEYWORD) + _LIST + "kw")
@@ -103,11 +102,11 @@ def keyword_topk(spark, sf_dir):
                  "blend AS (SELECT query_id, variant, doc_id, d.rank AS dense_rank, k.rank AS sparse_rank, "
                  "0.5e0 * coalesce(d.score, 0) + 0.5e0 * coalesce(k.score, 0) AS score FROM ds d FULL OUTER JOIN kws k USING (query_id, variant, doc_id))",
                  f"""top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY {S.key('score')} DESC,
-                 dense_rank ASC NULLS LAST, sparse_rank ASC NULLS LAST, doc_id) AS rank FROM blend) WHERE rank <= 15)""")
+                 dense_rank ASC NULLS LAST, sparse_rank ASC NULLS LAST, doc_id) AS rank FROM blend JOIN documents USING (doc_id) WHERE coalesce(text, '') <> '') WHERE rank <= 15)""")
        + _LIST + "top")
 def blend_search(spark, sf_dir):
-    fused = Q.blend_fuse(_dense(spark, sf_dir), _keyword(spark, sf_dir), KEYS)
-    return Q.fused_top(fused, KEYS).select(*KEYS, "rank", "doc_id", T.r6("score").alias("score"))
+    hits = retrieval.search("blend", T.queries(spark, sf_dir), T.docs(spark, sf_dir), T.vectors(spark, sf_dir), KEYS)
+    return hits.select(*KEYS, "rank", "doc_id", T.r6("score").alias("score"))
 
 
 @query(S.clauses(*S.RETRIEVE) + "SELECT query_id, variant, rank, doc_id, round(score, 6) AS score, md5(text) AS text_id FROM hits")

@@ -140,3 +140,11 @@ def touch_sessions(states: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_valid"),
         times.ttl(F.max("epoch"), times.SESSION_DAYS).alias("expiry_time"),
     )
+
+
+def session_events(rows: DataFrame, event: str, epoch: Column, fields: Column) -> DataFrame:
+    """Append-only log of session events: prefixed type, time and a map of free fields."""
+    return rows.select(
+        F.concat(F.lit("SESSION_API_"), F.upper(F.col(event))).alias("event_type"), epoch.alias("epoch"),
+        fields.alias("fields"),
+    )

@@ -40,6 +40,12 @@ def count_rows(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 
 
+def average_length(post: DataFrame, n_docs: Column) -> Column:
+    """Mean number of tokens of a document, those without tokens included, as a scalar subquery."""
+    total = post.select(F.coalesce(F.sum("tf"), F.lit(0)).cast("double")).scalar()
+    return total / n_docs
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     """``(term, df)``; postings hold a document and term once, so a count is enough."""
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

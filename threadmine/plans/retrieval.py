@@ -54,6 +54,33 @@ def hybrid_search(
     return top.select(*keys, "rank", "doc_id", "score", "rrf_dense", "rrf_sparse", *columns)
 
 
+def blend_search(
+    queries: DataFrame, docs: DataFrame, vectors: DataFrame, keys: list[str], limit: int = Q.LIMIT,
+    alpha: float = Q.ALPHA, index: SparseIndex | None = None, columns: list[str] | None = None,
+) -> DataFrame:
+    """Blend of dense and keyword scores, each list scaled to 0..1; otherwise as :func:`hybrid_search`."""
+    columns = columns or ["text"]
+    size = Q.QuerySize.of(queries)
+    k = limit * Q.OVERFETCH
+    post = index.postings if index else W.postings(docs)
+    n_docs = index.n_docs if index else W.count_rows(docs)
+    average = W.average_length(post, n_docs)
+    scores = Q.keyword_scores(queries, post, n_docs, average, keys, bounded=size.terms_bounded)
+    fused = Q.blend_fuse(Q.dense_topk(queries, vectors, keys, k), Q.ranked(scores, keys, k), keys, alpha)
+    top = Q.fused_top(Q.with_text(fused, docs, columns, size.hits_bounded(2 * k)), keys, limit)
+    return top.select(*keys, "rank", "doc_id", "score", *columns)
+
+
+SEARCHES = {"rrf": hybrid_search, "blend": blend_search}
+
+
+def search(kind: str, *args, **kwargs) -> DataFrame:
+    """Search by the kind of index: ``rrf`` or ``blend``."""
+    if kind not in SEARCHES:
+        raise ValueError(f"unknown kind of index {kind!r}; known are {sorted(SEARCHES)}")
+    return SEARCHES[kind](*args, **kwargs)
+
+
 @dataclass(frozen=True)
 class Retrieval:
     """The stages of :func:`retrieve_and_rerank`, all keyed by the query."""

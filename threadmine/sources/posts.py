@@ -82,11 +82,10 @@ def write_curated(posts: DataFrame, path: str, replace_all: bool = False) -> Non
     By default only the partitions present in ``posts`` are replaced. A row that has
     moved to another partition leaves its old one behind if that is not rewritten;
     write a complete merge with ``replace_all`` to a fresh folder for that reason.
-    One task may feed many folders, so rows are first grouped by partition and, within
-    a large partition, spread by id.
+    Rows are brought together by partition; the rebalance hint lets Spark split a
+    partition that is too large for one task and join those that are small.
     """
-    grouped = posts.withColumn("_spread", F.pmod(F.xxhash64("id"), F.lit(8)))
-    grouped = grouped.repartition(*PARTITIONS, "_spread").drop("_spread")
+    grouped = posts.hint("rebalance", *[F.col(c) for c in PARTITIONS])
     grouped.write.mode("overwrite").option(
         "partitionOverwriteMode", "static" if replace_all else "dynamic"
     ).partitionBy(*PARTITIONS).parquet(path)
@@ -94,7 +93,7 @@ def write_curated(posts: DataFrame, path: str, replace_all: bool = False) -> Non
 
 def write_by_month(posts: DataFrame, path: str) -> None:
     """The layout by post month. The post id is a column, not a folder."""
-    posts.repartition("year", "month").write.mode("overwrite").partitionBy("year", "month").parquet(path)
+    posts.hint("rebalance", F.col("year"), F.col("month")).write.mode("overwrite").partitionBy("year", "month").parquet(path)
 
 
 def refresh_partitions(spark: SparkSession, table: str) -> None:
