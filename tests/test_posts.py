@@ -176,3 +176,10 @@ def test_refresh_partitions(spark, tmp_path):
     P.refresh_partitions(spark, "t_cat")
     assert spark.table("t_cat").count() == 2
     spark.sql("DROP TABLE t_cat")
+
+
+def test_layout_by_month(spark, tmp_path):
+    rows = spark.createDataFrame([("1", 2024, 5), ("2", 2024, 6), ("3", 2024, 5)], "id string, year int, month int")
+    P.write_by_month(rows, str(tmp_path / "m"))
+    assert (tmp_path / "m" / "year=2024" / "month=5").is_dir()
+    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "m")).where("month = 5").collect()} == {"1", "3"}

@@ -35,6 +35,11 @@ def _hits(spark, sf_dir):
     return retrieval.search("rrf", T.queries(spark, sf_dir), T.docs(spark, sf_dir), T.vectors(spark, sf_dir), KEYS)
 
 
+def _combined(spark, sf_dir):
+    return retrieval.retrieve(
+        T.queries(spark, sf_dir), T.docs(spark, sf_dir), T.vectors(spark, sf_dir), QID, T.VARIANTS)[1]
+
+
 def _stages(spark, sf_dir, max_chars=None):
     return retrieval.retrieve_and_rerank(
         T.queries(spark, sf_dir), T.docs(spark, sf_dir), T.vectors(spark, sf_dir), QID, T.VARIANTS, max_chars=max_chars
@@ -116,7 +121,7 @@ def hybrid_search(spark, sf_dir):
 
 @query(S.clauses(*S.RETRIEVE, S.COMBINED) + "SELECT query_id, position, variant, doc_id, round(score, 6) AS score FROM combined")
 def combine_dedupe(spark, sf_dir):
-    return _stages(spark, sf_dir).combined.select(*QID, "position", "variant", "doc_id", T.r6("score").alias("score"))
+    return _combined(spark, sf_dir).select(*QID, "position", "variant", "doc_id", T.r6("score").alias("score"))
 
 
 @query(S.clauses(S.QUERIES, S.POSTINGS, S.QUERY_TERMS, S.SPARSE, S.DENSE)
@@ -143,7 +148,7 @@ def _final(stages):
 
 @query(S.clauses(*_RERANK) + "SELECT query_id, position, round(bm25, 6) AS bm25 FROM bm")
 def bm25_scores(spark, sf_dir):
-    combined = _stages(spark, sf_dir).combined
+    combined = _combined(spark, sf_dir)
     main = T.queries(spark, sf_dir, vectors_too=False).where("variant = 'rewritten'")
     return R.bm25_scores(combined, main, QID).select(*QID, "position", T.r6("bm25").alias("bm25"))
 

@@ -34,15 +34,13 @@ def bm25_scores(
     asked = queries.select(*keys, tokenize_words(F.col("text")).alias("_asked"))
     by_query, by_term = Window.partitionBy(*keys), Window.partitionBy(*keys, "term")
     tokens = (
-        candidates.select(*keys, "position", tokenize_words(text).alias("_t")).join(asked, keys)
+        candidates.select(*keys, "position", tokenize_words(text).alias("_t")).repartition(*keys)
         .withColumns({"_n": F.count(F.lit(1)).over(by_query), "_avg": F.avg(F.size("_t")).over(by_query)})
     )
     terms = (
-        tokens.select(
-            *keys, "position", "_n", "_avg", "_asked", F.size("_t").alias("_len"), F.explode_outer("_t").alias("term")
-        )
+        tokens.select(*keys, "position", "_n", "_avg", F.size("_t").alias("_len"), F.explode_outer("_t").alias("term"))
         # A text without words stays as one row without term, and scores 0.
-        .groupBy(*keys, "position", "_n", "_avg", "_asked", "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
+        .groupBy(*keys, "position", "_n", "_avg", "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
         .withColumn("_df", F.when(F.col("term").isNotNull(), F.count(F.lit(1)).over(by_term)))
         .withColumn("_idf", F.log(F.col("_n") - F.col("_df") + F.lit(0.5)) - F.log(F.col("_df") + F.lit(0.5)))
         # Mean over distinct terms: a term has _df rows here and weighs 1 / _df in each.
@@ -51,8 +49,11 @@ def bm25_scores(
     q = F.size(F.filter("_asked", lambda t: t == F.col("term")))
     idf = F.when(F.col("_idf") < 0, F.lit(epsilon) * F.col("_mean")).otherwise(F.col("_idf"))
     norm = F.col("_tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("_len") / F.col("_avg"))
-    return terms.groupBy(*keys, "position").agg(
-        F.coalesce(F.sum(q * idf * F.col("_tf") * F.lit(k1 + 1.0) / norm), F.lit(0.0)).alias("bm25")
+    # Only rows of terms that were asked for add to the score; the test is cheap, counting is not.
+    hit = F.array_contains("_asked", F.col("term"))
+    part = F.when(hit, q * idf * F.col("_tf") * F.lit(k1 + 1.0) / norm)
+    return terms.join(asked, keys).groupBy(*keys, "position").agg(
+        F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25")
     )
 
 

@@ -91,21 +91,29 @@ class Retrieval:
     judged: DataFrame    # relevance of the re-ranked texts
 
 
-def retrieve_and_rerank(
+def retrieve(
     queries: DataFrame, docs: DataFrame, vectors: DataFrame, keys: list[str], variants: tuple[str, str],
-    limit: int = Q.LIMIT, alpha: float = Q.ALPHA, index: SparseIndex | None = None, max_chars: int | None = None,
-) -> Retrieval:
-    """Search with both variants of each query, combine, re-rank by the first variant's text.
+    limit: int = Q.LIMIT, alpha: float = Q.ALPHA, index: SparseIndex | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Lists of both variants of each query, and the combined list of the query.
 
     ``queries`` is ``(*keys, variant, text, vector)``. Both variants go through one search.
-    The lists (at most ``2 * limit`` rows per query) are written after the search and after
-    re-ranking: each is read several times from there on, and the search must not run again.
+    The lists (at most ``2 * limit`` rows per query) are written, since they are read
+    several times from there on and the search must not run again.
     """
     hits = stage(hybrid_search(queries, docs, vectors, [*keys, "variant"], limit, alpha, index=index), "hits")
     order = F.when(F.col("variant") == variants[0], 0).otherwise(1) * 1_000_000 + F.col("rank")
-    combined = stage(Q.combine_best(hits, keys, order), "combined")
+    return hits, stage(Q.combine_best(hits, keys, order), "combined")
+
+
+def retrieve_and_rerank(
+    queries: DataFrame, docs: DataFrame, vectors: DataFrame, keys: list[str], variants: tuple[str, str],
+    limit: int = Q.LIMIT, alpha: float = Q.ALPHA, index: SparseIndex | None = None, max_chars: int | None = None,
+) -> Retrieval:
+    """Search with both variants of each query, combine, re-rank by the first variant's text."""
+    hits, combined = retrieve(queries, docs, vectors, keys, variants, limit, alpha, index)
     main = queries.where(F.col("variant") == variants[0]).select(*keys, "text")
-    reranked = stage(rerank(combined.drop("rank"), main, keys, limit, max_chars), "reranked")
+    reranked = rerank(combined.drop("rank"), main, keys, limit, max_chars)
     return Retrieval(hits, combined, reranked, judgments(reranked, keys))
 
 

@@ -50,14 +50,20 @@ def read_forum_files(spark: SparkSession, path: str) -> DataFrame:
     return normalise_posts(rows.withColumn("subreddit_name", F.col("subreddit")).drop("subreddit"))
 
 
+def _by_folder(rows: DataFrame, *columns: str) -> DataFrame:
+    """Bring the rows of a folder together before a partitioned write. Spark splits a folder that
+    is too large for one task and lets small ones share a task."""
+    return rows.hint("rebalance", *[F.col(c) for c in columns])
+
+
 def write_raw_json(posts: DataFrame, root: str, mode: str = "append") -> None:
     """Raw posts as JSON below ``year/month/day/forum`` folders."""
-    posts.write.mode(mode).partitionBy(*PARTITIONS).json(root)
+    _by_folder(posts, *PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).json(root)
 
 
 def write_snapshot_json(posts: DataFrame, root: str, mode: str = "overwrite") -> None:
     """All-time snapshot as JSON below ``top_posts/subreddit_name=…``."""
-    posts.write.mode(mode).partitionBy("subreddit_name").json(f"{root.rstrip('/')}/top_posts")
+    _by_folder(posts, "subreddit_name").write.mode(mode).partitionBy("subreddit_name").json(f"{root.rstrip('/')}/top_posts")
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
@@ -82,18 +88,15 @@ def write_curated(posts: DataFrame, path: str, replace_all: bool = False) -> Non
     By default only the partitions present in ``posts`` are replaced. A row that has
     moved to another partition leaves its old one behind if that is not rewritten;
     write a complete merge with ``replace_all`` to a fresh folder for that reason.
-    Rows are brought together by partition; the rebalance hint lets Spark split a
-    partition that is too large for one task and join those that are small.
     """
-    grouped = posts.hint("rebalance", *[F.col(c) for c in PARTITIONS])
-    grouped.write.mode("overwrite").option(
+    _by_folder(posts, *PARTITIONS).write.mode("overwrite").option(
         "partitionOverwriteMode", "static" if replace_all else "dynamic"
     ).partitionBy(*PARTITIONS).parquet(path)
 
 
 def write_by_month(posts: DataFrame, path: str) -> None:
     """The layout by post month. The post id is a column, not a folder."""
-    posts.hint("rebalance", F.col("year"), F.col("month")).write.mode("overwrite").partitionBy("year", "month").parquet(path)
+    _by_folder(posts, "year", "month").write.mode("overwrite").partitionBy("year", "month").parquet(path)
 
 
 def refresh_partitions(spark: SparkSession, table: str) -> None:
