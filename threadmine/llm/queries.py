@@ -5,11 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmine.llm import mixture, ring
+from threadmine.llm import mixture, ring, secrets, warc
 from threadmine.llm.common import documents
 from threadmine.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
+@query()
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+
+    def joined(kinds: tuple[str, ...]):
+        wanted = F.filter(spans, lambda s: s.kind.isin(*kinds))
+        return F.concat_ws(",", F.transform(wanted, lambda s: F.concat_ws(":", s.kind, s.start, s.end)))
+
+    def number(kind: str):
+        return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return secrets.scan_secrets(documents(spark, sf_dir)).select(
+        "doc_id", number("assign"), number("access"), number("hex"),
+        F.sha2(joined(secrets.KINDS[:3]).cast("binary"), 256).alias("base_sha256"),
+        joined(secrets.KINDS).alias("spans"),
+    )
+
+
 @query()
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
@@ -17,6 +35,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query()
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.round_trip(spark, pages).drop("payload")
+
+
 @query()
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.ring_shards(documents(spark, sf_dir))
