@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmine.llm import mixture, ring, secrets, warc
+from threadmine.llm import mixture, ring, secrets, tokens, warc
 from threadmine.llm.common import documents
 from threadmine.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -41,6 +41,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, pages).drop("payload")
 
 
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query()
+def op9_token_counts(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
+    return tokens.count_tokens(documents(spark, sf_dir), tokens.read_vocabulary(path))
+
+
 @query()
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.ring_shards(documents(spark, sf_dir))
