@@ -11,6 +11,8 @@ import tempfile
 import zipfile
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,11 +65,11 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
-def slices(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts have about ``limit`` characters together (a longer text stands alone)."""
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have about ``limit`` bytes together (a longer text stands alone)."""
     start = total = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        n = n or 0
         if i > start and total + n > limit:
             yield start, i
             start, total = i, 0

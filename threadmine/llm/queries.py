@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmine.llm import mixture, ring, secrets, tokens, warc
+from threadmine.llm import mixture, neardup, ring, secrets, tokens, warc
 from threadmine.llm.common import documents
 from threadmine.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
+@query()
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
+
+
 @query()
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
