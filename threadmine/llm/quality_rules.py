@@ -26,9 +26,9 @@ FENCE = 3
 # Rule: (column, least margin, is there a lower fence). All values are integers.
 RULES = {
     "symbols": ("symbol_rate", 50, False),  # per 1,000 words
-    "lines": ("line_rate", 200, False),  # repeated lines per 1,000 lines with a word
-    "repeats": ("repeat_rate", 200, False),  # repeated words per 1,000 words
-    "length": ("word_length", 100, True),  # characters per 100 words
+    "lines": ("line_rate", 500, False),  # repeated lines per 1,000 lines with a word
+    "repeats": ("repeat_rate", 400, False),  # repeated words per 1,000 words
+    "length": ("word_length", 150, True),  # characters per 100 words
 }
 
 
