@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmine.llm import mixture, neardup, quality_rules, ring, secrets, tokens, warc
+from threadmine.llm import decontaminate, mixture, neardup, quality_rules, ring, secrets, tokens, warc
 from threadmine.llm.common import documents
 from threadmine.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -15,6 +15,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
 
 
+@query(decontaminate.ORACLE)
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query(quality_rules.ORACLE)
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir)).select(
