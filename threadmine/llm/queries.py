@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmine.llm import decontaminate, mixture, neardup, quality_rules, ring, secrets, tokens, warc
+from threadmine.llm import decontaminate, mixture, neardup, quality_rules, ring, secrets, tokens, toxicity, warc
 from threadmine.llm.common import documents
 from threadmine.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -57,6 +57,15 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, pages).drop("payload")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
