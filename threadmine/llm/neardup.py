@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,8 @@ from threadmine.llm.hashing import Words, distinct, mix, shingles
 from threadmine.session import stage
 
 BLOCK = 512
+PARITY = [f"o{i}" for i in range(8)]
+SKETCH = ["n", "s1", "s2", *PARITY]
 _SEEDS = np.random.default_rng(97).integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -67,10 +69,14 @@ def signature(raws: list[bytes], k: int, m: int, a: int) -> dict[str, np.ndarray
                 sketch[i % 2] |= (least & np.uint64(15)) << np.uint64(4 * (i // 2))
         bands.append(joined)
     bands = np.stack(bands, axis=1)
+    place = mix(values + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(55)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    parity = {name: full(_per_text(np.bitwise_xor, np.where(place >> np.uint64(6) == i, bit, np.uint64(0)), at))
+              for i, name in enumerate(PARITY)}
     return {
         "n": size, "k1": full(_per_text(np.add, mix(values), at)), "k2": full(_per_text(np.add, mix(~values), at)),
         "left": full(np.ascontiguousarray(bands[:, :m])), "right": full(np.ascontiguousarray(bands[:, m:])),
-        "s1": full(sketch[0]), "s2": full(sketch[1]),
+        "s1": full(sketch[0]), "s2": full(sketch[1]), **parity,
     }
 
 
@@ -78,7 +84,7 @@ def signatures(docs: DataFrame, k: int, m: int, a: int) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text)."""
     ship_package(docs.sparkSession)
     long, longs = T.LongType(), T.ArrayType(T.LongType(), False)
-    names = {"n": long, "k1": long, "k2": long, "left": longs, "right": longs, "s1": long, "s2": long}
+    names = {"n": long, "k1": long, "k2": long, "left": longs, "right": longs} | dict.fromkeys(SKETCH[1:], long)
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(x, t) for x, t in names.items()]])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,30 +140,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(compare, schema).distinct()
 
 
-def _alike(x: str, y: str, percent: int):
+def _alike(x: str, y: str, percent: int) -> Column:
     """Condition that the sizes allow the similarity and the sketches do not rule it out.
 
-    Of 32 minhashes a share of 1 - s differs, each in 2 of its 4 bits on average; the limit lies 5.5
-    standard deviations above that mean.
+    At a similarity of s the sets differ in (1 - s) / (1 + s) of their sizes' sum at most. Of 32 minhashes a share
+    of 1 - s differs, each in 2 of its 4 bits on average; the limit lies 5.5 standard deviations above that mean.
     """
+    def bits(columns: list[str]) -> Column:
+        return sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns), F.lit(0))
+
     differ = 1 - percent / 100
     limit = int(64 * differ + 5.5 * math.sqrt(128 * differ * (1 - differ) + 32 * differ)) + 1
-    bits = F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1"))) + F.bit_count(
-        F.col(f"{x}.s2").bitwiseXOR(F.col(f"{y}.s2")))
     n, o = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (100 * F.least(n, o) >= percent * F.greatest(n, o)) & (bits <= limit)
+    return ((100 * F.least(n, o) >= percent * F.greatest(n, o)) & (bits(["s1", "s2"]) <= limit)
+            & ((100 + percent) * bits(PARITY) <= (100 - percent) * (n + o)))
 
 
 def _rest_of_buckets(members: DataFrame, reps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket in different components, where the comparison with the smallest node left several."""
-    info = reps.select("node", "n", "s1", "s2").join(
+    info = reps.select("node", *SKETCH).join(
         found.withColumnRenamed("component", "c"), ["node"], "left").withColumn("c", F.coalesce("c", "node"))
     rows = stage(members.where(F.col("many") > 2).select("key", "node", "many").join(info, ["node"]), "members")
     top = rows.groupBy("key", "c").agg(F.count("*").alias("of")).groupBy("key").agg(
         F.max(F.struct("of", "c")).alias("top"), F.sum("of").alias("all")).where(F.col("top.of") < F.col("all")).select(
         "key", F.col("top.c").alias("top"), "all", (F.col("all") - F.col("top.of")).alias("others"))
     rows = rows.join(top, ["key"]).select(
-        "key", "node", "n", "s1", "s2", "c", (F.col("c") != F.col("top")).alias("outer"),
+        "key", "node", *SKETCH, "c", (F.col("c") != F.col("top")).alias("outer"),
         F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
         F.ceil(F.col("others") / BLOCK).cast("int").alias("outer_blocks"))
 
@@ -193,14 +201,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 8,
         F.min("doc_id").alias("node"), F.count("*").alias("many")).where(F.col("many") > 1).drop("many")
     labelled = signed.join(copies, ["k1", "k2"], "left").withColumn("node", F.coalesce("node", "doc_id"))
     reps = stage(labelled.where((F.col("n") > 0) & (F.col("doc_id") == F.col("node"))).select(
-        "node", "n", "left", "right", "s1", "s2"), "representatives")
+        "node", "left", "right", *SKETCH), "representatives")
     # Key rows hold a number and a node only. They are shuffled twice: counted, then joined with the counts above one.
     keys = reps.select("node", F.explode(F.flatten(F.transform("left", lambda x, i: F.transform(
         "right", lambda y, j: F.xxhash64(i * m + j, x, y))))).alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("least")).where(F.col("many") > 1)
     members = stage(keys.join(buckets, ["key"]), "buckets")
     stars = members.where(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    slim = reps.select("node", "n", "s1", "s2")
+    slim = reps.select("node", *SKETCH)
     stars = stage(stars.join(slim.alias("x"), F.col("a") == F.col("x.node")).join(slim.alias("y"), F.col("b") == F.col("y.node"))
                   .where(_alike("x", "y", percent)).select("a", "b").distinct(), "pairs")
     links = stage(_verified(stars, docs, k, percent), "links")
