@@ -8,8 +8,9 @@ proportion ``prior``. A linear classifier g over hashed word features is fitted
 with the logistic loss. The second term estimates the risk on clean documents; where it would fall below zero, the
 model has begun to fit the unlabelled sample itself, and the step climbs out of it instead.
 
-A feature is a word, or its first four or six bytes, present in a document. The model keeps the features that are
-most over-represented among the positives, so a document of any length is judged by a few of them.
+A feature is a word, or its first four or six bytes, that a document holds, holds twice, four times, or in one
+of a hundred words. The model keeps the features that are most over-represented among the positives, so a
+document of any length is judged by a few of them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadmine.llm.common import held_out, ship_package, slices
-from threadmine.llm.hashing import NOT_ALNUM, Words, distinct
+from threadmine.llm.hashing import NOT_ALNUM, Words, distinct, mix
 
 PREFIXES = (None, 4, 6)
 # Bounds of the training sample (rows) and of the model (features).
@@ -50,16 +51,33 @@ def features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct feature hashes (32 bits) of each text, and the first of each text."""
     words = Words([r.lower() for r in raws], NOT_ALNUM)
     parts = [(words.hashes(p) >> np.uint64(32)) ^ np.uint64(i * 0x9E3779B9 & 0xFFFFFFFF) for i, p in enumerate(PREFIXES)]
+    counts = np.diff(words.first)
+    owner = np.repeat(np.arange(len(raws)), counts * len(PREFIXES))
     values = np.stack(parts, axis=1).reshape(-1)
-    return distinct(values, words.first * len(PREFIXES))
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(fresh)
+    times = np.diff(np.append(at, len(values)))
+    values, owner = values[at], owner[at]
+    found = [(values, owner)]
+    for i, repeated in enumerate((times >= 2, times >= 4, (times >= 2) & (times * 100 >= counts[owner]))):
+        mark = np.uint64(0x85EBCA6B * (i + 1) & 0xFFFFFFFF)
+        found.append((values[repeated] ^ mark, owner[repeated]))
+    values, owner = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(owner, kind="stable")
+    first = np.searchsorted(owner[order], np.arange(len(raws) + 1))
+    return distinct(values[order], first)
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300,
-        rate: float = 0.05, decay: float = 1e-3, seed: int = 5) -> Model:
+        rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> Model:
     """Train on the feature sets of positive and unlabelled documents."""
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    known = _select(positive, unlabelled)
+    positive, unlabelled = _without_copies(positive), _without_copies(unlabelled)
+    known = _select(positive, unlabelled, prior)
     p, u = _rows(positive, known), _rows(unlabelled, known)
     w = np.zeros(len(known) + 1)  # the last is the bias
     w[-1] = np.log(prior / (1 - prior))
@@ -87,14 +105,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def _select(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The features most over-represented among the positives, by the signed root of the G statistic."""
+def _without_copies(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """One of the sample's documents with the same three minhashes; else the words of one text with
+    many near copies would look like words of all toxic texts."""
+    seeds = [np.uint64(0x9E3779B97F4A7C15 * i & 2**64 - 1) for i in (1, 2, 3)]
+    one = {tuple(int(mix(x + s).min()) for s in seeds) if len(x) else (): x for x in reversed(sets)}
+    return list(reversed(one.values()))
+
+
+def _select(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
+    """The features most over-represented among the positives, by the G statistic of their counts.
+
+    A feature of toxic text alone has a ratio of shares of 1 / prior. Those below a quarter of that follow a
+    language or a topic and are left out, like those whose count may be chance (G below 16, four deviations).
+    """
     p, in_p = np.unique(np.concatenate(positive), return_counts=True)
     u, in_u = np.unique(np.concatenate(unlabelled), return_counts=True)
     at = np.minimum(np.searchsorted(u, p), len(u) - 1)
     other = np.where(u[at] == p, in_u[at], 0)
-    share_p, share_u = (in_p + 0.1) / (len(positive) + 0.2), (other + 0.1) / (len(unlabelled) + 0.2)
-    score = np.where((share_p > share_u) & (in_p >= 3), in_p * np.log(share_p / share_u), 0)
+    expected = (other + 0.5) * len(positive) / (len(unlabelled) + 1)
+    ratio = in_p / expected
+    g = 2 * (in_p * np.log(ratio) - (in_p - expected))
+    score = np.where((ratio >= max(1.5, 0.25 / prior)) & (g >= 16), g, 0)
     best = np.lexsort((p, -score))[:MAX_FEATURES]
     return np.sort(p[best[score[best] > 0]])
 
