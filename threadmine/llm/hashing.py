@@ -63,8 +63,12 @@ class Words:
     def hashes(self, prefix: int | None = None) -> np.ndarray:
         """Hash of each word, or of its first ``prefix`` bytes."""
         ends = self.ends if prefix is None else np.minimum(self.ends, self.starts + prefix)
-        raw = (self._sums[ends] - self._sums[self.starts]) * _power(_INVERSE, len(self.bytes))[self.starts]
-        return mix(raw + (ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return self.range_hashes(self.starts, ends)
+
+    def range_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each range of bytes."""
+        raw = (self._sums[ends] - self._sums[starts]) * _power(_INVERSE, len(self.bytes))[starts]
+        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
