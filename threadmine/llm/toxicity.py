@@ -214,6 +214,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")).mapInArrow(judge, schema)
 
 
+def clean_rows(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``threshold``."""
+    ship_package(docs.sparkSession)
+    place = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place)
+            for lo, hi in slices(texts):
+                g = model.margins(*features([(x.as_py() or "").encode() for x in texts[lo:hi]]))
+                yield batch.slice(lo, hi - lo).filter(pa.array(_sigmoid(g) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
