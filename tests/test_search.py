@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadmine.operators import rerank as R
 from threadmine.operators import search as Q
 from threadmine.operators import weights as W
+from threadmine.session import salted_join
 
 DOCS = ["great headphones running", "budget laptop", "headphones guide headphones"]
 
@@ -140,9 +141,23 @@ def test_rerank_only_above_the_limit(spark):
     assert R.judgments(R.rerank(cand, qs, ["query_id"], limit=4), ["query_id"]).count() == 4
 
 
-def test_max_chars_cuts_only_when_asked(spark):
+def test_whole_texts_are_scored(spark):
     cand = spark.createDataFrame([("q", 1, "x " * 3000 + "needle"), ("q", 2, "y"), ("q", 3, "z")], "query_id string, position int, text string")
     qs = spark.createDataFrame([("q", "needle")], "query_id string, text string")
     whole = {r["position"]: r["bm25"] for r in R.bm25_scores(cand, qs, ["query_id"]).collect()}
-    cut = {r["position"]: r["bm25"] for r in R.bm25_scores(cand, qs, ["query_id"], R.MAX_CHARS).collect()}
-    assert whole[1] > 0 and cut[1] == 0
+    assert whole[1] > 0 and whole[2] == 0
+
+
+def test_dense_search_keeps_text_ids(spark):
+    vectors = spark.createDataFrame([(f"é-{i}", [float(i % 5), 1.0]) for i in range(40)], "doc_id string, vector array<double>")
+    qs = spark.createDataFrame([("q", [1.0, 0.0]), ("none", None)], "query_id string, vector array<double>")
+    for most in (10, 0):
+        got = Q.dense_topk(qs, vectors, ["query_id"], 3, max_broadcast=most).orderBy("rank").collect()
+        assert [r["doc_id"] for r in got] == ["é-14", "é-19", "é-24"]
+
+
+def test_heavy_keys_are_split(spark):
+    big = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), (None, 2), ("c", 3)], "k string, n int")
+    small = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
+    for how, rows in (("inner", 101), ("left", 103), ("left_semi", 51), ("left_anti", 2)):
+        assert salted_join(big, small, ["k"], ["n"], how, rows_per_salt=4).count() == rows

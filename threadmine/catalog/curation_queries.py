@@ -45,8 +45,8 @@ def merge_top_written(spark, sf_dir):
 
 
 _DAILY = (S.POSTS, S.NEW_POSTS,
-          f"touched AS (SELECT DISTINCT {', '.join(PARTITIONS)} FROM new_posts)",
-          f"both_sides AS (SELECT *, 0 AS age FROM new_posts UNION ALL SELECT posts.*, 1 FROM posts SEMI JOIN touched USING ({', '.join(PARTITIONS)}))",
+          "both_sides AS (SELECT *, 0 AS age FROM new_posts UNION ALL SELECT p.*, 1 FROM posts p WHERE EXISTS ("
+          "SELECT 1 FROM new_posts n WHERE n.subreddit_name = p.subreddit_name AND make_date(n.year, n.month, 1) = make_date(p.year, p.month, 1)))",
           "daily AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subreddit_name, id ORDER BY age, score DESC) AS n FROM both_sides) WHERE n = 1)")
 
 
@@ -55,6 +55,22 @@ def merge_daily(spark, sf_dir):
     return merge.merge_daily(T.posts(spark, sf_dir), T.new_posts(spark, sf_dir)).select(*_OUT)
 
 
+# A second version of some stored posts, ingested ten days later in the year's last days, so that they move to another day's folder.
+_MOVED = "moved AS (SELECT * REPLACE (score + 1 AS score, 28 AS created_at_day, 12 AS created_at_month) FROM posts WHERE id LIKE '%3')"
+
+
+@query(S.clauses(S.POSTS, _MOVED) + f"""SELECT {_SQL_OUT} FROM posts WHERE (subreddit_name, id) NOT IN (SELECT (subreddit_name, id) FROM moved)
+  UNION ALL SELECT {_SQL_OUT} FROM moved""")
+def merge_daily_written(spark, sf_dir):
+    """The daily merge through partitioned storage: posts that come again on another day are stored once, all others stay."""
+    path, posts = new_path(spark, "curated"), T.posts(spark, sf_dir)
+    P.write_curated(posts, path)
+    moved = posts.where("id LIKE '%3'").withColumns({
+        "score": F.col("score") + 1, "created_at_day": F.lit(28), "created_at_month": F.lit(12)})
+    merge.run_merge_daily(spark, moved, path)
+    return P.read_curated(spark, path).select(*_OUT)
+
+
 @query(S.clauses(S.POSTS, S.NEW_POSTS) + f"""SELECT {_SQL_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY subreddit_name, id ORDER BY score DESC) AS n
   FROM (SELECT * FROM posts UNION ALL SELECT * FROM new_posts)) WHERE n = 1""")
 def dedupe_latest(spark, sf_dir):
@@ -116,9 +132,9 @@ def touched_partitions(spark, sf_dir):
     return C.touched_partitions(T.new_posts(spark, sf_dir))
 
 
-@query(S.clauses(*_DAILY) + f"SELECT {_SQL_OUT} FROM posts SEMI JOIN touched USING ({', '.join(PARTITIONS)})")
+@query(S.clauses(*_DAILY) + f"SELECT {_SQL_OUT} FROM posts p WHERE EXISTS (SELECT 1 FROM new_posts n WHERE n.subreddit_name = p.subreddit_name AND n.year = p.year AND n.month = p.month)")
 def read_touched(spark, sf_dir):
-    return C.in_touched_partitions(T.posts(spark, sf_dir), T.new_posts(spark, sf_dir)).select(*_OUT)
+    return C.in_touched_partitions(T.posts(spark, sf_dir), T.new_posts(spark, sf_dir), merge.TOUCH).select(*_OUT)
 
 
 @query(S.clauses(S.POSTS, S.SEEN) + f"SELECT {_SQL_OUT} FROM posts p WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.post_id = p.id AND s.subreddit = p.subreddit_name AND ttl > 1750000000)")
@@ -369,14 +385,25 @@ def split_paragraphs(text: str) -> list[str]:
     return [p for p in text.split("\n") if p.strip()]
 
 
-@query(S.clauses(S.POSTS, "parts AS (SELECT id, unnest(list_filter(string_split('Title: ' || title || chr(10) || chr(10) || content, chr(10)), "
-                 f"lambda x: regexp_matches(x, '[^\\s\\x0b\\x{{85}}\\p{{Z}}]'))) AS part FROM posts)")
-       + "SELECT id AS post_id, count(*) AS n_chunks, sum(length(part)) AS n_chars FROM parts GROUP BY id")
+_LINE_WITH_TEXT = r"lambda x: regexp_matches(x, '[^\s\x0b\x{85}\p{Z}]')"
+
+
+def _split(body: str, marker: str, comment: str, source: str, id_: str, kind: str) -> str:
+    """Non-blank lines of a text, or the text itself if there is none, numbered from 0."""
+    return f"""SELECT post_id, comment_id, type, CAST(i - 1 AS INTEGER) AS chunk_id, marker || list_extract(parts, i) AS page_content FROM (
+  SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (
+    SELECT {id_} AS post_id, {comment} AS comment_id, '{kind}' AS type, {marker} AS marker,
+      CASE WHEN len(list_filter(string_split({body}, chr(10)), {_LINE_WITH_TEXT})) = 0 THEN [{body}]
+           ELSE list_filter(string_split({body}, chr(10)), {_LINE_WITH_TEXT}) END AS parts
+    FROM {source} WHERE length({body}) > 0))"""
+
+
+@query(S.clauses(S.POSTS, S.COMMENTS, _REPLIES, _TEXTS,
+                 f"chunks AS ({_split('body', _MARK, 'NULL', 'texts', 'id', 'post')} UNION ALL {_split('body', chr(39) * 2, 'id', 'replies', 'post_id', 'comment')})")
+       + "SELECT post_id, comment_id, type, chunk_id, md5(page_content) AS content_id FROM chunks")
 def chunk_with_splitter(spark, sf_dir):
-    none = _reply_rows(spark, sf_dir).where("false")
-    c = K.chunk_posts(T.posts(spark, sf_dir), none, splitter=split_paragraphs)
-    return c.groupBy("post_id").agg(F.count(F.lit(1)).alias("n_chunks"),
-                                    F.sum(F.length("page_content") - F.length(F.lit("[From 2025-09] "))).alias("n_chars"))
+    c = K.chunk_posts(T.posts(spark, sf_dir), _reply_rows(spark, sf_dir), splitter=split_paragraphs)
+    return c.select("post_id", "comment_id", "type", "chunk_id", F.md5("page_content").alias("content_id"))
 
 
 def _uuid(name: str) -> str:

@@ -16,7 +16,7 @@ GROUP = ["log_group"]
 @query(S.clauses(S.LOGS) + "SELECT event_id, message FROM logs WHERE contains(message, 'REPORT') AND ts >= '2024-01-05' AND ts <= '2024-01-20' ORDER BY ts DESC, event_id LIMIT 1000")
 def log_scan(spark, sf_dir):
     start, end = (F.to_timestamp_ntz(F.lit(t)) for t in ("2024-01-05 00:00:00", "2024-01-20 00:00:00"))
-    return L.scan(T.logs(spark, sf_dir), "REPORT", start, end).select("event_id", "message")
+    return L.scan(T.logs(spark, sf_dir), "REPORT", start, end, 1000).select("event_id", "message")
 
 
 @query(S.clauses(S.LOGS, S.STARTS) + r"""SELECT event_id, request_id, TRY_CAST(regexp_extract(message, 'Init Duration:\s*([0-9.]+)\s*ms', 1) AS DOUBLE) AS init_duration_ms,
@@ -71,8 +71,8 @@ def duration_percentiles(spark, sf_dir):
 
 @query(S.clauses(S.LOGS) + r"""SELECT log_group, count(*) AS n_lines, count(*) FILTER (regexp_matches(message, 'START\s+RequestId')) AS n_starts,
   count(*) FILTER (regexp_matches(message, '(?i)task timed out')) AS n_timeouts, count(*) FILTER (regexp_matches(message, '(?i)error|exception')) AS n_errors
-  FROM logs WHERE ts <= '2024-01-25' AND ts >= TIMESTAMP '2024-01-25' - CASE log_group WHEN 'indexer' THEN INTERVAL 1440 MINUTE WHEN 'scraper' THEN INTERVAL 1440 MINUTE
-      WHEN 'layer_cleanup' THEN INTERVAL 20160 MINUTE ELSE INTERVAL 600 MINUTE END GROUP BY log_group""")
+  FROM logs WHERE ts <= '2024-01-25' AND ts >= TIMESTAMP '2024-01-25' - CASE WHEN log_group LIKE '%indexer' THEN INTERVAL 1440 MINUTE WHEN log_group LIKE '%scraper' THEN INTERVAL 1440 MINUTE
+      WHEN log_group LIKE '%layer_cleanup' THEN INTERVAL 20160 MINUTE ELSE INTERVAL 600 MINUTE END GROUP BY log_group""")
 def log_health_counts(spark, sf_dir):
     as_of = F.to_timestamp_ntz(F.lit("2024-01-25 00:00:00"))
     return L.health_counts(T.logs(spark, sf_dir), as_of, default=600)

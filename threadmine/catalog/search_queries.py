@@ -40,9 +40,9 @@ def _combined(spark, sf_dir):
         T.queries(spark, sf_dir), T.docs(spark, sf_dir), T.vectors(spark, sf_dir), QID, T.VARIANTS)[1]
 
 
-def _stages(spark, sf_dir, max_chars=None):
+def _stages(spark, sf_dir):
     return retrieval.retrieve_and_rerank(
-        T.queries(spark, sf_dir), T.docs(spark, sf_dir), T.vectors(spark, sf_dir), QID, T.VARIANTS, max_chars=max_chars
+        T.queries(spark, sf_dir), T.docs(spark, sf_dir), T.vectors(spark, sf_dir), QID, T.VARIANTS
     )
 
 
@@ -138,7 +138,6 @@ def dedupe_first_text(spark, sf_dir):
 
 
 _RERANK = (*S.RETRIEVE, S.COMBINED, S.bm25())
-_CLIPPED = (*S.RETRIEVE, S.COMBINED, S.bm25("left(text, 4000)"))
 _RERANKED = "SELECT query_id, rank, position, doc_id, round(score, 6) AS score, round(bm25, 6) AS bm25, round(relevance, 6) AS relevance FROM reranked"
 
 
@@ -158,12 +157,6 @@ def retrieve_and_rerank(spark, sf_dir):
     return _final(_stages(spark, sf_dir))
 
 
-@query(S.clauses(*_CLIPPED) + _RERANKED)
-def retrieve_and_rerank_4000(spark, sf_dir):
-    """With the text length the re-ranker reads by default in the original service."""
-    return _final(_stages(spark, sf_dir, R.MAX_CHARS))
-
-
 @query(S.clauses(*_RERANK) + "SELECT query_id, doc_id, round(relevance_score, 6) AS relevance_score FROM judged")
 def rerank_judgments(spark, sf_dir):
     return _stages(spark, sf_dir).judged.select(*QID, "doc_id", T.r6("relevance_score").alias("relevance_score"))
@@ -193,8 +186,10 @@ def zero_result_queries(spark, sf_dir):
 
 @query()
 def context_top3(spark, sf_dir):
-    """Context strings; escapes differ between engines, so there is no SQL twin."""
-    c = retrieval.contexts(_stages(spark, sf_dir).reranked, QID)
+    """Context strings, labels standing for queries that found nothing. Escapes differ between engines, so there is no SQL twin."""
+    nothing = T.table(spark, sf_dir, "labels").select((-1 - F.col("doc_id")).alias("query_id"))
+    asked = T.queries(spark, sf_dir, vectors_too=False).select(*QID).unionByName(nothing)
+    c = retrieval.contexts(_stages(spark, sf_dir).reranked, QID, queries=asked)
     return c.select(*QID, F.size("top_texts").alias("n_texts"), "context")
 
 

@@ -122,7 +122,7 @@ def queries(spark: SparkSession, sf_dir: str, vectors_too: bool = True) -> DataF
     last = e.select(F.max("vec_id")).scalar()
     place = F.when(F.col("variant") == VARIANTS[0], F.col("query_id")).otherwise(last - F.col("query_id"))
     return both.withColumn("vec_id", place).join(
-        e.select("vec_id", F.col("embedding").alias("vector")), "vec_id"
+        e.select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left"
     ).select("query_id", "variant", "text", "vector")
 
 
@@ -141,11 +141,11 @@ def response_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.col("conv_id").cast("string").alias("message_id")
     chunks = c.select(message, F.lit("message_chunk").alias("type"), (F.col("turn") + 1).alias("seq"),
                       F.col("text").alias("content"))
-    ids = c.select("conv_id").distinct()
+    ids = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
     starts = ids.select(message, F.lit("message_start").alias("type"), F.lit(0).cast("bigint").alias("seq"),
                         F.lit("").alias("content"))
     ends = ids.where(F.pmod("conv_id", F.lit(5)) != 0).select(
-        message, F.lit("message_end").alias("type"), F.lit(1_000_000).cast("bigint").alias("seq"),
+        message, F.lit("message_end").alias("type"), (F.col("last") + 2).cast("bigint").alias("seq"),
         F.lit("").alias("content"))
     return chunks.unionByName(starts).unionByName(ends)
 

@@ -24,9 +24,9 @@ DEFAULT_WINDOW = 15
 
 def scan(
     logs: DataFrame, contains: str | None = None, start: Column | None = None, end: Column | None = None,
-    limit: int | None = 1000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Newest records in a time range whose message holds a text."""
+    """Records in a time range whose message holds a text; with a ``limit`` the newest of them."""
     rows = logs
     if start is not None:
         rows = rows.where(F.col("ts") >= start)
@@ -123,10 +123,13 @@ def newest_cold(starts: DataFrame, n: int = 10) -> DataFrame:
 def health_counts(
     logs: DataFrame, as_of: Column, windows: dict[str, int] = WINDOWS, default: int = DEFAULT_WINDOW
 ) -> DataFrame:
-    """Lines, invocations, timeouts and error lines per ``log_group`` within its look-back."""
+    """Lines, invocations, timeouts and error lines per ``log_group`` within its look-back.
+
+    A group's name ends with the name of its job; the first job that fits counts.
+    """
     minutes = F.lit(default)
-    for group, m in windows.items():
-        minutes = F.when(F.col("log_group") == group, F.lit(m)).otherwise(minutes)
+    for job, m in reversed(windows.items()):
+        minutes = F.when(F.col("log_group").endswith(job), F.lit(m)).otherwise(minutes)
     age = F.timestamp_diff("MICROSECOND", F.col("ts"), as_of)
     message = F.col("message")
     return logs.where((age >= 0) & (age <= minutes * F.lit(60_000_000).cast("bigint"))).groupBy("log_group").agg(

@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmine.functions.ids import text_id
-from threadmine.functions.text import clip, tokenize_words
+from threadmine.functions.text import tokenize_words
 from threadmine.operators.ranking import score_key, top_k
 from threadmine.operators.search import LIMIT, scaled
 
-# BM25 (Okapi) parameters, and the text length the re-ranker reads by default.
+# BM25 (Okapi) parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-MAX_CHARS = 4000
 
 
 def bm25_scores(
-    candidates: DataFrame, queries: DataFrame, keys: list[str], max_chars: int | None = None,
+    candidates: DataFrame, queries: DataFrame, keys: list[str],
     k1: float = K1, b: float = B, epsilon: float = EPSILON,
 ) -> DataFrame:
     """``(*keys, position, bm25)`` for candidates ``(*keys, position, text)``.
@@ -24,17 +23,15 @@ def bm25_scores(
     N, average length and document frequency are those of the query's own
     candidates. A term in more than half of them has a negative IDF and gets
     ``epsilon`` times the mean IDF instead. Repeated query words count repeatedly.
-    ``max_chars`` cuts the texts first; the default reads them whole.
 
     A query's candidates are a short list (two searches' limit), so everything is
     computed where the query's rows are: one shuffle by query, then windows whose
     keys extend it.
     """
-    text = F.col("text") if max_chars is None else clip(F.col("text"), max_chars)
     asked = queries.select(*keys, tokenize_words(F.col("text")).alias("_asked"))
     by_query, by_term = Window.partitionBy(*keys), Window.partitionBy(*keys, "term")
     tokens = (
-        candidates.select(*keys, "position", tokenize_words(text).alias("_t")).repartition(*keys)
+        candidates.select(*keys, "position", tokenize_words(F.col("text")).alias("_t")).repartition(*keys)
         .withColumns({"_n": F.count(F.lit(1)).over(by_query), "_avg": F.avg(F.size("_t")).over(by_query)})
     )
     terms = (
@@ -59,7 +56,6 @@ def bm25_scores(
 
 def rerank(
     candidates: DataFrame, queries: DataFrame, keys: list[str], limit: int = LIMIT,
-    max_chars: int | None = None,
 ) -> DataFrame:
     """The top ``limit`` candidates of each query, best BM25 first.
 
@@ -68,7 +64,7 @@ def rerank(
     0..1 within the query's candidates, null if it was not re-ranked).
     """
     size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    scored = scaled(bm25_scores(candidates, queries, keys, max_chars), keys, "bm25", "relevance")
+    scored = scaled(bm25_scores(candidates, queries, keys), keys, "bm25", "relevance")
     reranked = F.col("_n") > limit
     scored = scored.withColumn("_n", size).select(
         *keys, "position", F.when(reranked, F.col("bm25")).alias("bm25"),

@@ -24,8 +24,8 @@ def newest_per_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Insert or replace by key. Several changes of one key: the last in ``order`` wins."""
-    incoming = newest_per_key(changes, keys, F.struct(*order)) if order else changes
+    """Insert or replace by key. Several changes of one key: the last in ``order`` wins, any one without an order."""
+    incoming = newest_per_key(changes, keys, F.struct(*order)) if order else changes.dropDuplicates(keys)
     kept = delete_keys(table, incoming, keys)
     return kept.unionByName(incoming.select(*table.columns))
 

@@ -6,31 +6,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmine.operators import curate as C
+from threadmine.schemas import PARTITIONS
 from threadmine.session import stage
 from threadmine.sources import posts as S
 
+# What a daily merge touches: the forum and the month of the post, not the day it was ingested.
+TOUCH = ["subreddit_name", "year", "month"]
+
 
 def merge_top(existing: DataFrame | None, new: DataFrame) -> DataFrame:
     """All-time merge: new rows replace existing ones of the same id.
 
     Without existing rows the new ones are the result; without an id on both
-    sides the two are appended.
+    sides the two are appended. A column that only one side has is null on the other's rows.
     """
     if existing is None:
         return new
-    columns = [c for c in existing.columns if c in new.columns]
-    kept = C.without_ids(existing, new) if "id" in columns else existing
-    return kept.select(*columns).unionByName(new.select(*columns))
+    both = "id" in existing.columns and "id" in new.columns
+    kept = C.without_ids(existing, new) if both else existing
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def merge_daily(existing: DataFrame | None, new: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """Daily merge: the partitions the new rows touch, one row per forum and id, new rows first.
+    """Daily merge: the (forum, year, month) the new rows touch, one row per forum and id, new rows first.
 
-    Rows of a partition that is not touched are not read and not part of the result.
+    The months are those of the posts, so a post is found again on whatever day it was ingested.
+    Rows of a month that is not touched are not part of the result.
     """
     fresh = new.withColumn("_age", F.lit(0))
     both = fresh if existing is None else fresh.unionByName(
-        C.in_touched_partitions(existing, new).select(*new.columns).withColumn("_age", F.lit(1))
+        C.in_touched_partitions(existing, new, TOUCH).withColumn("_age", F.lit(1)), allowMissingColumns=True
     )
     newest = [F.col("_age"), *(order or [F.col("score").desc()])]
     return C.dedupe_latest(both, ["subreddit_name", "id"], newest).drop("_age")
@@ -49,12 +54,23 @@ def run_merge_top(spark: SparkSession, raw: DataFrame, curated_path: str, next_p
 
 
 def run_merge_daily(spark: SparkSession, raw: DataFrame, curated_path: str) -> bool:
-    """Merge a day's rows into the partitions they touch, in place.
+    """Merge a day's rows into the months they touch, in place.
 
-    The merge is written out before the partitions are replaced, since they are also its input.
+    Stored partitions are days of ingestion. Those that hold a touched row are written anew, with
+    their untouched rows; those that lose their last row are removed. The new content is
+    written out before anything is replaced, since the partitions are also its input.
     """
     if raw.isEmpty():
         return False
-    merged = stage(merge_daily(S.read_curated(spark, curated_path), raw), "merged")
-    S.write_curated(merged, curated_path)
+    existing = S.read_curated(spark, curated_path)
+    merged = merge_daily(existing, raw)
+    if existing is None:
+        S.write_curated(merged, curated_path)
+        return True
+    touched = C.touched_partitions(C.in_touched_partitions(existing, raw, TOUCH))
+    affected = stage(touched.unionByName(C.touched_partitions(raw)).distinct(), "affected")
+    beside = C.in_touched_partitions(existing, affected).join(raw.select(*TOUCH).distinct(), TOUCH, "left_anti")
+    content = stage(merged.unionByName(beside, allowMissingColumns=True), "merged")
+    S.write_curated(content, curated_path)
+    S.remove_partitions(spark, curated_path, affected.join(C.touched_partitions(content), PARTITIONS, "left_anti"))
     return True

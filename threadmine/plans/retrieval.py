@@ -35,6 +35,16 @@ def candidate_lists(
     return Q.dense_topk(queries, vectors, keys, k), Q.ranked(scores, keys, k)
 
 
+def _with_text_after(
+    fused: DataFrame, docs: DataFrame, keys: list[str], limit: int, columns: list[str], size: Q.QuerySize
+) -> DataFrame:
+    """The best hits that have a text, with their columns. Texts are attached after the cut: what is ranked and
+    shuffled before it are numbers."""
+    few = size.hits_bounded(2 * limit * Q.OVERFETCH)
+    top = Q.fused_top(Q.with_text(fused, docs, [], few), keys, limit)
+    return Q.with_text(top, docs, columns, few)
+
+
 def hybrid_search(
     queries: DataFrame, docs: DataFrame, vectors: DataFrame, keys: list[str], limit: int = Q.LIMIT,
     alpha: float = Q.ALPHA, rrf_k: int = Q.RRF_K, index: SparseIndex | None = None, columns: list[str] | None = None,
@@ -49,8 +59,7 @@ def hybrid_search(
     size = Q.QuerySize.of(queries)
     dense, sparse = candidate_lists(queries, docs, vectors, keys, limit, index, size)
     fused = Q.rrf_fuse(dense, sparse, keys, alpha, rrf_k)
-    fused = Q.with_text(fused, docs, columns, size.hits_bounded(2 * limit * Q.OVERFETCH))
-    top = Q.fused_top(fused, keys, limit)
+    top = _with_text_after(fused, docs, keys, limit, columns, size)
     return top.select(*keys, "rank", "doc_id", "score", "rrf_dense", "rrf_sparse", *columns)
 
 
@@ -67,7 +76,7 @@ def blend_search(
     average = W.average_length(post, n_docs)
     scores = Q.keyword_scores(queries, post, n_docs, average, keys, bounded=size.terms_bounded)
     fused = Q.blend_fuse(Q.dense_topk(queries, vectors, keys, k), Q.ranked(scores, keys, k), keys, alpha)
-    top = Q.fused_top(Q.with_text(fused, docs, columns, size.hits_bounded(2 * k)), keys, limit)
+    top = _with_text_after(fused, docs, keys, limit, columns, size)
     return top.select(*keys, "rank", "doc_id", "score", *columns)
 
 
@@ -102,26 +111,32 @@ def retrieve(
     several times from there on and the search must not run again.
     """
     hits = stage(hybrid_search(queries, docs, vectors, [*keys, "variant"], limit, alpha, index=index), "hits")
-    order = F.when(F.col("variant") == variants[0], 0).otherwise(1) * 1_000_000 + F.col("rank")
+    order = F.struct(F.when(F.col("variant") == variants[0], 0).otherwise(1).alias("list"), F.col("rank"))
     return hits, stage(Q.combine_best(hits, keys, order), "combined")
 
 
 def retrieve_and_rerank(
     queries: DataFrame, docs: DataFrame, vectors: DataFrame, keys: list[str], variants: tuple[str, str],
-    limit: int = Q.LIMIT, alpha: float = Q.ALPHA, index: SparseIndex | None = None, max_chars: int | None = None,
+    limit: int = Q.LIMIT, alpha: float = Q.ALPHA, index: SparseIndex | None = None,
 ) -> Retrieval:
     """Search with both variants of each query, combine, re-rank by the first variant's text."""
     hits, combined = retrieve(queries, docs, vectors, keys, variants, limit, alpha, index)
     main = queries.where(F.col("variant") == variants[0]).select(*keys, "text")
-    reranked = rerank(combined.drop("rank"), main, keys, limit, max_chars)
+    reranked = rerank(combined.drop("rank"), main, keys, limit)
     return Retrieval(hits, combined, reranked, judgments(reranked, keys))
 
 
-def contexts(reranked: DataFrame, keys: list[str], top: int = 3) -> DataFrame:
-    """One context string per query from its best ``top`` texts."""
+def contexts(reranked: DataFrame, keys: list[str], top: int = 3, queries: DataFrame | None = None) -> DataFrame:
+    """One context string per query from its best ``top`` texts.
+
+    With the ``queries`` that were asked, those that found nothing have the sentence for that.
+    """
     best = reranked.where(F.col("rank") <= top).groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]).alias("top_texts")
     )
+    if queries is not None:
+        best = queries.select(*keys).distinct().join(best, keys, "left").withColumn(
+            "top_texts", F.coalesce("top_texts", F.array().cast("array<string>")))
     return best.withColumn("context", X.context_string(F.col("top_texts"), top))
 
 

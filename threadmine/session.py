@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # A broadcast side must have at most this many rows (rows here are short: a
 # term and a weight, a key and a timestamp, one query vector).
 BROADCAST_ROWS = 200_000
+# Rows of one key from which on a salted join splits it.
+HEAVY_ROWS = 1_000_000
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -86,15 +88,20 @@ def salted_join(
     on: list[str],
     spread_by: list[str],
     how: str = "inner",
-    salts: int = 16,
+    rows_per_salt: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Equi-join where one key of ``big`` may hold a large part of its rows.
 
-    Each key of ``big`` is spread over ``salts`` partitions by the hash of
-    ``spread_by``; the rows of ``small`` (few per key) are repeated once per salt.
+    The rows of each key of ``big`` are counted first. A key with more than ``rows_per_salt`` is spread by
+    the hash of ``spread_by`` over as many parts as it has that many rows, and only its rows of
+    ``small`` are repeated; all other keys are joined as they are. There are at most
+    ``rows / rows_per_salt`` heavy keys, so their table can be broadcast.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    heavy = F.broadcast(big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_salt).select(
+        *on, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts")))
+    parts = F.coalesce("_salts", F.lit(1))
+    left = big.join(heavy, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), parts).cast("int")).drop("_salts")
+    right = small.join(heavy, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

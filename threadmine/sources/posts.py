@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +20,18 @@ def read_posts_json(spark: SparkSession, path: str | list[str], schema: T.Struct
     """Posts from JSON arrays or lines; unknown fields are dropped, missing ones are null.
 
     ``path`` may be a glob. Partition columns that are part of the path are read as text
-    and cast, whatever Spark would infer for them.
+    and cast, whatever Spark would infer for them. A line that is no JSON object of a post
+    holds nothing and is left out; :func:`corrupt_lines` lists such lines.
     """
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
-    return _typed(reader.json(path))
+    posts = _typed(spark.read.schema(schema).option("mode", "PERMISSIVE").json(path))
+    held = [F.col(f.name) for f in schema.fields if f.name not in PARTITIONS]
+    return posts.where(reduce(or_, [c.isNotNull() for c in held]))
+
+
+def corrupt_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, line)`` of the lines below ``path`` that are no JSON."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
+    return lines.where((F.trim("line") != "") & F.try_parse_json("line").isNull())
 
 
 def _typed(posts: DataFrame) -> DataFrame:
@@ -75,11 +86,25 @@ def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
 def read_curated(spark: SparkSession, path: str) -> DataFrame | None:
     """The curated table, or None if there is none yet. Any other failure is raised."""
     try:
-        return _typed(spark.read.parquet(path))
+        found = spark.read.parquet(path).schema
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    # Spark would infer a number from a forum named 007; partition columns have the types of the schema.
+    kinds = {f.name: f.dataType for f in schemas.POST.fields if f.name in PARTITIONS}
+    return spark.read.schema(
+        T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])
+    ).parquet(path)
+
+
+def remove_partitions(spark: SparkSession, path: str, partitions: DataFrame) -> None:
+    """Delete the folders of some partitions (one row each: those that a merge has emptied)."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for row in partitions.select(*PARTITIONS).distinct().toLocalIterator():
+        folder = "/".join(f"{c}={escaped.escapePathName(str(row[c]))}" for c in PARTITIONS)
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}"), True)
 
 
 def write_curated(posts: DataFrame, path: str, replace_all: bool = False) -> None:
