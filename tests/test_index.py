@@ -59,21 +59,25 @@ def test_short_comments_are_left_out(spark):
 
 def test_index_written_updated_and_searched(spark):
     points = index.index_rows(_post(spark, "red shoes " * 3, "blue shoes are good"))
-    index.write_index(spark, "t_ix", points, buckets=4)
+    index.write_index(spark, "t_ix", points, parts=4)
     first = index.open_sparse(spark, "t_ix")
     assert first.postings.select("doc_id").distinct().count() == 2 == spark.table("t_ix_points").count()
     more = index.index_rows(_post(spark, "green hats", "blue shoes are good"))
-    index.write_index(spark, "t_ix", more, recreate=False, buckets=4)
+    index.write_index(spark, "t_ix", more, recreate=False)
     again = index.open_sparse(spark, "t_ix")
     terms = {r["term"]: r["df"] for r in again.terms.collect()}
     assert "red" not in terms and terms["hats"] == 1 and spark.table("t_ix_points").count() == 2
     q = spark.createDataFrame([("q", "green hats")], "query_id string, text string")
-    hits = Q.sparse_scores(q, again.postings, again.n_docs, ["query_id"], again.terms)
+    hits = Q.sparse_scores(q, again.postings_for(q), again.n_docs, ["query_id"], again.terms)
     assert hits.count() == 1
-    # the stored postings are bucketed by document, so scoring sums without a shuffle of them
+    # only the partitions of the terms that are asked for are read
     plan = hits._jdf.queryExecution().executedPlan().toString()
-    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert "Bucketed: true" in plan and len(shuffles) == 1 and "query_len" in shuffles[0]
+    assert "PartitionFilters: [isnotnull(term_part" in plan or "term_part#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert len(again.postings_for(q).inputFiles()) < len(again.postings.inputFiles())
+    whole = index.SparseIndex.of(spark.table("t_ix_points"), "id", "page_content")
+    for one, other in ((again.terms, whole.terms), (again.postings.drop("term_part"), whole.postings)):
+        assert {tuple(r) for r in one.select(*sorted(one.columns)).collect()} == {
+            tuple(r) for r in other.select(*sorted(other.columns)).collect()}
     for suffix in ("points", "postings", "terms"):
         spark.sql(f"DROP TABLE t_ix_{suffix}")
 

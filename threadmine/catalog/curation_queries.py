@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,15 +12,16 @@ from threadmine.catalog import tables as T
 from threadmine.catalog.registry import query
 from threadmine.operators import chunk as K
 from threadmine.operators import curate as C
+from threadmine.operators import search as Q
 from threadmine.operators import tables as B
 from threadmine.operators.ranking import with_row_index
 from threadmine.operators.weights import with_idf
 from threadmine.plans import index as I
 from threadmine.plans import landing, merge
 from threadmine.schemas import PARTITIONS
-from threadmine.session import new_path
+from threadmine.session import new_path, stage
 from threadmine.sources import posts as P
-from threadmine.sources.store import scroll
+from threadmine.sources.store import delete_index, scroll
 
 DAY_DATE = dt.date(2025, 10, 1)
 NOW_SECONDS = 1_750_000_000
@@ -441,6 +443,48 @@ def build_index(spark, sf_dir):
     return weights.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), T.r6(F.sum("weight")).alias("total_weight"))
 
 
+def _index_search(points: str) -> str:
+    """Best three points of each benchmark text by words and by vector, and their fusion."""
+    return S.clauses(
+        *_CHUNKED, points, S.POSTINGS.replace("FROM documents", "FROM points"),
+        f"asked AS (SELECT item_id AS query_id, text, {S.sparse_tokens('text')} AS t FROM benchmark)",
+        "aterm AS (SELECT query_id, n, term, count(*) AS qtf FROM (SELECT query_id, len(t) AS n, unnest(t) AS term FROM asked) GROUP BY ALL)",
+        "found AS (SELECT query_id, doc_id, sum(qtf * 1.0 / n * idf * (tf * 1.0 / doc_len) * idf) AS score FROM aterm JOIN idfs USING (term) JOIN post USING (term) GROUP BY ALL)",
+        f"ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {S.key('score')} DESC, doc_id) AS rank FROM found)",
+    ) + "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 45"
+
+
+def _search_stored(spark, sf_dir, name):
+    """The keyword list of a stored index, which then goes."""
+    asked = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    index = I.open_sparse(spark, name)
+    scores = Q.sparse_scores(asked, index.postings_for(asked), index.n_docs, ["query_id"], index.terms)
+    found = stage(Q.ranked(scores, ["query_id"], 45), "found")
+    for kind in ("points", "postings", "terms"):
+        delete_index(spark, f"{name}_{kind}")
+    return found.select("query_id", "rank", "doc_id", T.r6("score").alias("score"))
+
+
+@query(_index_search(f"points AS (SELECT {_uuid(_NAME)} AS doc_id, page_content AS text FROM chunks)"))
+def index_search(spark, sf_dir):
+    """Index of posts and comments written to tables, opened again and searched; ids are UUID texts."""
+    name = f"ix_{uuid.uuid4().hex}"
+    I.write_index(spark, name, I.index_rows(T.posts(spark, sf_dir), _reply_rows(spark, sf_dir)), parts=64)
+    return _search_stored(spark, sf_dir, name)
+
+
+@query(_index_search(f"points AS (SELECT {_uuid(_NAME)} AS doc_id, CASE WHEN type = 'post' AND post_id LIKE '%3' THEN page_content || ' benchmark' ELSE page_content END AS text FROM chunks)"))
+def index_incremental(spark, sf_dir):
+    """The same in two writes: all points but some posts' comments, then those and new texts of the same posts."""
+    name = f"ix_{uuid.uuid4().hex}"
+    points = stage(I.index_rows(T.posts(spark, sf_dir), _reply_rows(spark, sf_dir)), "points")
+    again = F.col("post_id").endswith("3")
+    changed = F.when(F.col("type") == "post", F.concat("page_content", F.lit(" benchmark"))).otherwise(F.col("page_content"))
+    I.write_index(spark, name, points.where(~again | (F.col("type") == "post")), parts=64)
+    I.write_index(spark, name, points.where(again).withColumn("page_content", changed), recreate=False)
+    return _search_stored(spark, sf_dir, name)
+
+
 _UPSERT = (S.POSTS, S.NEW_POSTS, f"old_points AS (SELECT id AS point_id, content AS text, score FROM posts)",
            "merged AS (SELECT * FROM old_points WHERE point_id NOT IN (SELECT id FROM new_posts) UNION ALL SELECT id, content, score FROM new_posts)")
 

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmine.functions.ids import point_id
+from threadmine.functions.text import tokenize_sparse
 from threadmine.operators import curate as C
 from threadmine.operators import weights as W
 from threadmine.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_posts
-from threadmine.operators.tables import upsert
+from threadmine.operators.tables import newest_per_key, upsert
+from threadmine.session import stage
 from threadmine.sources import store
 
 
@@ -39,17 +41,32 @@ def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """Postings, term statistics and the number of documents, empty ones included."""
+    """Postings, term statistics and the number of documents, empty ones included.
+
+    ``parts`` is the number of term partitions of stored postings.
+    """
 
     postings: DataFrame
     terms: DataFrame
     n_docs: Column
+    parts: int | None = None
 
     @staticmethod
     def of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> SparseIndex:
         post = W.postings(docs, doc_id, text)
         return SparseIndex(post, W.document_frequency(post), W.count_rows(docs))
 
+    def postings_for(self, queries: DataFrame, text: str = "text") -> DataFrame:
+        """The postings, of stored ones only the partitions with a term that ``queries`` ask for.
+
+        The driver collects partition numbers, ``parts`` of them at most.
+        """
+        if self.parts is None:
+            return self.postings
+        term = F.explode(tokenize_sparse(F.col(text))).alias("term")
+        asked = queries.select(term).select(store.part_of(F.col("term"), self.parts)).distinct().collect()
+        return self.postings.where(F.col("term_part").isin([r.term_part for r in asked]))
+
     def weights(self) -> DataFrame:
         return W.tfidf(self.postings, self.n_docs)
 
@@ -65,35 +82,50 @@ def index_rows(
     return with_ids(chunk_posts(chosen, comments, size, overlap, splitter), compat_ids)
 
 
+def one_per_id(points: DataFrame) -> DataFrame:
+    """Points of which several have one id (as with ``compat_ids``) leave the one stored last: the last comment's."""
+    place = F.struct(*[c for c in ("post_id", "comment_id", "chunk_id") if c in points.columns])
+    return newest_per_key(points, ["id"], place)
+
+
 def write_index(
-    spark: SparkSession, name: str, points: DataFrame, recreate: bool = True, buckets: int = 64
+    spark: SparkSession, name: str, points: DataFrame, recreate: bool = True, parts: int | None = None
 ) -> None:
     """Write the points table and the sparse tables made from it.
 
-    ``recreate`` replaces the points, else they are merged in by id. Weights are always
-    those of the whole index, so postings and terms are made again from all points.
+    ``recreate`` replaces everything. Else the points are merged in by id: postings of new points are
+    appended, those of replaced points taken away, and term counts changed by the difference. The
+    weights themselves are made when searching, so no other posting changes.
     """
-    if not recreate and spark.catalog.tableExists(f"{name}_points"):
-        current = spark.table(f"{name}_points")
-        store.replace_table(upsert(current, points, ["id"]), f"{name}_points")
-    else:
-        store.delete_index(spark, f"{name}_points")
-        points.write.saveAsTable(f"{name}_points")
-    rebuild_sparse(spark, name, buckets)
-
-
-def rebuild_sparse(spark: SparkSession, name: str, buckets: int = 64) -> None:
+    points = stage(one_per_id(points), "points")
+    if recreate or not spark.catalog.tableExists(f"{name}_points"):
+        store.replace_table(points, f"{name}_points")
+        rebuild_sparse(spark, name, parts)
+        return
+    current, stored = spark.table(f"{name}_points"), spark.table(f"{name}_postings")
+    gone = stage(current.join(points.select("id"), ["id"], "left_semi").select(F.col("id").alias("doc_id")), "gone")
+    new = stage(W.postings(points, "id", "page_content"), "postings")
+    count = F.count(F.lit(1))
+    change = spark.table(f"{name}_terms").select("term", "df").unionByName(
+        new.groupBy("term").agg(count.alias("df"))).unionByName(
+        stored.join(gone, ["doc_id"], "left_semi").groupBy("term").agg((-count).alias("df")))
+    terms = stage(change.groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") > 0), "terms")
+    store.change_postings(spark, f"{name}_postings", new, gone)
+    store.replace_table(terms, f"{name}_terms")
+    store.replace_table(upsert(current, points, ["id"]), f"{name}_points")
+
+
+def rebuild_sparse(spark: SparkSession, name: str, parts: int | None = None) -> None:
     """Make postings and term statistics again from the stored texts; dense vectors stay as they are."""
-    points = spark.table(f"{name}_points")
-    post = W.postings(points, "id", "page_content")
-    store.write_bucketed(post, f"{name}_postings", "doc_id", buckets)
-    stored = spark.table(f"{name}_postings")
-    W.document_frequency(stored).write.mode("overwrite").saveAsTable(f"{name}_terms")
+    post = stage(W.postings(spark.table(f"{name}_points"), "id", "page_content"), "postings")
+    store.write_by_term(post, f"{name}_postings", parts)
+    store.replace_table(W.document_frequency(post), f"{name}_terms")
 
 
 def open_sparse(spark: SparkSession, name: str) -> SparseIndex:
     return SparseIndex(
-        spark.table(f"{name}_postings"), spark.table(f"{name}_terms"), W.count_rows(spark.table(f"{name}_points"))
+        spark.table(f"{name}_postings"), spark.table(f"{name}_terms"), W.count_rows(spark.table(f"{name}_points")),
+        store.parts_of(spark, f"{name}_postings"),
     )
 
 

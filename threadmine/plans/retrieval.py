@@ -27,7 +27,7 @@ def candidate_lists(
     """
     size = size or Q.QuerySize.of(queries)
     k = limit * Q.OVERFETCH
-    post = index.postings if index else W.postings(docs)
+    post = index.postings_for(queries) if index else W.postings(docs)
     n_docs = index.n_docs if index else W.count_rows(docs)
     scores = Q.sparse_scores(
         queries, post, n_docs, keys, index.terms if index else None, bounded=size.terms_bounded
@@ -71,7 +71,7 @@ def blend_search(
     columns = columns or ["text"]
     size = Q.QuerySize.of(queries)
     k = limit * Q.OVERFETCH
-    post = index.postings if index else W.postings(docs)
+    post = index.postings_for(queries) if index else W.postings(docs)
     n_docs = index.n_docs if index else W.count_rows(docs)
     average = W.average_length(post, n_docs)
     scores = Q.keyword_scores(queries, post, n_docs, average, keys, bounded=size.terms_bounded)

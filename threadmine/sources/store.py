@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadmine.session import stage
+
+# Postings of one partition, and the most partitions of a table.
+ROWS_PER_PART, MAX_PARTS = 20_000_000, 50_000
+
 
 def create_index(spark: SparkSession, name: str, schema: str, force: bool = False) -> None:
     """Create an empty index table if it is not there; ``force`` drops it first."""
@@ -17,22 +22,72 @@ def delete_index(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def write_bucketed(df: DataFrame, name: str, key: str = "doc_id", buckets: int = 64) -> None:
-    """Replace a table, bucketed and sorted by ``key``: later joins and sums by it need no shuffle."""
-    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+def part_of(term: Column, parts: int) -> Column:
+    """Partition of a term in a table of ``parts`` partitions."""
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int").alias("term_part")
+
+
+def _laid_out(postings: DataFrame, parts: int) -> DataFrame:
+    """Postings in the order of the table; a frequent term is spread over several files of its partition."""
+    columns = [c for c in postings.columns if c != "term_part"]
+    return postings.select(*columns, part_of(F.col("term"), parts)).hint(
+        "rebalance", F.col("term_part")).sortWithinPartitions("term_part", "term", "doc_id")
+
+
+def write_by_term(postings: DataFrame, name: str, parts: int | None = None) -> None:
+    """Replace a table of postings, partitioned by a hash of the term and sorted by term within its files.
+
+    A search reads the partitions of the terms it asks for and no others. The number of partitions
+    follows the number of rows (``ROWS_PER_PART`` each) and is kept as a property of the table.
+    """
+    spark = postings.sparkSession
+    if parts is None:
+        parts = max(1, min(MAX_PARTS, -(-postings.count() // ROWS_PER_PART)))
+    _laid_out(postings, parts).write.mode("overwrite").partitionBy("term_part").saveAsTable(name)
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('term_parts' = '{parts}')")
+
+
+def parts_of(spark: SparkSession, name: str) -> int:
+    return int(spark.sql(f"SHOW TBLPROPERTIES {name} ('term_parts')").first()["value"])
+
+
+def change_postings(spark: SparkSession, name: str, new: DataFrame, gone: DataFrame) -> None:
+    """Add postings and take away those of the documents in ``gone`` (doc_id).
+
+    Without documents to take away this only appends. Else the partitions that hold their terms are
+    written anew; the numbers of those partitions are all the driver sees.
+    """
+    stored, parts = spark.table(name), parts_of(spark, name)
+    old = stored.join(gone, ["doc_id"], "left_semi").select("term_part").distinct()
+    affected = [r.term_part for r in old.collect()]
+    fresh = stage(new.select(*[c for c in stored.columns if c != "term_part"], part_of(F.col("term"), parts)), "postings")
+    if affected:
+        rewritten = F.col("term_part").isin(affected)
+        kept = stored.where(rewritten).join(gone, ["doc_id"], "left_anti").select(*stored.columns)
+        content = stage(kept.unionByName(fresh.where(rewritten)), "postings")
+        emptied = set(affected) - {r.term_part for r in content.select("term_part").distinct().collect()}
+        _laid_out(content, parts).select(*stored.columns).write.option(
+            "partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
+        for part in emptied:
+            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (term_part = {part})")
+        fresh = fresh.where(~rewritten)
+    _laid_out(fresh, parts).select(*stored.columns).write.insertInto(name)
 
 
 def replace_table(df: DataFrame, name: str) -> None:
     """Swap in new content for a table that ``df`` may read from.
 
-    The content is written under another name first, so the old table is whole
-    until the new one is.
+    The content is written under another name first. The old table is renamed and dropped only after
+    the new one has its name, so that a failure at any point leaves one of them whole.
     """
     spark = df.sparkSession
     delete_index(spark, f"{name}__next")
     df.write.saveAsTable(f"{name}__next")
-    delete_index(spark, name)
+    if spark.catalog.tableExists(name):
+        delete_index(spark, f"{name}__old")
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}__old")
     spark.sql(f"ALTER TABLE {name}__next RENAME TO {name}")
+    delete_index(spark, f"{name}__old")
 
 
 def scroll(points: DataFrame, after: str | None = None, limit: int | None = None, key: str = "id") -> DataFrame:
