@@ -123,10 +123,10 @@ def test_seen_table_batches(spark, tmp_path):
     assert sorted((r["id"], r["batch_id"]) for r in got.collect()) == [("1", 0), ("2", 0), ("3", 1)]
 
 
-def test_retention_drops_repeats(spark, tmp_path):
-    rows = [("a", _at(0)), ("a", _at(5)), ("b", _at(1))]
+def test_retention_drops_repeats_and_old_messages(spark, tmp_path):
+    rows = [("a", _at(0)), ("a", _at(5)), ("b", _at(1)), ("old", _at(0) - dt.timedelta(days=1))]
     stream = _feed(spark, tmp_path, rows, "request_id string, ts timestamp", 3)
-    got = _run(spark, tmp_path, U.with_retention(stream, "ts", U.CHAT_RETENTION, "request_id"), "request_id string")
+    got = _run(spark, tmp_path, U.with_retention(stream, "ts", U.CHAT_RETENTION, "request_id", F.lit(_at(5))), "request_id string")
     assert sorted(r["request_id"] for r in got.collect()) == ["a", "b"]
 
 

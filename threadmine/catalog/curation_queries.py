@@ -259,6 +259,66 @@ def land_daily(spark, sf_dir):
     return _land_out(out)
 
 
+@query(S.clauses(*_LAND).replace("rank <= 50", "rank <= 5") + """SELECT id, subreddit_name, score, coalesce(ids, '') AS comment_ids FROM chosen c LEFT JOIN lists ON post_id = c.id
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.post_id = c.id AND s.subreddit = c.subreddit_name AND ttl > 1750000000)
+  UNION ALL SELECT id, subreddit_name, score, '' FROM landed""")
+def land_daily_written(spark, sf_dir):
+    """Five posts a forum landed as raw JSON behind what landed before, all read back."""
+    root, new = new_path(spark, "raw"), T.new_posts(spark, sf_dir)
+    P.write_raw_json(new.where("subreddit_name = 'src1'").drop("comments"), root)
+    landing.run_land_daily(
+        T.posts(spark, sf_dir), T.comments(spark, sf_dir), T.seen(spark, sf_dir), root, F.lit(DAY_DATE), F.lit(NOW_SECONDS),
+        hot=new.where("subreddit_name <> 'src1'"), limit=5)
+    back = P.read_posts_json(spark, root)
+    return back.select("id", "subreddit_name", "score", F.coalesce(F.array_join(F.transform("comments", lambda c: c["id"]), ","), F.lit("")).alias("comment_ids"))
+
+
+_TWO = "ranked AS (SELECT *, row_number() OVER (PARTITION BY subreddit_name ORDER BY score DESC, id) AS rank FROM posts)"
+
+
+@query(S.clauses(S.POSTS, _TWO) + "SELECT id, subreddit_name, score FROM ranked WHERE rank <= 7")
+def land_top_written(spark, sf_dir):
+    """Snapshots of two calls: the second leaves the forums alone that the first has landed."""
+    root, posts = new_path(spark, "raw"), T.posts(spark, sf_dir)
+    few = posts.where(F.col("subreddit_name").isin("src1", "src2", "src3"))
+    landing.run_land_top(few, T.comments(spark, sf_dir), root, F.lit(DAY_DATE), 7)
+    landing.run_land_top(posts, T.comments(spark, sf_dir), root, F.lit(DAY_DATE), 7)
+    return P.read_snapshots(spark, root).select("id", "subreddit_name", "score")
+
+
+@query(S.clauses(S.POSTS) + f"SELECT {_SQL_OUT}, md5(content) AS content_id FROM posts")
+def forum_files(spark, sf_dir):
+    """Posts wrapped into documents of some 200 of a forum, a file each, read back as rows."""
+    root = new_path(spark, "forums")
+    posts = T.posts(spark, sf_dir)
+    shape = P.schemas.FORUM_FILE["posts"].dataType.elementType
+    row = F.struct(*[(F.col(f.name) if f.name in posts.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
+    part = F.pmod(F.xxhash64("id"), F.ceil(posts.select(F.count(F.lit(1))).scalar() / 200))
+    posts.groupBy(F.upper("subreddit_name").alias("subreddit"), part.alias("part")).agg(
+        F.count(F.lit(1)).cast("int").alias("post_count"), F.collect_list(row).alias("posts")).drop("part").write.option("maxRecordsPerFile", 1).json(root)
+    return P.read_forum_files(spark, root).select(*_OUT, F.md5("content").alias("content_id"))
+
+
+@query(S.clauses(S.POSTS) + "SELECT id, year, month, md5(content) AS content_id FROM posts")
+def layout_by_month(spark, sf_dir):
+    path = new_path(spark, "months")
+    P.write_by_month(T.posts(spark, sf_dir), path)
+    return spark.read.parquet(path).select("id", "year", "month", F.md5("content").alias("content_id"))
+
+
+@query(S.clauses(S.POSTS) + f"SELECT {_SQL_OUT} FROM posts")
+def refresh_partitions(spark, sf_dir):
+    """Partitions written to the folder of a catalog table, made known to it."""
+    path, name = new_path(spark, "table"), f"posts_{uuid.uuid4().hex}"
+    P.write_curated(T.posts(spark, sf_dir).select(*_OUT), path, replace_all=True)
+    spark.sql(f"CREATE TABLE {name} (id string, score int, created_at_year int, created_at_month int, created_at_day int, subreddit_name string) "
+              f"USING parquet PARTITIONED BY ({', '.join(PARTITIONS)}) LOCATION '{path}'")
+    P.refresh_partitions(spark, name)
+    found = stage(spark.table(name).select(*_OUT), "table")
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 _LAND_TOP = (S.POSTS, S.COMMENTS, _FIRST,
              "chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subreddit_name ORDER BY score DESC, id) AS rank FROM posts WHERE subreddit_name NOT IN ('src1')) WHERE rank <= 200)",
              "lists AS (SELECT post_id, string_agg(id, ',' ORDER BY place) AS ids FROM kept GROUP BY post_id)")

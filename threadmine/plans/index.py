@@ -15,7 +15,7 @@ from threadmine.operators import curate as C
 from threadmine.operators import weights as W
 from threadmine.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_posts
 from threadmine.operators.tables import newest_per_key, upsert
-from threadmine.session import stage
+from threadmine.session import ship_package, stage
 from threadmine.sources import store
 
 
@@ -36,6 +36,7 @@ def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
         for batch in batches:
             yield batch.assign(vector=list(embedder(batch[text].fillna("").tolist())))
 
+    ship_package(chunks.sparkSession)
     return chunks.mapInPandas(run, f"{schema}, vector array<float>")
 
 

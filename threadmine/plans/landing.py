@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from threadmine.operators import curate as C
 from threadmine.schemas import PARTITIONS
+from threadmine.session import stage
+from threadmine.sources import posts as S
 
 
 def _take(posts: DataFrame, comments: DataFrame, limit: int, hot: DataFrame | None) -> DataFrame:
@@ -40,6 +42,29 @@ def land_top(posts: DataFrame, comments: DataFrame, landed: DataFrame, as_of: Co
     return _take(fresh, comments, limit, None)
 
 
+def run_land_daily(
+    posts: DataFrame, comments: DataFrame, seen: DataFrame, root: str, as_of: Column, now: Column,
+    hot: DataFrame | None = None, limit: int = C.DAILY_LIMIT,
+) -> DataFrame:
+    """Land one day below ``root`` as raw JSON; gives the seen table with the landed posts added.
+
+    What has landed is read from ``root`` itself. The day's posts are written out before they are
+    appended and marked, so both hold the same posts.
+    """
+    landed = S.landed_partitions(posts.sparkSession, root)
+    chosen = stage(land_daily(posts, comments, seen, landed, as_of, now, hot, limit), "landing")
+    S.write_raw_json(chosen, root)
+    return C.mark_seen(seen, chosen, now)
+
+
+def run_land_top(posts: DataFrame, comments: DataFrame, root: str, as_of: Column, limit: int = C.TOP_LIMIT) -> DataFrame:
+    """Land the snapshot of the forums that have none below ``root`` yet; gives the landed posts."""
+    landed = S.landed_snapshots(posts.sparkSession, root)
+    chosen = stage(land_top(posts, comments, landed, as_of, limit), "landing")
+    S.write_snapshot_json(chosen, root, "append")
+    return chosen
+
+
 def landing_totals(landed: DataFrame, forums: DataFrame) -> DataFrame:
     """Posts per forum and whether the forum succeeded, for every forum that was asked for."""
     n = landed.groupBy("subreddit_name").agg(F.count(F.lit(1)).alias("n"))

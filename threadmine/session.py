@@ -7,8 +7,10 @@ session with the settings the library was tuned for.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 # Rows of one key from which on a salted join splits it.
 HEAVY_ROWS = 1_000_000
+_shipped: set[str] = set()
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,6 +48,23 @@ def build_session(app_name: str = "threadmine", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application; their tasks import its modules."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), "threadmine.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 

@@ -72,6 +72,26 @@ def write_raw_json(posts: DataFrame, root: str, mode: str = "append") -> None:
     _by_folder(posts, *PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).json(root)
 
 
+def _folders(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Partition values of the files below ``path``; no rows if there is no such folder. File contents are not read."""
+    schema = T.StructType([f for f in schemas.POST.fields if f.name in columns])
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        return spark.createDataFrame([], schema)
+    listed = spark.read.schema(schema).option("basePath", path).format("text").load(path)
+    return listed.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).distinct()
+
+
+def landed_partitions(spark: SparkSession, root: str) -> DataFrame:
+    """(day, forum) of the raw posts below ``root``."""
+    return _folders(spark, root, PARTITIONS)
+
+
+def landed_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """Forums that have a snapshot below ``root``."""
+    return _folders(spark, f"{root.rstrip('/')}/top_posts", ["subreddit_name"])
+
+
 def write_snapshot_json(posts: DataFrame, root: str, mode: str = "overwrite") -> None:
     """All-time snapshot as JSON below ``top_posts/subreddit_name=…``."""
     _by_folder(posts, "subreddit_name").write.mode(mode).partitionBy("subreddit_name").json(f"{root.rstrip('/')}/top_posts")

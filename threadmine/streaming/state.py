@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState
 
 from threadmine.functions.times import CONNECTION_DAYS, SESSION_DAYS
 from threadmine.operators.conversation import CHAT_TAIL
+from threadmine.session import ship_package
 
 # A handler gets the key, what it carried over, and the events that are due in time
 # order. It returns what to carry on (None to forget the key) and the rows to emit.
@@ -62,6 +63,7 @@ def ordered_state(
     """Apply ``handler`` per key in event-time order. ``events`` has ``ts`` and ``seq`` (order within a time)."""
     columns = [part.strip().split()[0] for part in output.split(",")]
     stamped = events.withWatermark(ts, delay).withColumn("ms", F.unix_millis(ts))
+    ship_package(events.sparkSession)
     return stamped.groupBy(key).applyInPandasWithState(
         _ordered(handler, columns, keep_days * 86_400_000), output, _STATE, "append", "EventTimeTimeout"
     )
