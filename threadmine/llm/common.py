@@ -6,9 +6,6 @@ Words are runs of characters other than the six ASCII white-space characters
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,9 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadmine.session import ship_package  # noqa: F401
+
 SPACES = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
-_shipped: set[str] = set()
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
@@ -48,23 +46,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the workers, once per application; their tasks import its modules."""
-    application = spark.sparkContext.applicationId
-    if application in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), "threadmine.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(application)
-
-
 def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have about ``limit`` bytes together (a longer text stands alone)."""
     start = total = 0

@@ -98,7 +98,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             step_by[:-1] += decay * w[:-1]
             m, v = 0.9 * m + 0.1 * step_by, 0.999 * v + 0.001 * step_by**2
             w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(known, w[:-1], float(w[-1]))
+    return Model(known.astype(np.uint64), w[:-1], float(w[-1]))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -109,7 +109,7 @@ def _without_copies(sets: list[np.ndarray]) -> list[np.ndarray]:
     """One of the sample's documents with the same three minhashes; else the words of one text with
     many near copies would look like words of all toxic texts."""
     seeds = [np.uint64(0x9E3779B97F4A7C15 * i & 2**64 - 1) for i in (1, 2, 3)]
-    one = {tuple(int(mix(x + s).min()) for s in seeds) if len(x) else (): x for x in reversed(sets)}
+    one = {tuple(int(mix(x.astype(np.uint64) + s).min()) for s in seeds) if len(x) else (): x for x in reversed(sets)}
     return list(reversed(one.values()))
 
 
@@ -174,7 +174,7 @@ def _feature_sets(rows: DataFrame) -> list[np.ndarray]:
     schema = T.StructType([id_field, T.StructField("blob", T.BinaryType())])
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")
     found = rows.select("doc_id", raw).mapInArrow(extract, schema).toArrow().sort_by("doc_id")
-    return [np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) for x in found.column("blob")]
+    return [np.frombuffer(x.as_buffer(), np.uint32) for x in found.column("blob")]
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE,
