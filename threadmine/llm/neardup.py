@@ -197,8 +197,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 8,
     """
     docs = docs.select("doc_id", "text")
     signed = stage(signatures(docs, k, m, a), "signatures")
-    copies = signed.where(F.col("n") > 0).groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("many")).where(F.col("many") > 1).drop("many")
+    # Written, so that the join below has an exchange on either side and a huge group of copies can be split.
+    copies = stage(signed.where(F.col("n") > 0).groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("node"), F.count("*").alias("many")).where(F.col("many") > 1).drop("many"), "copies")
     labelled = signed.join(copies, ["k1", "k2"], "left").withColumn("node", F.coalesce("node", "doc_id"))
     reps = stage(labelled.where((F.col("n") > 0) & (F.col("doc_id") == F.col("node"))).select(
         "node", "left", "right", *SKETCH), "representatives")
