@@ -27,6 +27,11 @@ def merge_top(existing: DataFrame | None, new: DataFrame) -> DataFrame:
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def _touch(existing: DataFrame, new: DataFrame) -> list[str]:
+    """The forum alone where a side does not know the posts' months."""
+    return TOUCH if {*TOUCH} <= {*existing.columns} & {*new.columns} else TOUCH[:1]
+
+
 def merge_daily(existing: DataFrame | None, new: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Daily merge: the (forum, year, month) the new rows touch, one row per forum and id, new rows first.
 
@@ -35,7 +40,7 @@ def merge_daily(existing: DataFrame | None, new: DataFrame, order: list[Column]
     """
     fresh = new.withColumn("_age", F.lit(0))
     both = fresh if existing is None else fresh.unionByName(
-        C.in_touched_partitions(existing, new, TOUCH).withColumn("_age", F.lit(1)), allowMissingColumns=True
+        C.in_touched_partitions(existing, new, _touch(existing, new)).withColumn("_age", F.lit(1)), allowMissingColumns=True
     )
     newest = [F.col("_age"), *(order or [F.col("score").desc()])]
     return C.dedupe_latest(both, ["subreddit_name", "id"], newest).drop("_age")
@@ -67,9 +72,10 @@ def run_merge_daily(spark: SparkSession, raw: DataFrame, curated_path: str) -> b
     if existing is None:
         S.write_curated(merged, curated_path)
         return True
-    touched = C.touched_partitions(C.in_touched_partitions(existing, raw, TOUCH))
+    keys = _touch(existing, raw)
+    touched = C.touched_partitions(C.in_touched_partitions(existing, raw, keys))
     affected = stage(touched.unionByName(C.touched_partitions(raw)).distinct(), "affected")
-    beside = C.in_touched_partitions(existing, affected).join(raw.select(*TOUCH).distinct(), TOUCH, "left_anti")
+    beside = C.in_touched_partitions(existing, affected).join(raw.select(*keys).distinct(), keys, "left_anti")
     content = stage(merged.unionByName(beside, allowMissingColumns=True), "merged")
     S.write_curated(content, curated_path)
     S.remove_partitions(spark, curated_path, affected.join(C.touched_partitions(content), PARTITIONS, "left_anti"))
