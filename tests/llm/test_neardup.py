@@ -127,3 +127,35 @@ def test_parity_sketch_never_rules_out_a_link():
         bits = sum(int(part[c][a] ^ part[c][b]).bit_count() if part[c][a] ^ part[c][b] >= 0
                    else (int(part[c][a] ^ part[c][b]) & 2**64 - 1).bit_count() for c in neardup.PARITY)
         assert bits <= len(sets[a] ^ sets[b])
+
+
+def test_repeats_of_one_id_grow_in_line(spark, monkeypatch):
+    """Neither rows that repeat an id and its text nor like texts under one id meet each other."""
+    made = {}
+    whole = neardup.stage
+
+    def counted(df, name):
+        out = whole(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stage", counted)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(80)]
+    near, other = [*base[:79], "z"], [f"v{i}" for i in range(40)]
+    rows = [(7, " ".join(base))] * 3000 + [(5, " ".join(near))] * 3000 + [(9, " ".join([*base[:78], "y", "z"]))]
+    rows += [(8, " ".join([*other, f"u{i}"])) for i in range(300)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got.collect()) == {
+        (7, 5, False): 3000, (5, 5, True): 3000, (9, 5, False): 1, (8, 8, True): 300}
+    assert made["representatives"] == 303
+    assert made["members"] <= 64 * 303
+    assert made["sets"] <= 303 * 8
+
+
+def test_all_texts_of_an_id_share_its_links(spark):
+    """Also if one of them is a copy of a smaller id's text and names no node itself."""
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "p q r s t u v"), (3, "p q r s t u v"), (3, None), (4, "x y z"), (4, "")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert sorted(r.doc_id for r in got if r.kept) == [1, 4, 4]

@@ -8,7 +8,8 @@ which is 7e-5 for s = 0.85, a = 2, m = 8, and 6e-4 for s = 0.8.
 
 Sets are linked only after their full shingle sets were compared.
 
-* Equal sets are one node, so copies never meet in a bucket.
+* Equal sets are one node, named by the number of one of its rows, so neither copies nor repeated rows meet in a
+  bucket. Different sets under one doc_id are nodes of their own with a link that needs no comparison.
 * In each bucket every node is compared with the smallest one. This joins large groups in a number
   of comparisons linear in their size.
 * Buckets that still hold several components are finished: nodes outside the bucket's largest
@@ -53,6 +54,7 @@ def signature(raws: list[bytes], k: int, m: int, a: int) -> dict[str, np.ndarray
     values, first = shingle_sets(raws, k)
     size = np.diff(first)
     at = first[:-1][size > 0]
+    k1, k2 = set_hashes(values, first)
 
     def full(x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(raws), *x.shape[1:]), np.int64)
@@ -74,7 +76,7 @@ def signature(raws: list[bytes], k: int, m: int, a: int) -> dict[str, np.ndarray
     parity = {name: full(_per_text(np.bitwise_xor, np.where(place >> np.uint64(6) == i, bit, np.uint64(0)), at))
               for i, name in enumerate(PARITY)}
     return {
-        "n": size, "k1": full(_per_text(np.add, mix(values), at)), "k2": full(_per_text(np.add, mix(~values), at)),
+        "n": size, "k1": k1, "k2": k2,
         "left": full(np.ascontiguousarray(bands[:, :m])), "right": full(np.ascontiguousarray(bands[:, m:])),
         "s1": full(sketch[0]), "s2": full(sketch[1]), **parity,
     }
@@ -102,29 +104,53 @@ def signatures(docs: DataFrame, k: int, m: int, a: int) -> DataFrame:
     return docs.select("doc_id", raw).mapInArrow(sign, schema)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, blob) of the documents named by ``nodes``: their sorted shingle hashes."""
-    schema = T.StructType([T.StructField("node", docs.schema["doc_id"].dataType), T.StructField("blob", T.BinaryType())])
+def set_hashes(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each text's set, 0 for the empty one."""
+    k1, k2 = (np.zeros(len(first) - 1, np.uint64) for _ in range(2))
+    some = np.diff(first) > 0
+    at = first[:-1][some]
+    k1[some], k2[some] = _per_text(np.add, mix(values), at), _per_text(np.add, mix(~values), at)
+    return k1.view(np.int64), k2.view(np.int64)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(k1, k2, blob) of the texts under ``ids``: set hash and sorted shingle hashes, a task gives each set once."""
+    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
+                           T.StructField("blob", T.BinaryType())])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                values, first = shingle_sets([x.as_py() for x in batch.column(1)[lo:hi]], k)
-                blobs = [values[i:j].tobytes() for i, j in zip(first, first[1:])]
+            for lo, hi in slices(batch.column(0)):
+                values, first = shingle_sets([x.as_py() for x in batch.column(0)[lo:hi]], k)
+                k1, k2 = set_hashes(values, first)
+                new = []
+                for i, key in enumerate(zip(k1.tolist(), k2.tolist())):
+                    if key not in seen:
+                        seen.add(key)
+                        new.append(i)
+                blobs = [values[first[i]:first[i + 1]].tobytes() for i in new]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array(blobs, pa.binary())], ["node", "blob"])
+                    [pa.array(k1[new]), pa.array(k2[new]), pa.array(blobs, pa.binary())], ["k1", "k2", "blob"])
 
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")
-    wanted = docs.join(nodes.select(F.col("node").alias("doc_id")), ["doc_id"], "left_semi")
-    return wanted.select("doc_id", raw).mapInArrow(collect, schema)
+    return docs.join(ids, ["doc_id"], "left_semi").select(raw).mapInArrow(collect, schema)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stage(_sets(docs, nodes, k), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("blob").alias("x")), ["a"]).join(
-        sets.select(F.col("node").alias("b"), F.col("blob").alias("y")), ["b"])
+    wanted = stage(reps.select("node", "doc_id", "k1", "k2").join(nodes, ["node"]), "wanted")
+    # Tasks may give the same set; a pair is compared on one of them. The choice is made on numbers, without the sets.
+    sets = stage(_sets(docs, stage(wanted.select("doc_id").distinct(), "ids"), k).withColumn(
+        "place", F.monotonically_increasing_id()), "sets")
+    places = stage(sets.select("k1", "k2", "place").join(wanted, ["k1", "k2"]).groupBy("node").agg(
+        F.min("place").alias("place")), "places")
+    both = pairs
+    for end, place in (("a", "p"), ("b", "q")):
+        both = both.join(places.select(F.col("node").alias(end), F.col("place").alias(place)), [end])
+    for place, blob in (("p", "x"), ("q", "y")):
+        both = both.join(sets.select(F.col("place").alias(place), F.col("blob").alias(blob)), [place])
     schema = T.StructType([T.StructField(c, pairs.schema[c].dataType) for c in ("a", "b")])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +222,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 8,
     Needs (doc_id, text); other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    signed = stage(signatures(docs, k, m, a), "signatures")
-    # Written, so that the join below has an exchange on either side and a huge group of copies can be split.
-    copies = stage(signed.where(F.col("n") > 0).groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("many")).where(F.col("many") > 1).drop("many"), "copies")
-    labelled = signed.join(copies, ["k1", "k2"], "left").withColumn("node", F.coalesce("node", "doc_id"))
-    reps = stage(labelled.where((F.col("n") > 0) & (F.col("doc_id") == F.col("node"))).select(
-        "node", "left", "right", *SKETCH), "representatives")
+    # Rows get numbers, fixed by being written. A node is the least number of the rows with its set and a doc_id.
+    signed = stage(signatures(docs, k, m, a).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    # Rows without shingles are one node for each doc_id.
+    signed = signed.withColumns({c: F.when(F.col("n") > 0, F.col(c)).when(
+        F.col("doc_id").isNotNull(), F.xxhash64(F.lit(c), "doc_id")) for c in ("k1", "k2")})
+    # Written, so that the joins below have an exchange on either side and a huge group of copies can be split.
+    copies = stage(signed.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(
+        F.min(F.when(F.col("doc_id").isNotNull(), F.col("row"))).alias("node"), F.min("doc_id").alias("low"),
+        F.count("*").alias("many")).where(F.col("many") > 1).drop("many"), "copies")
+    labelled = signed.join(copies, ["k1", "k2"], "left").withColumns({
+        "node": F.coalesce("node", F.when(F.col("doc_id").isNotNull(), F.col("row"))), "low": F.coalesce("low", "doc_id")})
+    reps = stage(labelled.where((F.col("n") > 0) & (F.col("row") == F.col("node"))).select(
+        "node", "doc_id", "k1", "k2", "left", "right", *SKETCH), "representatives")
+    labelled = stage(labelled.select("doc_id", "n", "node", "low"), "labelled")
+    several = stage(labelled.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.min("node").alias("a"), F.max("node").alias("last")).where(F.col("a") < F.col("last")).drop("last"), "several")
+    same_id = stage(labelled.join(several, ["doc_id"]).where(F.col("a") < F.col("node")).select(
+        "a", F.col("node").alias("b")).distinct(), "links")
     # Key rows hold a number and a node only. They are shuffled twice: counted, then joined with the counts above one.
     keys = reps.select("node", F.explode(F.flatten(F.transform("left", lambda x, i: F.transform(
         "right", lambda y, j: F.xxhash64(i * m + j, x, y))))).alias("key"))
@@ -212,11 +249,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 8,
     slim = reps.select("node", *SKETCH)
     stars = stage(stars.join(slim.alias("x"), F.col("a") == F.col("x.node")).join(slim.alias("y"), F.col("b") == F.col("y.node"))
                   .where(_alike("x", "y", percent)).select("a", "b").distinct(), "pairs")
-    links = stage(_verified(stars, docs, k, percent), "links")
+    links = stage(_verified(stars, reps, docs, k, percent).unionByName(same_id), "links")
     found = components(links)
     rest = stage(_rest_of_buckets(members, reps, found, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(rest, docs, k, percent)
-    nodes = components(links.unionByName(more))
-    return labelled.select("doc_id", "n", "node").join(nodes, ["node"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"),
+    more = _verified(rest, reps, docs, k, percent)
+    nodes = stage(components(links.unionByName(more)).join(
+        labelled.groupBy("node").agg(F.min("low").alias("low")), ["node"]), "nodes")
+    least = stage(nodes.groupBy("component").agg(F.min("low").alias("component_id")), "components")
+    named = stage(nodes.join(least, ["component"]).select("node", "component_id"), "nodes")
+    return labelled.join(named, ["node"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "low").alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
