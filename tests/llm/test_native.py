@@ -124,3 +124,12 @@ def test_load_keeps_the_miss_small(smallest):
     load = decontaminate.load_for(smallest, 80)
     shared = -(-smallest * 80 // 100)
     assert (1 - (1 - math.exp(-load)) / load) ** shared <= decontaminate.MISS or load <= 1 / 64
+
+
+def test_miss_holds_for_items_of_one_shingle():
+    import math
+
+    for smallest in (1, 2, 3):
+        load = decontaminate.load_for(smallest, 80)
+        assert (1 - (1 - math.exp(-load)) / load) ** max(1, -(-smallest * 80 // 100)) <= decontaminate.MISS
+    assert decontaminate.load_for(11, 80) >= 1 / 64

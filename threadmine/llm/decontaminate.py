@@ -59,7 +59,7 @@ def sketch(shingles: Column, level: Column) -> Column:
 def load_for(smallest: int, percent: int) -> float:
     """Shingles per bin so that the smallest item is missed with probability ``MISS`` at most."""
     load, shared = 4.0, max(1, -(-smallest * percent // 100))
-    while load > 1 / 64 and (1 - (1 - math.exp(-load)) / load) ** shared > MISS:
+    while (1 - (1 - math.exp(-load)) / load) ** shared > MISS:
         load /= 2
     return load
 
