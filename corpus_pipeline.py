@@ -7,7 +7,7 @@ columns of ``documents`` (and any others that came with them).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmine.llm import decontaminate, mixture, neardup, ring, toxicity
@@ -20,27 +20,45 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean_rows(docs, model)
 
 
+def _row_key() -> Column:
+    """Names a row by doc_id and text, so that verdicts hold for that text alone; in the order of ids, null ids last."""
+    text = [F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")]
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), text[0].alias("h1"), text[1].alias("h2"))
+
+
+def _with_keys(docs: DataFrame) -> DataFrame:
+    """(key, whole): a key for each row, and the row."""
+    return docs.select(_row_key().alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("whole"))
+
+
+def _searched(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with row keys for ids."""
+    return docs.select(_row_key().alias("doc_id"), "text")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id.
+    """One row of each group of like texts stays, the one with the smallest doc_id (null after all others).
 
-    Texts without words are in no group and stay. Of rows that repeat a doc_id and its text one stays. Rows with a
-    null doc_id can't be named by a group and stay.
+    Each row is judged by its own text, whether its doc_id is null or repeated. Texts without words are in no group
+    and stay; of those that repeat a doc_id and the text one stays.
     """
-    found = stage(neardup.near_duplicates(docs).where(F.col("doc_id").isNotNull()).select("doc_id", "kept"), "groups")
-    copies = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(copies, ["doc_id"], "left_anti")
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    found = stage(neardup.near_duplicates(_searched(docs)).select(F.col("doc_id").alias("key"), "n_shingles", "kept"), "groups")
+    copies = stage(found.where(~F.col("kept")).select("key").distinct(), "copies")
+    left = _with_keys(docs).join(copies, ["key"], "left_anti")
+    repeated = stage(found.where(F.col("kept") & ((F.col("n_shingles") > 0) | ~F.col("key.unnamed"))).groupBy("key").count().where(
+        "count > 1").select("key"), "repeated")
     if repeated.isEmpty():
-        return left.select(docs.columns)
-    once = left.join(repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, ["doc_id"], "left_anti").unionByName(once).select(docs.columns)
+        return left.select("whole.*")
+    # Written, so that tasks drop their own repeats before the rest meet.
+    once = stage(left.join(repeated, ["key"], "left_semi"), "once").dropDuplicates(["key"])
+    return left.join(repeated, ["key"], "left_anti").unionByName(once).select("whole.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go; rows with a null doc_id are not searched and stay."""
+    """Rows whose own text contains a benchmark item go, whether their doc_id is null or repeated."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.contained_items(docs, items).select("doc_id").distinct()
-    return docs.join(leaks, ["doc_id"], "left_anti").select(docs.columns)
+    leaks = stage(decontaminate.contained_items(_searched(docs), items).select(F.col("doc_id").alias("key")).distinct(), "leaks")
+    return _with_keys(docs).join(leaks, ["key"], "left_anti").select("whole.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

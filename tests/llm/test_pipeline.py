@@ -88,3 +88,27 @@ def test_odd_rows(spark, rows):
     for name, function in corpus_pipeline.STAGES:
         docs = stage(function(spark, docs, SF_DIR), name)
     assert (docs.count() > 0) == bool(rows)
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null ids are searched too, and a copy or leak takes no other text of its id with it."""
+    leak = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first().text
+    clean = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "pqrs"}
+    rows = [(1, clean["p"]), (None, clean["p"]), (2, clean["p"]), (2, clean["q"]), (None, clean["r"]), (None, clean["r"] + " z"),
+            (None, None), (None, None), (3, leak), (3, clean["s"]), (None, f"so {leak} on"), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id long, text string, key string")
+    once = stage(corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR), "near_duplicates")
+    assert once.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in once.collect()]
+    r_kept = [(i, t) for i, t in got if i is None and t and t.startswith(clean["r"])]
+    assert len(r_kept) == 1
+    leaks = [(i, t) for i, t in got if t and leak in t]
+    assert leaks
+    others = [x for x in got if x not in r_kept and x not in leaks]
+    assert sorted(others, key=str) == sorted(
+        [(1, clean["p"]), (2, clean["q"]), (None, None), (None, None), (3, clean["s"]), (4, "")], key=str)
+    assert {t for i, t in leaks if i is None} <= {f"so {leak} on"}
+    out = corpus_pipeline.drop_benchmark_leaks(spark, docs, SF_DIR)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(
+        ((i, t) for i, t in rows if not t or leak not in t), key=str)
