@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmine.llm import decontaminate, line_quality, mixture, neardup, quality_rules, ring, secrets, tokens, toxicity, warc
+from threadmine.llm import collocations, decontaminate, line_quality, mixture, neardup, quality_rules, ring, secrets, tokens, toxicity, warc
 from threadmine.llm.common import documents
 from threadmine.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -82,3 +82,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -
 @query()
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.ring_shards(documents(spark, sf_dir))
+
+
+@query(collocations.ORACLE)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
