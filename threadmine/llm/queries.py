@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmine.llm import collocations, decontaminate, line_quality, mixture, neardup, quality_rules, ring, secrets, tokens, toxicity, warc
+from threadmine.llm import alignment, collocations, decontaminate, language, line_quality, mixture, neardup, quality_rules, ring, secrets, tokens, toxicity, warc
 from threadmine.llm.common import documents
 from threadmine.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -87,3 +87,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(collocations.ORACLE)
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
+
+
+BYTE_LEVEL, PIECE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query()
+def op12_alignment(spark: SparkSession, sf_dir: str, a: str = BYTE_LEVEL, b: str = PIECE_LEVEL) -> DataFrame:
+    with open(a, encoding="utf-8") as left, open(b, "rb") as right:
+        sides = alignment.ByteLevel(left.read()), alignment.PieceLevel(right.read())
+    return alignment.align_tokens(documents(spark, sf_dir), *sides)
+
+
+@query()
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs))
