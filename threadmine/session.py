@@ -21,6 +21,8 @@ BROADCAST_ROWS = 200_000
 # Rows of one key from which on a salted join splits it.
 HEAVY_ROWS = 1_000_000
 _shipped: set[str] = set()
+_fallback: dict[str, str] = {}  # temporary folder of a local application
+_staged: list[str] = []
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -76,9 +78,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="threadmine-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _fallback:
+        _fallback[application] = tempfile.mkdtemp(prefix="threadmine-")
+    return _fallback[application]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -94,9 +97,29 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged() -> int:
+    """How many tables were staged so far: a mark for ``discard_staged``."""
+    return len(_staged)
+
+
+def discard_staged(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables staged after the mark ``since``, but for those that ``keep`` reads.
+
+    Call it when everything that was built on them has been written.
+    """
+    held = {path.rstrip("/") for f in (keep.inputFiles() if keep is not None else []) for path in _staged if f"/{path.rsplit('/', 1)[1]}/" in f}
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _staged[since:]:
+        if path not in held:
+            at = hadoop(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _staged[since:] = [path for path in _staged[since:] if path in held]
+
+
 def is_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
     return df.limit(max_rows + 1).count() <= max_rows
