@@ -35,10 +35,11 @@ def brute(rows, sides):
                         total += len(s.pieces[t])
                         own.append(total)
                     ends.append(own)
-                lo = 0
+                at = [0, 0]
                 for e in sorted(set(ends[0]) & set(ends[1])):
-                    groups.append([[t for t, end in zip(x, own) if lo < end <= e] for x, own in zip(ids, ends)])
-                    lo = e
+                    stop = [own.index(e, i) + 1 for own, i in zip(ends, at)]
+                    groups.append([x[i:j] for x, i, j in zip(ids, at, stop)])
+                    at = stop
         links = [(a, b) for left, right in groups for a in left for b in right]
         docs.update(set(links))
         held.append((i, groups, links))

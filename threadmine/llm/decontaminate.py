@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmine.llm.common import text_or_empty, words_of
+from threadmine.operators.bloom import maybe_in
 from threadmine.session import stage
 
 MISS = 1e-4
@@ -90,7 +91,8 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
 
 
 def _verify(docs: DataFrame, wanted: DataFrame, candidates: DataFrame, k: int, percent: int) -> DataFrame:
-    texts = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), ["doc_id"], "left_semi")
+    # Picked by a Bloom filter as they are read; the few others that come along find no candidate.
+    texts = maybe_in(docs.select("doc_id", "text"), candidates.select("doc_id").distinct(), ["doc_id"])
     sets = shingle_set(texts, k).withColumnRenamed("shingles", "held")
     return (
         candidates.join(wanted, ["item_id"]).join(sets, ["doc_id"])

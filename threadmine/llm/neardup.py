@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from threadmine.llm.common import ship_package, slices
 from threadmine.llm.components import components
 from threadmine.llm.hashing import Words, distinct, mix, shingles
+from threadmine.operators.bloom import maybe_in
 from threadmine.session import stage
 
 BLOCK = 512
@@ -114,7 +115,9 @@ def set_hashes(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(k1, k2, blob) of the texts under ``ids``: set hash and sorted shingle hashes, a task gives each set once."""
+    """(k1, k2, blob) of the texts under ``ids`` (and, by chance, of some others): set hash and sorted shingle hashes.
+
+    A task gives each set once. The texts are picked by a Bloom filter as they are read, they are not shuffled."""
     schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
                            T.StructField("blob", T.BinaryType())])
 
@@ -134,7 +137,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                     [pa.array(k1[new]), pa.array(k2[new]), pa.array(blobs, pa.binary())], ["k1", "k2", "blob"])
 
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")
-    return docs.join(ids, ["doc_id"], "left_semi").select(raw).mapInArrow(collect, schema)
+    return maybe_in(docs, ids, ["doc_id"]).select(raw).mapInArrow(collect, schema)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
