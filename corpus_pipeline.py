@@ -1,7 +1,8 @@
 """From raw documents to shards: toxicity, near-duplicates, decontamination, mixing, sharding.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. It works on all rows that the stage before has
-left; its result is written as Parquet and read again as the next one's ``docs``. All but the last return the
+left; its result is written as Parquet and read again as the next one's ``docs``. Whole texts stay where they are read:
+rows that a stage drops are found by short keys, and only rows that a Bloom filter of these keys lets through are shuffled. All but the last return the
 columns of ``documents`` (and any others that came with them).
 """
 
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmine.llm import decontaminate, mixture, neardup, ring, toxicity
-from threadmine.session import stage
+from threadmine.operators.bloom import bloom_anti_join, bloom_semi_join
+from threadmine.session import discard_staged, stage, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,21 +46,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = stage(neardup.near_duplicates(_searched(docs)).select(F.col("doc_id").alias("key"), "n_shingles", "kept"), "groups")
     copies = stage(found.where(~F.col("kept")).select("key").distinct(), "copies")
-    left = _with_keys(docs).join(copies, ["key"], "left_anti")
+    left = bloom_anti_join(_with_keys(docs), copies, ["key"])
     repeated = stage(found.where(F.col("kept") & ((F.col("n_shingles") > 0) | ~F.col("key.unnamed"))).groupBy("key").count().where(
         "count > 1").select("key"), "repeated")
     if repeated.isEmpty():
         return left.select("whole.*")
     # Written, so that tasks drop their own repeats before the rest meet.
-    once = stage(left.join(repeated, ["key"], "left_semi"), "once").dropDuplicates(["key"])
-    return left.join(repeated, ["key"], "left_anti").unionByName(once).select("whole.*")
+    once = stage(bloom_semi_join(left, repeated, ["key"]), "once").dropDuplicates(["key"])
+    return bloom_anti_join(left, repeated, ["key"]).unionByName(once.select("key", "whole")).select("whole.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose own text contains a benchmark item go, whether their doc_id is null or repeated."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = stage(decontaminate.contained_items(_searched(docs), items).select(F.col("doc_id").alias("key")).distinct(), "leaks")
-    return _with_keys(docs).join(leaks, ["key"], "left_anti").select("whole.*")
+    return bloom_anti_join(_with_keys(docs), leaks, ["key"]).select("whole.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,5 +94,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
+        before = staged()
         docs = stage(function(spark, docs, sf_dir), name)
+        discard_staged(spark, before, docs)  # what the stage wrote on its way; its result stays
     return docs
