@@ -64,6 +64,19 @@ def got(spark, rows, sides, **options):
     return sorted((tuple(r) for r in al.align_tokens(docs.repartition(3), *sides, **options).collect()), key=key)
 
 
+def test_both_encoders_of_a_plain_vocabulary_agree(sides):
+    rng, plain = random.Random(5), sides[0]
+    assert plain.plain
+    texts = [f"a{chr(c)}b 1{chr(c)}2 .{chr(c)}, {chr(c)} " for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(rng.choices(["a", "'s", "'", " ", "  ", "\n", "\r\n", "1", "é", "漢", "😀", "<|endoftext|>", "\x85", "!"], k=25))
+              for _ in range(5000)]
+    fast = plain.encoder()(texts)
+    plain.plain = False
+    slow = plain.encoder()(texts)
+    plain.plain = True
+    assert fast == slow
+
+
 @pytest.mark.parametrize("options", [{}, {"max_pairs": 40}])
 def test_equals_brute_force(spark, sides, options):
     rng = random.Random(3)

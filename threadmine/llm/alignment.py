@@ -20,6 +20,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,10 @@ from threadmine.session import stage
 
 MAX_PAIRS = 2_000_000
 # Links expanded at a time, and pairs that a task gathers before it hands them on.
-EXPANDED, HELD = 2_000_000, 4_000_000
+EXPANDED, HELD = 1_000_000, 1_000_000
 MARK = "▁"
+# Fixed value: how byte-level vocabularies part a text before the merges.
+PARTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
 def _byte_characters() -> dict[str, int]:
@@ -44,16 +47,29 @@ def _byte_characters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """The tokenizer in a ``tokenizers`` JSON file with a byte-level vocabulary; a space is put before every text."""
+    """The tokenizer in a ``tokenizers`` JSON file with a byte-level vocabulary; a space is put before every text.
+
+    A plain one, whose ids follow the order of its merges, is run by ``tiktoken``, which gives the same ids in a quarter
+    of the time; any other by ``tokenizers``.
+    """
 
     def __init__(self, content: str):
-        self.content, table = content, _byte_characters()
-        vocabulary = json.loads(content)["model"]["vocab"]
+        self.content, table, held = content, _byte_characters(), json.loads(content)
+        model, parts = held["model"], held["pre_tokenizer"] or {}
+        vocabulary = model["vocab"]
+        merged = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model.get("merges", [])]
+        self.plain = (held["normalizer"] is None and parts.get("type") == "ByteLevel" and parts.get("use_regex", True)
+                      and not parts.get("add_prefix_space") and not model.get("ignore_merges") and not model.get("dropout")
+                      and {vocabulary.get(c) for c in table} == set(range(256)) and merged == list(range(256, 256 + len(merged))))
         self.pieces = [b""] * (1 + max(vocabulary.values()))
         for entry, i in vocabulary.items():
             self.pieces[i] = bytes(table[c] for c in entry)
 
     def encoder(self) -> Callable[[list[str]], list[list[int]]]:
+        if self.plain:
+            ranks = {piece: i for i, piece in enumerate(self.pieces)}
+            fast = tiktoken.Encoding("plain", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+            return lambda texts: [fast.encode_ordinary(" " + t) for t in texts]
         tokenizer = Tokenizer.from_str(self.content)
         tokenizer.encode_special_tokens = True
         return lambda texts: [x.ids for x in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -82,7 +98,7 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     """Numbers of the tokens of either side that end where one of the other side ends, given all ends (ascending)."""
     at_a, at_b = dict(zip(a.tolist(), range(len(a)))), dict(zip(b.tolist(), range(len(b))))
     ends = sorted(at_a.keys() & at_b.keys())
-    return [at_a[e] for e in ends], [at_b[e] for e in ends]
+    return list(map(at_a.__getitem__, ends)), list(map(at_b.__getitem__, ends))
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
