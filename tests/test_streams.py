@@ -86,6 +86,51 @@ def test_sessions(spark, tmp_path, n_files):
     assert got == {1: "invalid", 2: "new", 3: "valid", 4: "valid", 5: "invalid", 6: "invalid"}
 
 
+@pytest.mark.parametrize("n_files", [3, 7])
+def test_session_stream_equals_its_batch_form(spark, tmp_path, n_files):
+    """Random sessions of which many run out, cut into micro-batches; a row behind the watermark is dropped."""
+    rng, day = random.Random(n_files), 86_400
+    rows = [(rng.choice("abcd"), i, rng.choice(["create", "touch", "touch", "touch"]), _at(rng.randint(0, 40 * day) // 43_200 * 43_200))
+            for i in range(160)]
+    schema = "session_id string, seq bigint, kind string, ts timestamp"
+    stream = _feed(spark, tmp_path, rows, schema, n_files)
+    for late in ([("zz", 900, "touch", _at(300 * day))], [("zz", 901, "touch", _at(301 * day))],
+                 [("a", 902, "create", _at(day)), ("zz", 903, "touch", _at(302 * day))]):
+        spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = _run(spark, tmp_path, A.session_stream(stream, "100 days", keep_days=2), "session_id string, seq bigint, status string, created_ms bigint")
+    batch = spark.createDataFrame(rows, schema).withColumn("ms", F.unix_millis("ts")).drop("ts")
+    want = {(r.session_id, r.seq, r.status, r.created_ms) for r in V.session_fold(batch, keep_days=2).collect()}
+    assert {tuple(r) for r in out.collect() if r.session_id != "zz"} == want
+    assert {s for _, _, s, _ in want} == {"new", "valid", "invalid"}
+
+
+@pytest.mark.parametrize("block", [1, 3_600_000, 10**12])
+def test_session_fold_equals_plain_loops(spark, block):
+    rng, hour = random.Random(7), 3_600_000
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice(["create", "touch", "touch"]), rng.randint(0, 60) * 12 * hour) for i in range(200)]
+    rows += [("hot", 1000 + i, "create" if i == 3 else "touch", i * 60_000) for i in range(400)]
+    want, state = [], {}
+    for session, seq, kind, ms in sorted(rows, key=lambda r: (r[3], r[1])):
+        created, last = state.get(session, (None, None))
+        if created is not None and ms > last + 24 * hour:
+            created = None
+        status = "new" if kind == "create" else "invalid" if created is None else "valid"
+        created = ms if kind == "create" and created is None else created
+        state[session] = (created, ms)
+        want.append((session, seq, status, created))
+    got = V.session_fold(spark.createDataFrame(rows, "session_id string, seq bigint, kind string, ms bigint"), 1, block)
+    assert sorted(((r.session_id, r.seq, r.status, r.created_ms) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_message_that_waits_too_long_is_forgotten(spark, tmp_path):
+    rows = [("m", "message_start", 0, "", _at(0)), ("m", "message_chunk", 1, "x", _at(1)), ("m", "message_end", 2, "", _at(90_000)),
+            ("n", "message_start", 0, "", _at(0)), ("n", "message_chunk", 1, None, _at(2)), ("n", "message_end", 2, "", _at(80_000)),
+            ("zz", "message_start", 0, "", _at(500_000))]
+    schema = "message_id string, type string, seq bigint, content string, ts timestamp"
+    got = _run(spark, tmp_path, A.reassemble_stream(_feed(spark, tmp_path, rows, schema, 3), "2 days"), "message_id string, n_chunks bigint, content string")
+    assert [tuple(r) for r in got.collect()] == [("n", 1, "")]
+
+
 def test_queue_decoding_keeps_bad_messages_aside(spark, tmp_path):
     source = tmp_path / "q"
     source.mkdir()

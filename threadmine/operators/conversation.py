@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmine.functions import times
 from threadmine.functions.decode import all_filled
 from threadmine.operators.ranking import top_k
-from threadmine.session import salted_join
+from threadmine.session import salted_join, stage
 
 # Rows kept beside the first one in the chat history and for query rewriting.
 CHAT_TAIL, REWRITE_TAIL = 7, 6
@@ -142,6 +142,37 @@ def touch_sessions(states: DataFrame) -> DataFrame:
     )
 
 
+def session_fold(requests: DataFrame, keep_days: int = times.SESSION_DAYS, block: int = 86_400_000) -> DataFrame:
+    """Status of each request of a session with an expiry that every accepted request moves on.
+
+    ``requests`` is ``(session_id, seq, kind, ms)``, kind ``create`` or ``touch``; the result has ``status`` (new, valid,
+    invalid) and ``created_ms`` besides. A request is accepted if it creates the session or the session lives; a
+    session lives until ``keep_days`` pass without an accepted request. Equal times are taken in the order of ``seq``.
+
+    Requests with no longer pause between them are one run of the session, and in a run all requests after its
+    first creation are accepted. Pauses are found within ``block`` milliseconds of a session and then between such
+    blocks, so a session with a large part of all requests is spread over tasks. A null session_id is a session.
+    """
+    keep = keep_days * 86_400_000
+    rows = requests.withColumn("_key", F.coalesce(F.col("session_id").cast("string"), F.lit("\0"))).withColumn(
+        "_block", F.floor(F.col("ms") / block))
+    order = Window.partitionBy("_key", "_block").orderBy("ms", "seq")
+    rows = stage(rows.withColumn("_pause", F.coalesce(F.col("ms") - F.lag("ms").over(order) > keep, F.lit(False)).cast("int")).withColumn(
+        "_within", F.sum("_pause").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))), "requests")
+    ends = Window.partitionBy("_key").orderBy("_block")
+    blocks = rows.groupBy("_key", "_block").agg(F.min("ms").alias("_from"), F.max("ms").alias("_to"), F.max("_within").alias("_n")).withColumn(
+        "_fresh", F.coalesce(F.col("_from") - F.lag("_to").over(ends) > keep, F.lit(False)).cast("int"))
+    before = F.coalesce(F.sum("_n").over(ends.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("_key", "_block", (before + F.sum("_fresh").over(ends)).alias("_start"))
+    runs = stage(salted_join(rows, starts, ["_key", "_block"], ["seq", "ms"]).withColumn("_run", F.col("_start") + F.col("_within")), "runs")
+    first = runs.where("kind = 'create'").groupBy("_key", "_run").agg(F.min(F.struct("ms", "seq")).alias("_first"))
+    lives = F.coalesce(F.struct("ms", "seq") >= F.col("_first"), F.lit(False))
+    return salted_join(runs, first, ["_key", "_run"], ["seq", "ms"], "left").select(
+        *requests.columns,
+        F.when(F.col("kind") == "create", "new").when(lives, "valid").otherwise("invalid").alias("status"),
+        F.when(lives, F.col("_first.ms")).alias("created_ms"))
+
+
 def session_events(rows: DataFrame, event: str, epoch: Column, fields: Column) -> DataFrame:
     """Append-only log of session events: prefixed type, time and a map of free fields."""
     return rows.select(

@@ -4,121 +4,183 @@ Messages of one key may arrive in any order and in different micro-batches. Ever
 operator here therefore holds events back until the watermark has passed them and
 then applies them in event-time order; what it emits does not depend on how the
 input was cut into batches.
+
+An event waits as one entry of a map state under its time and its number within that
+time, with a timer for the time. Timers of a key fire in time order, so an event is
+written once, read once and removed. What a key carries on is typed state as well: values, and maps
+whose entries are single chunks or turns. Keys are forgotten by a timer in event time.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from threadmine.functions.times import CONNECTION_DAYS, SESSION_DAYS
 from threadmine.operators.conversation import CHAT_TAIL
 from threadmine.session import ship_package
 
-# A handler gets the key, what it carried over, and the events that are due in time
-# order. It returns what to carry on (None to forget the key) and the rows to emit.
-Handler = Callable[[str, dict[str, Any] | None, list[dict[str, Any]]], tuple[dict[str, Any] | None, list[dict]]]
-
-_STATE = "pending string, carried string"
-
-
-def _ordered(handler: Handler, columns: list[str], keep_ms: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, carried = [], None
-        if state.exists:
-            old = state.get
-            pending, carried = json.loads(old[0]), json.loads(old[1])
-        for batch in batches:
-            pending += json.loads(batch.to_json(orient="records"))
-        watermark = state.getCurrentWatermarkMs()
-        due = sorted((e for e in pending if e["ms"] < watermark), key=lambda e: (e["ms"], e["seq"]))
-        pending = [e for e in pending if e["ms"] >= watermark]
-        rows: list[dict] = []
-        if due:
-            carried, rows = handler(key[0], carried, due)
-        last = carried.get("last_ms", 0) if carried else 0
-        if carried is not None and not pending and last + keep_ms < watermark:
-            carried = None  # nothing came for the key within its time to live
-        if pending or carried is not None:
-            state.update((json.dumps(pending), json.dumps(carried)))
-            wake = min(e["ms"] for e in pending) + 1 if pending else last + keep_ms
-            state.setTimeoutTimestamp(max(wake, watermark + 1))
-        elif state.exists:
-            state.remove()
+DAY_MS = 86_400_000
+
+
+class _InOrder(StatefulProcessor):
+    """Hands each event of a key to ``apply`` once the watermark has passed it, in the order of time and ``seq``.
+
+    ``fields``: name and type of the columns of an event besides ``ms`` and ``seq``. Subclasses keep ``last_ms``, the
+    time of the last event that the key must be remembered for, by calling ``remember``; ``forget`` clears their state.
+    """
+
+    fields: list[tuple[str, str]] = []
+    output: list[str] = []
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        columns = ", ".join(f"{name} {kind}" for name, kind in [("seq", "bigint"), *self.fields])
+        self.waiting = handle.getMapState("waiting", "ms bigint, n int", columns)
+        self.numbers = handle.getMapState("numbers", "ms bigint", "n int")
+        self.last = handle.getValueState("last", "ms bigint")
+        self.open()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for ms, events in batch.groupby("ms", sort=False):
+                ms = int(ms)
+                held = self.numbers.getValue((ms,))
+                n = held[0] if held else 0
+                for event in events[["seq", *(name for name, _ in self.fields)]].astype(object).itertuples(index=False):
+                    self.waiting.updateValue((ms, n), tuple(None if pd.isna(x) else x for x in event))
+                    n += 1
+                self.numbers.updateValue((ms,), (n,))
+                if not held:
+                    self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        held = self.numbers.getValue((ms,))
+        events = []
+        for n in range(held[0] if held else 0):
+            events.append(self.waiting.getValue((ms, n)))
+            self.waiting.removeKey((ms, n))
+        if held:
+            self.numbers.removeKey((ms,))
+        last = self.last.get() if self.last.exists() else None
+        if last is not None and ms > last[0] + self.keep_ms:
+            self.last.clear()
+            self.forget()
+        rows = []
+        for event in sorted(events, key=lambda e: e[0]):
+            rows += self.apply(key[0], ms, *event)
         if rows:
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows, columns=self.output)
 
-    return run
+    def remember(self, ms: int) -> None:
+        """The key is forgotten when ``keep_ms`` have passed after ``ms``."""
+        self.unset_expiry()
+        self.last.update((ms,))
+        self.handle.registerTimer(ms + self.keep_ms + 1)
 
+    def unset_expiry(self) -> None:
+        if self.last.exists():
+            at = self.last.get()[0] + self.keep_ms + 1
+            if not self.numbers.containsKey((at,)):  # else events wait for the same time
+                self.handle.deleteTimer(at)
+            self.last.clear()
 
-def ordered_state(
-    events: DataFrame, key: str, ts: str, delay: str, handler: Handler, output: str, keep_days: int
-) -> DataFrame:
-    """Apply ``handler`` per key in event-time order. ``events`` has ``ts`` and ``seq`` (order within a time)."""
-    columns = [part.strip().split()[0] for part in output.split(",")]
-    stamped = events.withWatermark(ts, delay).withColumn("ms", F.unix_millis(ts))
+    def close(self) -> None:
+        pass
+
+
+def _applied(events: DataFrame, key: str, delay: str, processor: _InOrder, output: str) -> DataFrame:
+    """``events`` has ``ts`` and ``seq`` (order within a time)."""
     ship_package(events.sparkSession)
-    return stamped.groupBy(key).applyInPandasWithState(
-        _ordered(handler, columns, keep_days * 86_400_000), output, _STATE, "append", "EventTimeTimeout"
-    )
+    stamped = events.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts")).select(
+        key, "ts", "ms", F.col("seq").cast("bigint").alias("seq"), *[name for name, _ in processor.fields])
+    return stamped.groupBy(key).transformWithStateInPandas(processor, output, "Append", "EventTime")
 
 
 # -- response pieces ---------------------------------------------------------
 
-def _reassemble(key: str, carried: dict | None, events: list[dict]) -> tuple[dict | None, list[dict]]:
-    parts = carried or {"chunks": {}, "start": False, "end": None}
-    for e in events:
-        if e["type"] == "message_start":
-            parts["start"] = True
-        elif e["type"] == "message_chunk":
-            parts["chunks"][str(e["seq"])] = e["content"]
-        elif e["type"] == "message_end":
-            parts["end"] = e["seq"]
-    parts["last_ms"] = events[-1]["ms"]
-    # seq counts from 0 at the start, so the end tells how many pieces lie between.
-    if parts["start"] and parts["end"] is not None and len(parts["chunks"]) >= parts["end"] - 1:
-        ordered = sorted(parts["chunks"].items(), key=lambda p: int(p[0]))
-        text = "".join(c for _, c in ordered)
-        return None, [{"message_id": key, "n_chunks": len(ordered), "content": text}]
-    return parts, []
+class _Reassembly(_InOrder):
+    fields = [("type", "string"), ("content", "string")]
+    output = ["message_id", "n_chunks", "content"]
+
+    def open(self) -> None:
+        self.chunks = self.handle.getMapState("chunks", "seq bigint", "content string")
+        self.ends = self.handle.getValueState("ends", "started boolean, stop bigint, n bigint")
+
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.ends.clear()
+
+    def apply(self, key: str, ms: int, seq: int, kind: str, content: str | None) -> list[tuple]:
+        started, stop, n = self.ends.get() if self.ends.exists() else (False, None, 0)
+        if kind == "message_start":
+            started = True
+        elif kind == "message_chunk":
+            n += not self.chunks.containsKey((seq,))
+            self.chunks.updateValue((seq,), (content or "",))
+        elif kind == "message_end":
+            stop = seq
+        # seq counts from 0 at the start, so the end tells how many pieces lie between.
+        if started and stop is not None and n >= stop - 1:
+            parts = sorted((k[0], v[0]) for k, v in self.chunks.iterator())
+            self.unset_expiry()
+            self.forget()
+            return [(key, len(parts), "".join(text for _, text in parts))]
+        self.ends.update((started, stop, n))
+        self.remember(ms)
+        return []
 
 
 def reassemble_stream(events: DataFrame, delay: str = "10 minutes", keep_days: int = 1) -> DataFrame:
     """Texts of the messages that are complete: ``(message_id, n_chunks, content)``.
 
-    ``events`` is ``(message_id, type, seq, content, ts)``. Pieces of a message that does not
-    become complete within ``keep_days`` are forgotten.
+    ``events`` is ``(message_id, type, seq, content, ts)``. A message of which no piece has come for
+    ``keep_days`` is forgotten.
     """
-    return ordered_state(
-        events, "message_id", "ts", delay, _reassemble, "message_id string, n_chunks bigint, content string", keep_days
-    )
+    return _applied(events, "message_id", delay, _Reassembly(keep_days * DAY_MS), "message_id string, n_chunks bigint, content string")
 
 
 # -- conversation histories --------------------------------------------------
 
-def _converse(tail: int) -> Handler:
-    def run(key: str, carried: dict | None, events: list[dict]) -> tuple[dict | None, list[dict]]:
-        rows = []
-        for e in events:
-            if e["role"] == "disconnect":
-                carried = None
-                continue
-            carried = carried or {"history": [], "n": 0}
-            history = [*carried["history"], [e["role"], e["content"]]]
-            if len(history) > tail + 1:
-                history = [history[0], *history[-tail:]]
-            carried = {"history": history, "n": carried["n"] + 1, "last_ms": e["ms"]}
-            rows.append({"connection_id": key, "seq": e["seq"], "n_turns": carried["n"], "n_kept": len(history),
-                         "roles": ",".join(r for r, _ in history)})
-        return carried, rows
-
-    return run
+class _History(_InOrder):
+    fields = [("role", "string"), ("content", "string")]
+    output = ["connection_id", "seq", "n_turns", "n_kept", "roles"]
+
+    def __init__(self, keep_ms: int, tail: int):
+        super().__init__(keep_ms)
+        self.tail = tail
+
+    def open(self) -> None:
+        self.turns = self.handle.getMapState("turns", "n bigint", "role string, content string")
+        self.roles = self.handle.getValueState("roles", "n bigint, roles string")
+
+    def forget(self) -> None:
+        self.turns.clear()
+        self.roles.clear()
+
+    def apply(self, key: str, ms: int, seq: int, role: str | None, content: str | None) -> list[tuple]:
+        if role == "disconnect":
+            self.unset_expiry()
+            self.forget()
+            return []
+        n, roles = self.roles.get() if self.roles.exists() else (0, "")
+        n, kept = n + 1, [*(roles.split(",") if n else []), role or ""]
+        self.turns.updateValue((n,), (role, content))
+        if len(kept) > self.tail + 1:  # the first turn and the last ones stay
+            self.turns.removeKey((n - self.tail,))
+            del kept[1]
+        self.roles.update((n, ",".join(kept)))
+        self.remember(ms)
+        return [(key, seq, n, len(kept), ",".join(kept))]
 
 
 def conversation_stream(
@@ -126,43 +188,41 @@ def conversation_stream(
 ) -> DataFrame:
     """History of each connection after each turn: first turn and last ``tail`` kept.
 
-    ``turns`` is ``(connection_id, seq, role, content, ts)``; the role ``disconnect`` ends the connection.
+    ``turns`` is ``(connection_id, seq, role, content, ts)``; the role ``disconnect`` ends the connection, and so do
+    ``keep_days`` without a turn.
     """
-    return ordered_state(
-        turns, "connection_id", "ts", delay, _converse(tail),
-        "connection_id string, seq bigint, n_turns bigint, n_kept bigint, roles string", keep_days,
-    )
+    return _applied(turns, "connection_id", delay, _History(keep_days * DAY_MS, tail),
+                    "connection_id string, seq bigint, n_turns bigint, n_kept bigint, roles string")
 
 
 # -- sessions ----------------------------------------------------------------
 
-def _touch(session_ms: int) -> Handler:
-    def run(key: str, carried: dict | None, events: list[dict]) -> tuple[dict | None, list[dict]]:
-        rows = []
-        for e in events:
-            if carried is not None and e["ms"] > carried["expiry"]:
-                carried = None
-            if e["kind"] == "create":
-                carried = carried or {"created": e["ms"]}
-                status = "new"
-            else:
-                status = "valid" if carried is not None else "invalid"
-            if carried is not None:
-                carried.update(last_ms=e["ms"], expiry=e["ms"] + session_ms)
-            rows.append({"session_id": key, "seq": e["seq"], "status": status,
-                         "created_ms": carried["created"] if carried else None})
-        return carried, rows
-
-    return run
+class _Session(_InOrder):
+    fields = [("kind", "string")]
+    output = ["session_id", "seq", "status", "created_ms"]
+
+    def open(self) -> None:
+        self.created = self.handle.getValueState("created", "ms bigint")
+
+    def forget(self) -> None:
+        self.created.clear()
+
+    def apply(self, key: str, ms: int, seq: int, kind: str) -> list[tuple]:
+        created = self.created.get()[0] if self.created.exists() else None
+        status = "new" if kind == "create" else "invalid" if created is None else "valid"
+        if kind == "create" and created is None:
+            created = ms
+            self.created.update((ms,))
+        if created is not None:
+            self.remember(ms)
+        return [(key, seq, status, created)]
 
 
 def session_stream(requests: DataFrame, delay: str = "10 minutes", keep_days: int = SESSION_DAYS) -> DataFrame:
-    """Status of each request of a session: new, valid or invalid.
+    """Status of each request of a session: new, valid or invalid; the batch form is ``conversation.session_fold``.
 
     ``requests`` is ``(session_id, seq, kind, ts)``, kind ``create`` or ``touch``. Every accepted
     request moves the expiry on.
     """
-    return ordered_state(
-        requests, "session_id", "ts", delay, _touch(keep_days * 86_400_000),
-        "session_id string, seq bigint, status string, created_ms bigint", keep_days,
-    )
+    return _applied(requests, "session_id", delay, _Session(keep_days * DAY_MS),
+                    "session_id string, seq bigint, status string, created_ms bigint")
