@@ -10,6 +10,7 @@ from threadmine.operators.chunk import chunk_comments, chunk_posts, token_sizes,
 from threadmine.operators.weights import count_rows
 from threadmine.operators import search as Q
 from threadmine.plans import evaluation, index
+from threadmine.sources import store
 
 POST = "id string, title string, content string, year int, month int, subreddit_name string, comments array<struct<id:string,score:int,body:string,year:int,month:int>>"
 
@@ -61,25 +62,93 @@ def test_index_written_updated_and_searched(spark):
     points = index.index_rows(_post(spark, "red shoes " * 3, "blue shoes are good"))
     index.write_index(spark, "t_ix", points, parts=4)
     first = index.open_sparse(spark, "t_ix")
-    assert first.postings.select("doc_id").distinct().count() == 2 == spark.table("t_ix_points").count()
+    assert first.postings.select("doc_id").distinct().count() == 2 == index.open_points(spark, "t_ix").count()
     more = index.index_rows(_post(spark, "green hats", "blue shoes are good"))
     index.write_index(spark, "t_ix", more, recreate=False)
     again = index.open_sparse(spark, "t_ix")
     terms = {r["term"]: r["df"] for r in again.terms.collect()}
-    assert "red" not in terms and terms["hats"] == 1 and spark.table("t_ix_points").count() == 2
+    assert "red" not in terms and terms["hats"] == 1 and index.open_points(spark, "t_ix").count() == 2
     q = spark.createDataFrame([("q", "green hats")], "query_id string, text string")
     hits = Q.sparse_scores(q, again.postings_for(q), again.n_docs, ["query_id"], again.terms)
     assert hits.count() == 1
     # only the partitions of the terms that are asked for are read
     plan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(term_part" in plan or "term_part#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "term_part#" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert len(again.postings_for(q).inputFiles()) < len(again.postings.inputFiles())
-    whole = index.SparseIndex.of(spark.table("t_ix_points"), "id", "page_content")
+    whole = index.SparseIndex.of(index.open_points(spark, "t_ix"), "id", "page_content")
     for one, other in ((again.terms, whole.terms), (again.postings.drop("term_part"), whole.postings)):
         assert {tuple(r) for r in one.select(*sorted(one.columns)).collect()} == {
             tuple(r) for r in other.select(*sorted(other.columns)).collect()}
-    for suffix in ("points", "postings", "terms"):
-        spark.sql(f"DROP TABLE t_ix_{suffix}")
+    store.drop_index(spark, "t_ix")
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("t_ix")]
+
+
+def _found(spark, name):
+    q = spark.createDataFrame([("q", "green hats and blue shoes")], "query_id string, text string")
+    held = index.open_sparse(spark, name)
+    scores = Q.sparse_scores(q, held.postings_for(q), held.n_docs, ["query_id"], held.terms)
+    return sorted((r.doc_id, round(r.score, 9)) for r in scores.collect())
+
+
+def _points(spark, rows):
+    return spark.createDataFrame([(i, i, t) for i, t in rows], "id string, post_id string, page_content string")
+
+
+OLD = [("a", "red shoes"), ("b", "blue shoes"), ("c", "green hats"), ("d", "")]
+NEW = [("b", "green shoes"), ("e", "blue hats and hats"), ("d", "blue")]
+
+
+def test_a_write_that_ends_early_changes_nothing_and_can_be_repeated(spark, monkeypatch):
+    """The write is ended before each of its steps in turn, then repeated, then repeated once more after its commit."""
+    index.write_index(spark, "t_want", _points(spark, [*dict([*OLD, *NEW]).items()]), parts=2)
+    want = _found(spark, "t_want")
+    steps = [(store, "write_by_term"), (store, "commit"), (type(spark.range(1).write), "saveAsTable")]
+    for at, (owner, step) in enumerate(steps):
+        for nth in range(2 if step == "saveAsTable" else 1):
+            name, calls, real = f"t_retry_{at}_{nth}", [], getattr(owner, step)
+            index.write_index(spark, name, _points(spark, OLD), parts=2)
+            before = _found(spark, name)
+
+            def failing(*args, **kwargs):
+                calls.append(args)
+                if len(calls) > nth + (step == "saveAsTable") * nth:  # the postings are a table too
+                    raise OSError("ended")
+                return real(*args, **kwargs)
+
+            monkeypatch.setattr(owner, step, failing)
+            with pytest.raises(OSError):
+                index.write_index(spark, name, _points(spark, NEW), recreate=False, batch="1")
+            monkeypatch.setattr(owner, step, real)
+            assert _found(spark, name) == before
+            for _ in range(2):
+                index.write_index(spark, name, _points(spark, NEW), recreate=False, batch="1")
+            assert _found(spark, name) == want
+            assert store.read_manifest(spark, name)["version"] == 2
+            held = {t for s in store.read_manifest(spark, name)["segments"] for t in store.segment_tables(s)}
+            store.vacuum(spark, name)
+            assert {t.name for t in spark.catalog.listTables() if t.name.startswith(f"{name}_segment")} == held
+            store.drop_index(spark, name)
+    store.drop_index(spark, "t_want")
+
+
+def test_many_segments_are_merged_and_a_rebuild_changes_no_result(spark, monkeypatch):
+    monkeypatch.setattr(index, "MAX_SEGMENTS", 3)
+    rows = dict(OLD)
+    index.write_index(spark, "t_many", _points(spark, OLD), parts=2)
+    for i in range(4):
+        change = {"abcdef"[i]: f"hats {i} shoes", "x": "green " * i}
+        rows |= change
+        index.write_index(spark, "t_many", _points(spark, list(change.items())), recreate=False)
+        assert len(store.read_manifest(spark, "t_many")["segments"]) <= 3
+    index.write_index(spark, "t_once", _points(spark, list(rows.items())), parts=2)
+    assert _found(spark, "t_many") == _found(spark, "t_once")
+    index.rebuild_sparse(spark, "t_many")
+    assert _found(spark, "t_many") == _found(spark, "t_once")
+    stale = store.read_manifest(spark, "t_many")
+    with pytest.raises(RuntimeError):
+        store.commit(spark, "t_many", stale)
+    for name in ("t_many", "t_once"):
+        store.drop_index(spark, name)
 
 
 def test_compat_ids_collide_and_full_ids_do_not(spark):

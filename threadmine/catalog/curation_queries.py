@@ -21,7 +21,7 @@ from threadmine.plans import landing, merge
 from threadmine.schemas import PARTITIONS
 from threadmine.session import new_path, stage
 from threadmine.sources import posts as P
-from threadmine.sources.store import delete_index, scroll
+from threadmine.sources.store import drop_index, scroll
 
 DAY_DATE = dt.date(2025, 10, 1)
 NOW_SECONDS = 1_750_000_000
@@ -520,8 +520,7 @@ def _search_stored(spark, sf_dir, name):
     index = I.open_sparse(spark, name)
     scores = Q.sparse_scores(asked, index.postings_for(asked), index.n_docs, ["query_id"], index.terms)
     found = stage(Q.ranked(scores, ["query_id"], 45), "found")
-    for kind in ("points", "postings", "terms"):
-        delete_index(spark, f"{name}_{kind}")
+    drop_index(spark, name)
     return found.select("query_id", "rank", "doc_id", T.r6("score").alias("score"))
 
 
@@ -563,11 +562,19 @@ def index_upsert(spark, sf_dir):
 @query(S.clauses(*_UPSERT, "points AS (SELECT point_id AS doc_id, text FROM merged)", S.POSTINGS.replace("FROM documents", "FROM points"))
        + "SELECT term, df, round(idf, 6) AS idf, round(sum(tf * 1.0 / doc_len * idf), 6) AS total_weight FROM post JOIN idfs USING (term) GROUP BY term, df, idf")
 def rebuild_sparse(spark, sf_dir):
-    """Weights of the whole index after an upsert, summed per term."""
-    points = _merged_points(spark, sf_dir)
-    index = I.SparseIndex.of(points, "point_id", "text")
+    """Weights of a whole stored index, written, changed by an upsert and rebuilt, summed per term."""
+    name = f"ix_{uuid.uuid4().hex}"
+    old, new = (rows.select("id", F.col("id").alias("post_id"), F.col("content").alias("page_content"), "score")
+                for rows in (T.posts(spark, sf_dir), T.new_posts(spark, sf_dir)))
+    I.write_index(spark, name, old, parts=16)
+    I.write_index(spark, name, B.newest_per_key(new, ["id"], F.struct("score")), recreate=False)
+    I.rebuild_sparse(spark, name)
+    index = I.open_sparse(spark, name)
     total = index.weights().groupBy("term").agg(T.r6(F.sum("weight")).alias("total_weight"))
-    return with_idf(index.terms, index.n_docs).withColumn("idf", T.r6("idf")).join(total, "term").select("term", "df", "idf", "total_weight")
+    found = stage(with_idf(index.terms, index.n_docs).withColumn("idf", T.r6("idf")).join(total, "term").select(
+        "term", "df", "idf", "total_weight"), "weights")
+    drop_index(spark, name)
+    return found
 
 
 @query(S.clauses(S.POSTS) + "SELECT id FROM posts WHERE id > '5' ORDER BY id LIMIT 100")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,7 @@ from threadmine.functions.ids import point_id
 from threadmine.functions.text import tokenize_sparse
 from threadmine.operators import curate as C
 from threadmine.operators import weights as W
+from threadmine.operators.bloom import bloom_anti_join, bloom_semi_join
 from threadmine.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_posts
 from threadmine.operators.tables import newest_per_key, upsert
 from threadmine.session import ship_package, stage
@@ -89,45 +92,93 @@ def one_per_id(points: DataFrame) -> DataFrame:
     return newest_per_key(points, ["id"], place)
 
 
+# Segments from which on a write is merged with all before it.
+MAX_SEGMENTS = 8
+
+
 def write_index(
-    spark: SparkSession, name: str, points: DataFrame, recreate: bool = True, parts: int | None = None
+    spark: SparkSession, name: str, points: DataFrame, recreate: bool = True, parts: int | None = None, batch: str | None = None
 ) -> None:
-    """Write the points table and the sparse tables made from it.
+    """Write points and the sparse tables made from them as the next version of an index.
 
-    ``recreate`` replaces everything. Else the points are merged in by id: postings of new points are
-    appended, those of replaced points taken away, and term counts changed by the difference. The
-    weights themselves are made when searching, so no other posting changes.
+    ``recreate`` replaces everything. Else the points are merged in by id: they, their postings and the changes in term
+    counts become a segment of their own, and points that they replace are passed over when older segments are
+    read. What is written follows the batch, not the index. After ``MAX_SEGMENTS`` segments all are made one.
+
+    Readers see the new version when everything is written, in one step. A write that ends early changes nothing
+    and can be repeated; with a ``batch`` id, one that was committed is not applied again.
     """
+    manifest = store.read_manifest(spark, name)
+    if manifest is not None and batch is not None and batch in manifest["batches"]:
+        return
     points = stage(one_per_id(points), "points")
-    if recreate or not spark.catalog.tableExists(f"{name}_points"):
-        store.replace_table(points, f"{name}_points")
-        rebuild_sparse(spark, name, parts)
+    if recreate or manifest is None:
+        _commit_whole(spark, name, points, manifest, parts, batch)
         return
-    current, stored = spark.table(f"{name}_points"), spark.table(f"{name}_postings")
-    gone = stage(current.join(points.select("id"), ["id"], "left_semi").select(F.col("id").alias("doc_id")), "gone")
+    if len(manifest["segments"]) >= MAX_SEGMENTS:
+        _commit_whole(spark, name, upsert(open_points(spark, name), points, ["id"]), manifest, manifest["parts"], batch)
+        return
+    gone = stage(bloom_semi_join(open_points(spark, name).select("id"), points, ["id"]).select(F.col("id").alias("doc_id")), "gone")
     new = stage(W.postings(points, "id", "page_content"), "postings")
     count = F.count(F.lit(1))
-    change = spark.table(f"{name}_terms").select("term", "df").unionByName(
-        new.groupBy("term").agg(count.alias("df"))).unionByName(
-        stored.join(gone, ["doc_id"], "left_semi").groupBy("term").agg((-count).alias("df")))
-    terms = stage(change.groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") > 0), "terms")
-    store.change_postings(spark, f"{name}_postings", new, gone)
-    store.replace_table(terms, f"{name}_terms")
-    store.replace_table(upsert(current, points, ["id"]), f"{name}_points")
+    old = bloom_semi_join(_live(spark, manifest, "postings", "doc_id"), gone, ["doc_id"])
+    change = new.groupBy("term").agg(count.alias("df")).unionByName(old.groupBy("term").agg((-count).alias("df"))).groupBy(
+        "term").agg(F.sum("df").alias("df")).where("df <> 0")
+    segment = _write_segment(points, new, change, name, manifest["parts"])
+    store.commit(spark, name, {
+        "version": manifest["version"] + 1, "parts": manifest["parts"],
+        "n": manifest["n"] + points.count() - gone.count(), "segments": [*manifest["segments"], segment]}, batch)
+
+
+def _write_segment(points: DataFrame, postings: DataFrame, terms: DataFrame, name: str, parts: int) -> dict:
+    segment = {kind: f"{name}_segment_{uuid4().hex}_{kind}" for kind in ("points", "postings", "terms")}
+    points.write.saveAsTable(segment["points"])
+    store.write_by_term(postings, segment["postings"], parts)
+    terms.write.saveAsTable(segment["terms"])
+    return segment
+
+
+def _commit_whole(spark: SparkSession, name: str, points: DataFrame, manifest: dict | None, parts: int | None, batch: str | None) -> None:
+    points = stage(points, "points")
+    post = stage(W.postings(points, "id", "page_content"), "postings")
+    parts = parts or store.parts_for(post.count())
+    segment = _write_segment(points, post, W.document_frequency(post), name, parts)
+    version = manifest["version"] + 1 if manifest else 1
+    store.commit(spark, name, {"version": version, "parts": parts, "n": points.count(), "segments": [segment]}, batch)
 
 
 def rebuild_sparse(spark: SparkSession, name: str, parts: int | None = None) -> None:
-    """Make postings and term statistics again from the stored texts; dense vectors stay as they are."""
-    post = stage(W.postings(spark.table(f"{name}_points"), "id", "page_content"), "postings")
-    store.write_by_term(post, f"{name}_postings", parts)
-    store.replace_table(W.document_frequency(post), f"{name}_terms")
+    """Make postings and term statistics again from the stored texts, as one segment; dense vectors stay as they are."""
+    _commit_whole(spark, name, open_points(spark, name), _manifest(spark, name), parts, None)
+
+
+def _manifest(spark: SparkSession, name: str) -> dict:
+    manifest = store.read_manifest(spark, name)
+    if manifest is None:
+        raise ValueError(f"no index {name}")
+    return manifest
+
+
+def _live(spark: SparkSession, manifest: dict, kind: str, key: str) -> DataFrame:
+    """Rows of all segments, but for those of points that a later segment holds too."""
+    parts, segments = [], manifest["segments"]
+    for i, segment in enumerate(segments):
+        rows = spark.table(segment[kind])
+        later = [spark.table(s["points"]).select(F.col("id").alias(key)) for s in segments[i + 1:]]
+        parts.append(bloom_anti_join(rows, reduce(DataFrame.unionByName, later), [key]) if later else rows)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def open_points(spark: SparkSession, name: str) -> DataFrame:
+    return _live(spark, _manifest(spark, name), "points", "id")
 
 
 def open_sparse(spark: SparkSession, name: str) -> SparseIndex:
-    return SparseIndex(
-        spark.table(f"{name}_postings"), spark.table(f"{name}_terms"), W.count_rows(spark.table(f"{name}_points")),
-        store.parts_of(spark, f"{name}_postings"),
-    )
+    manifest = _manifest(spark, name)
+    counts = reduce(DataFrame.unionByName, [spark.table(s["terms"]) for s in manifest["segments"]])
+    if len(manifest["segments"]) > 1:
+        counts = counts.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    return SparseIndex(_live(spark, manifest, "postings", "doc_id"), counts, F.lit(manifest["n"]), manifest["parts"])
 
 
 def index_totals(posts: DataFrame, points: DataFrame) -> DataFrame:

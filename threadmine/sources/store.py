@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmine.session import stage
-
 # Postings of one partition, and the most partitions of a table.
 ROWS_PER_PART, MAX_PARTS = 20_000_000, 50_000
 
@@ -34,60 +34,69 @@ def _laid_out(postings: DataFrame, parts: int) -> DataFrame:
         "rebalance", F.col("term_part")).sortWithinPartitions("term_part", "term", "doc_id")
 
 
-def write_by_term(postings: DataFrame, name: str, parts: int | None = None) -> None:
-    """Replace a table of postings, partitioned by a hash of the term and sorted by term within its files.
+def parts_for(rows: int) -> int:
+    """Number of term partitions of a table with so many postings (at most ``MAX_PARTS``, beyond which they grow)."""
+    return max(1, min(MAX_PARTS, -(-rows // ROWS_PER_PART)))
+
+
+def write_by_term(postings: DataFrame, name: str, parts: int) -> None:
+    """Write a table of postings, partitioned by a hash of the term and sorted by term within its files.
 
-    A search reads the partitions of the terms it asks for and no others. The number of partitions
-    follows the number of rows (``ROWS_PER_PART`` each) and is kept as a property of the table.
+    A search reads the partitions of the terms it asks for and no others.
     """
-    spark = postings.sparkSession
-    if parts is None:
-        parts = max(1, min(MAX_PARTS, -(-postings.count() // ROWS_PER_PART)))
     _laid_out(postings, parts).write.mode("overwrite").partitionBy("term_part").saveAsTable(name)
-    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('term_parts' = '{parts}')")
 
 
-def parts_of(spark: SparkSession, name: str) -> int:
-    return int(spark.sql(f"SHOW TBLPROPERTIES {name} ('term_parts')").first()["value"])
+# -- versions of an index ------------------------------------------------------
+#
+# An index is a list of segments, each with a table of points, one of postings and one of changes in term counts.
+# The list stands in one property of a small table, so it changes in one step: a reader sees all of a write or
+# nothing, and tables of a write that ended early are never read.
 
+_PROPERTY = "manifest"
+KEPT_BATCHES = 1_000
 
-def change_postings(spark: SparkSession, name: str, new: DataFrame, gone: DataFrame) -> None:
-    """Add postings and take away those of the documents in ``gone`` (doc_id).
 
-    Without documents to take away this only appends. Else the partitions that hold their terms are
-    written anew; the numbers of those partitions are all the driver sees.
-    """
-    stored, parts = spark.table(name), parts_of(spark, name)
-    old = stored.join(gone, ["doc_id"], "left_semi").select("term_part").distinct()
-    affected = [r.term_part for r in old.collect()]
-    fresh = stage(new.select(*[c for c in stored.columns if c != "term_part"], part_of(F.col("term"), parts)), "postings")
-    if affected:
-        rewritten = F.col("term_part").isin(affected)
-        kept = stored.where(rewritten).join(gone, ["doc_id"], "left_anti").select(*stored.columns)
-        content = stage(kept.unionByName(fresh.where(rewritten)), "postings")
-        emptied = set(affected) - {r.term_part for r in content.select("term_part").distinct().collect()}
-        _laid_out(content, parts).select(*stored.columns).write.option(
-            "partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
-        for part in emptied:
-            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (term_part = {part})")
-        fresh = fresh.where(~rewritten)
-    _laid_out(fresh, parts).select(*stored.columns).write.insertInto(name)
-
-
-def replace_table(df: DataFrame, name: str) -> None:
-    """Swap in new content for a table that ``df`` may read from.
-
-    The content is written under another name first. The old table is renamed and dropped only after
-    the new one has its name, so that a failure at any point leaves one of them whole.
+def read_manifest(spark: SparkSession, name: str) -> dict | None:
+    """Version, segments, number of points and committed batches of an index; None if there is none."""
+    if not spark.catalog.tableExists(f"{name}_index"):
+        return None
+    held = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}_index").collect()}
+    return json.loads(held[_PROPERTY]) if _PROPERTY in held else None
+
+
+def commit(spark: SparkSession, name: str, manifest: dict, batch: str | None = None) -> None:
+    """Make ``manifest`` the next version. It must follow the current one; of two writers that started
+    from one version the second is refused."""
+    create_index(spark, f"{name}_index", "version bigint")
+    current = read_manifest(spark, name)
+    if (current or {"version": 0})["version"] != manifest["version"] - 1:
+        raise RuntimeError(f"index {name} was changed by another writer")
+    batches = [*(current or {"batches": []})["batches"], *([batch] if batch else [])][-KEPT_BATCHES:]
+    text = json.dumps({**manifest, "batches": batches}).replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"ALTER TABLE {name}_index SET TBLPROPERTIES ('{_PROPERTY}' = '{text}')")
+
+
+def segment_tables(segment: dict) -> list[str]:
+    return [segment[kind] for kind in ("points", "postings", "terms")]
+
+
+def vacuum(spark: SparkSession, name: str) -> list[str]:
+    """Drop the tables of segments that no version reads: replaced ones, and those of writes that ended early.
+
+    Not while another writer is at work or a reader still uses an older version.
     """
-    spark = df.sparkSession
-    delete_index(spark, f"{name}__next")
-    df.write.saveAsTable(f"{name}__next")
-    if spark.catalog.tableExists(name):
-        delete_index(spark, f"{name}__old")
-        spark.sql(f"ALTER TABLE {name} RENAME TO {name}__old")
-    spark.sql(f"ALTER TABLE {name}__next RENAME TO {name}")
-    delete_index(spark, f"{name}__old")
+    held = {t for s in (read_manifest(spark, name) or {"segments": []})["segments"] for t in segment_tables(s)}
+    found = [t.name for t in spark.catalog.listTables(pattern=f"{name}_segment_*") if t.name not in held]
+    for table in found:
+        delete_index(spark, table)
+    return found
+
+
+def drop_index(spark: SparkSession, name: str) -> None:
+    """Drop an index with all its tables."""
+    delete_index(spark, f"{name}_index")
+    vacuum(spark, name)
 
 
 def scroll(points: DataFrame, after: str | None = None, limit: int | None = None, key: str = "id") -> DataFrame:
