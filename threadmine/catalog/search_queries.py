@@ -122,11 +122,12 @@ def hybrid_search(spark, sf_dir):
     return _hits(spark, sf_dir).select(*KEYS, "rank", "doc_id", T.r6("score").alias("score"), F.md5("text").alias("text_id"))
 
 
-@query(S.clauses(*S.RETRIEVE) + "SELECT query_id, variant, rank, doc_id, round(score, 6) AS score, md5(text) AS text_id FROM hits")
+@query(S.clauses(*S.RETRIEVE).replace(", embeddings e)", ", (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) e)")
+       + "SELECT query_id, variant, rank, doc_id, round(score, 6) AS score, md5(text) AS text_id FROM hits")
 def index_hybrid(spark, sf_dir):
-    """The same on a stored index of texts and vectors that was written in two versions, the second one twice."""
+    """The same on a stored index of texts and their vectors that was written in two versions, the second one twice."""
     name = f"ix_{uuid.uuid4().hex}"
-    points = stage(T.docs(spark, sf_dir).join(T.vectors(spark, sf_dir), ["doc_id"], "full").select(
+    points = stage(T.docs(spark, sf_dir).join(T.vectors(spark, sf_dir), ["doc_id"], "left").select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("post_id"), F.col("text").alias("page_content"), "vector"), "points")
     later = F.pmod("id", F.lit(3)) == 0
     stale = F.when(F.pmod("id", F.lit(6)) == 0, F.lit("an older text")).otherwise(F.col("page_content"))
