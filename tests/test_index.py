@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from threadmine.operators import evaluate as E
 from threadmine.operators.chunk import chunk_comments, chunk_posts, token_sizes, window_chunks
+from threadmine.operators import weights as W
 from threadmine.operators.weights import count_rows
 from threadmine.operators import search as Q
 from threadmine.plans import evaluation, index
+from threadmine.session import stage
 from threadmine.sources import store
 
 POST = "id string, title string, content string, year int, month int, subreddit_name string, comments array<struct<id:string,score:int,body:string,year:int,month:int>>"
@@ -73,10 +77,10 @@ def test_index_written_updated_and_searched(spark):
     assert hits.count() == 1
     # only the partitions of the terms that are asked for are read
     plan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "term_part#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "term_part" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert len(again.postings_for(q).inputFiles()) < len(again.postings.inputFiles())
     whole = index.SparseIndex.of(index.open_points(spark, "t_ix"), "id", "page_content")
-    for one, other in ((again.terms, whole.terms), (again.postings.drop("term_part"), whole.postings)):
+    for one, other in ((again.terms, whole.terms), (again.postings.drop("term_part", "block"), whole.postings)):
         assert {tuple(r) for r in one.select(*sorted(one.columns)).collect()} == {
             tuple(r) for r in other.select(*sorted(other.columns)).collect()}
     store.drop_index(spark, "t_ix")
@@ -131,6 +135,39 @@ def test_a_write_that_ends_early_changes_nothing_and_can_be_repeated(spark, monk
     store.drop_index(spark, "t_want")
 
 
+def test_blocks_that_cannot_win_are_not_read(spark, monkeypatch):
+    """Best lists equal those from all postings, with ties, and fewer rows of postings are scored."""
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(60_000)]
+    docs, at = [], 0
+    for i in range(1_500):
+        n = rng.choice([3, 8, 20, 60, 200])
+        docs.append((i, " ".join(words[at % 50_000:at % 50_000 + n])))
+        at += n
+    docs = spark.createDataFrame([*docs, (9_000, ""), (9_001, docs[0][1])], "doc_id bigint, text string").repartition(4)
+    q = spark.createDataFrame([(i, " ".join(rng.choices(words, k=5))) for i in range(12)] + [(99, "no such"), (98, "")], "q int, text string")
+    post = stage(Q.with_blocks(W.postings(docs), 3))
+    bounds, frequency, read = Q.block_bounds(post), W.document_frequency(post), spark.sparkContext.accumulator(0)
+
+    for k in (1, 10, 2_000):
+        want = Q.ranked(Q.sparse_scores(q, post, F.lit(1_502), ["q"], frequency), ["q"], k)
+        got = Q.pruned_topk(q, post, bounds, F.lit(1_502), ["q"], k, frequency)
+        assert sorted((r.q, r["rank"], r.doc_id, round(r.score, 9)) for r in got.collect()) == sorted(
+            (r.q, r["rank"], r.doc_id, round(r.score, 9)) for r in want.collect())
+    real = Q.lookup_join
+
+    def counting(big, small, on, *args, **kwargs):
+        out = real(big, small, on, *args, **kwargs)
+        if on == ["term", "block"]:
+            read.add(out.count())
+        return out
+
+    monkeypatch.setattr(Q, "lookup_join", counting)
+    Q.pruned_topk(q, post, bounds, F.lit(1_502), ["q"], 5, frequency).collect()
+    every = W.query_terms(q, ["q"]).join(post, ["term"]).count()
+    assert 0 < read.value < 0.5 * every, (read.value, every)
+
+
 def test_many_segments_are_merged_and_a_rebuild_changes_no_result(spark, monkeypatch):
     monkeypatch.setattr(index, "MAX_SEGMENTS", 3)
     rows = dict(OLD)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from threadmine.functions.ids import point_id
 from threadmine.functions.text import tokenize_sparse
 from threadmine.operators import curate as C
+from threadmine.operators import search as Q
 from threadmine.operators import weights as W
 from threadmine.operators.bloom import bloom_anti_join, bloom_semi_join
 from threadmine.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_posts
@@ -47,19 +48,26 @@ def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
 class SparseIndex:
     """Postings, term statistics and the number of documents, empty ones included.
 
-    ``parts`` is the number of term partitions of stored postings.
+    ``parts`` is the number of term partitions of stored postings, ``bounds`` their greatest weights by block.
     """
 
     postings: DataFrame
     terms: DataFrame
     n_docs: Column
     parts: int | None = None
+    bounds: DataFrame | None = None
 
     @staticmethod
     def of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> SparseIndex:
         post = W.postings(docs, doc_id, text)
         return SparseIndex(post, W.document_frequency(post), W.count_rows(docs))
 
+    def topk(self, queries: DataFrame, keys: list[str], k: int, bounded: bool | None = None) -> DataFrame:
+        """Best ``k`` documents of each query by sparse score; of stored postings only the blocks that may hold them."""
+        if self.bounds is None:
+            return Q.ranked(Q.sparse_scores(queries, self.postings, self.n_docs, keys, self.terms, bounded=bounded), keys, k)
+        return Q.pruned_topk(queries, self.postings_for(queries), self.bounds, self.n_docs, keys, k, self.terms, bounded)
+
     def postings_for(self, queries: DataFrame, text: str = "text") -> DataFrame:
         """The postings, of stored ones only the partitions with a term that ``queries`` ask for.
 
@@ -92,8 +100,8 @@ def one_per_id(points: DataFrame) -> DataFrame:
     return newest_per_key(points, ["id"], place)
 
 
-# Segments from which on a write is merged with all before it.
-MAX_SEGMENTS = 8
+# Segments from which on a write is merged with all before it, and documents of a block, about.
+MAX_SEGMENTS, BLOCK_DOCS = 8, 128
 
 
 def write_index(
@@ -124,16 +132,17 @@ def write_index(
     old = bloom_semi_join(_live(spark, manifest, "postings", "doc_id"), gone, ["doc_id"])
     change = new.groupBy("term").agg(count.alias("df")).unionByName(old.groupBy("term").agg((-count).alias("df"))).groupBy(
         "term").agg(F.sum("df").alias("df")).where("df <> 0")
-    segment = _write_segment(points, new, change, name, manifest["parts"])
+    segment = _write_segment(points, new, change, name, manifest["parts"], manifest["buckets"])
     store.commit(spark, name, {
-        "version": manifest["version"] + 1, "parts": manifest["parts"],
+        "version": manifest["version"] + 1, "parts": manifest["parts"], "buckets": manifest["buckets"],
         "n": manifest["n"] + points.count() - gone.count(), "segments": [*manifest["segments"], segment]}, batch)
 
 
-def _write_segment(points: DataFrame, postings: DataFrame, terms: DataFrame, name: str, parts: int) -> dict:
-    segment = {kind: f"{name}_segment_{uuid4().hex}_{kind}" for kind in ("points", "postings", "terms")}
+def _write_segment(points: DataFrame, postings: DataFrame, terms: DataFrame, name: str, parts: int, buckets: int) -> dict:
+    segment = {kind: f"{name}_segment_{uuid4().hex}_{kind}" for kind in store.KINDS}
     points.write.saveAsTable(segment["points"])
-    store.write_by_term(postings, segment["postings"], parts)
+    store.write_by_term(Q.with_blocks(postings, buckets), segment["postings"], parts)
+    Q.block_bounds(points.sparkSession.table(segment["postings"])).write.saveAsTable(segment["bounds"])
     terms.write.saveAsTable(segment["terms"])
     return segment
 
@@ -142,9 +151,11 @@ def _commit_whole(spark: SparkSession, name: str, points: DataFrame, manifest: d
     points = stage(points, "points")
     post = stage(W.postings(points, "id", "page_content"), "postings")
     parts = parts or store.parts_for(post.count())
-    segment = _write_segment(points, post, W.document_frequency(post), name, parts)
+    n = points.count()
+    buckets = max(1, n // (8 * BLOCK_DOCS))
+    segment = _write_segment(points, post, W.document_frequency(post), name, parts, buckets)
     version = manifest["version"] + 1 if manifest else 1
-    store.commit(spark, name, {"version": version, "parts": parts, "n": points.count(), "segments": [segment]}, batch)
+    store.commit(spark, name, {"version": version, "parts": parts, "buckets": buckets, "n": n, "segments": [segment]}, batch)
 
 
 def rebuild_sparse(spark: SparkSession, name: str, parts: int | None = None) -> None:
@@ -176,9 +187,11 @@ def open_points(spark: SparkSession, name: str) -> DataFrame:
 def open_sparse(spark: SparkSession, name: str) -> SparseIndex:
     manifest = _manifest(spark, name)
     counts = reduce(DataFrame.unionByName, [spark.table(s["terms"]) for s in manifest["segments"]])
+    bounds = reduce(DataFrame.unionByName, [spark.table(s["bounds"]) for s in manifest["segments"]])
     if len(manifest["segments"]) > 1:
         counts = counts.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    return SparseIndex(_live(spark, manifest, "postings", "doc_id"), counts, F.lit(manifest["n"]), manifest["parts"])
+        bounds = bounds.groupBy("term", "block").agg(F.max("most").alias("most"))  # of replaced points too: still bounds
+    return SparseIndex(_live(spark, manifest, "postings", "doc_id"), counts, F.lit(manifest["n"]), manifest["parts"], bounds)
 
 
 def index_totals(posts: DataFrame, points: DataFrame) -> DataFrame:

@@ -27,12 +27,11 @@ def candidate_lists(
     """
     size = size or Q.QuerySize.of(queries)
     k = limit * Q.OVERFETCH
-    post = index.postings_for(queries) if index else W.postings(docs)
-    n_docs = index.n_docs if index else W.count_rows(docs)
-    scores = Q.sparse_scores(
-        queries, post, n_docs, keys, index.terms if index else None, bounded=size.terms_bounded
-    )
-    return Q.dense_topk(queries, vectors, keys, k), Q.ranked(scores, keys, k)
+    dense = Q.dense_topk(queries, vectors, keys, k)
+    if index:
+        return dense, index.topk(queries, keys, k, size.terms_bounded)
+    scores = Q.sparse_scores(queries, W.postings(docs), W.count_rows(docs), keys, bounded=size.terms_bounded)
+    return dense, Q.ranked(scores, keys, k)
 
 
 def _with_text_after(

@@ -31,7 +31,7 @@ def _laid_out(postings: DataFrame, parts: int) -> DataFrame:
     """Postings in the order of the table; a frequent term is spread over several files of its partition."""
     columns = [c for c in postings.columns if c != "term_part"]
     return postings.select(*columns, part_of(F.col("term"), parts)).hint(
-        "rebalance", F.col("term_part")).sortWithinPartitions("term_part", "term", "doc_id")
+        "rebalance", F.col("term_part")).sortWithinPartitions("term_part", *[c for c in ("block", "term", "doc_id") if c in columns])
 
 
 def parts_for(rows: int) -> int:
@@ -40,7 +40,7 @@ def parts_for(rows: int) -> int:
 
 
 def write_by_term(postings: DataFrame, name: str, parts: int) -> None:
-    """Write a table of postings, partitioned by a hash of the term and sorted by term within its files.
+    """Write a table of postings, partitioned by a hash of the term and sorted by block and term within its files.
 
     A search reads the partitions of the terms it asks for and no others.
     """
@@ -49,10 +49,11 @@ def write_by_term(postings: DataFrame, name: str, parts: int) -> None:
 
 # -- versions of an index ------------------------------------------------------
 #
-# An index is a list of segments, each with a table of points, one of postings and one of changes in term counts.
+# An index is a list of segments, each with tables of points, postings, changes in term counts, and greatest weights.
 # The list stands in one property of a small table, so it changes in one step: a reader sees all of a write or
 # nothing, and tables of a write that ended early are never read.
 
+KINDS = ("points", "postings", "terms", "bounds")
 _PROPERTY = "manifest"
 KEPT_BATCHES = 1_000
 
@@ -78,7 +79,7 @@ def commit(spark: SparkSession, name: str, manifest: dict, batch: str | None = N
 
 
 def segment_tables(segment: dict) -> list[str]:
-    return [segment[kind] for kind in ("points", "postings", "terms")]
+    return [segment[kind] for kind in KINDS]
 
 
 def vacuum(spark: SparkSession, name: str) -> list[str]:
