@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadmine.operators import curate as C
@@ -128,12 +130,29 @@ def test_landing_skips_what_landed_and_what_was_seen(spark):
     assert {r["id"] for r in out} == {f"a{i}" for i in range(10, 59)}
 
 
+@pytest.mark.parametrize("most_sorted", [100_000, 3])
+def test_order_statistics_equal_sorted_lists(spark, most_sorted):
+    """Ties, few and many values, null keys and values; selection in one round and in several."""
+    rng = random.Random(8)
+    rows = [("ties", rng.choice([1.0, 2.0, 2.5])) for _ in range(900)] + [(None, rng.gauss(0, 1e6)) for _ in range(700)]
+    rows += [("skew", 2.0 ** rng.randint(-300, 300)) for _ in range(800)] + [("one", 7.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    fractions = {"low": 0.0, "p50": .5, "p95": .95, "p99": .99}
+    got = order_statistics(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v", fractions, most_sorted)
+    want = {}
+    for k in {k for k, v in rows if v is not None}:
+        values = sorted(v for i, v in rows if i == k and v is not None)
+        want[k] = tuple(values[int(len(values) * p)] for p in fractions.values())
+    assert {r["k"]: tuple(r)[1:] for r in got.collect()} == want
+    assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert order_statistics(spark.createDataFrame([], "k string, v double"), ["k"], "v", fractions).count() == 0
+
+
 def test_row_index_and_order_statistics_with_a_hot_key(spark):
     values = [("hot", float(i % 7), i) for i in range(3000)] + [("cold", float(i), 5000 + i) for i in range(1, 21)]
     df = spark.createDataFrame(values, "k string, v double, id bigint").repartition(8)
     indexed = with_row_index(df, "k", "v", "id").orderBy("k", "v", "id").collect()
     assert [r["row_index"] for r in indexed] == list(range(len(values)))
-    got = {r["k"]: r for r in order_statistics(df, ["k"], "v", ["id"], {"p50": .5, "p95": .95, "p99": .99}).collect()}
+    got = {r["k"]: r for r in order_statistics(df, ["k"], "v", {"p50": .5, "p95": .95, "p99": .99}).collect()}
     assert (got["cold"]["p50"], got["cold"]["p95"], got["cold"]["p99"]) == (11, 20, 20)
     hot = sorted(v for k, v, _ in values if k == "hot")
     assert (got["hot"]["p50"], got["hot"]["p95"]) == (hot[1500], hot[2850])

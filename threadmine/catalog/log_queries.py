@@ -65,7 +65,7 @@ def cold_start_report(spark, sf_dir):
        + ", ".join(f"list_sort(list(value))[CAST(floor(count(value) * {p}e0) AS BIGINT) + 1] AS {n}" for n, p in L.FRACTIONS.items())
        + " FROM events GROUP BY event_type")
 def duration_percentiles(spark, sf_dir):
-    s = L.duration_stats(T.events(spark, sf_dir), ["event_type"], "value", ["event_id"])
+    s = L.duration_stats(T.events(spark, sf_dir), ["event_type"], "value")
     return s.withColumns({c: T.r6(c) for c in ("min", "max", "avg")})
 
 

@@ -98,12 +98,12 @@ def join_reports(starts: DataFrame, reports: DataFrame, order: list[Column]) ->
     ).drop("_reported")
 
 
-def duration_stats(rows: DataFrame, keys: list[str], value: str, tie: list[str]) -> DataFrame:
+def duration_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """min, max, avg and the three order statistics of ``value`` per key."""
     basic = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg")
     )
-    return basic.join(order_statistics(rows, keys, value, tie, FRACTIONS), keys)
+    return basic.join(order_statistics(rows, keys, value, FRACTIONS), keys)
 
 
 def start_counts(starts: DataFrame, keys: list[str]) -> DataFrame:

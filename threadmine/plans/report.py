@@ -27,7 +27,7 @@ def cold_start_report(logs: DataFrame, keys: list[str], start: Column | None = N
     cold = rows.where("is_cold_start")
     out = L.start_counts(rows, keys)
     for value in ("init_duration_ms", "lambda_init_duration_ms"):
-        stats = L.duration_stats(cold, keys, value, ["event_id"])
+        stats = L.duration_stats(cold, keys, value)
         prefix = value.removesuffix("_duration_ms")
         out = out.join(stats.withColumnsRenamed({c: f"{prefix}_{c}" for c in ("min", "max", "avg", *L.FRACTIONS)}), keys, "left")
     return out
