@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threadmine import schemas
 from threadmine.operators import conversation as V
+from threadmine.sources import store
 from threadmine.streaming import queues as U
 from threadmine.streaming import state as A
 
@@ -139,34 +141,73 @@ def test_queue_decoding_keeps_bad_messages_aside(spark, tmp_path):
     (source / "1.txt").write_text(json.dumps(good) + "\n{broken\n")
     (source / "2.txt").write_text(json.dumps({**good, "connection_id": "unknown"}) + "\n" + json.dumps({**good, "stage": ""}) + "\n")
     decoded = U.decode(U.read_queue(spark, str(source), 1), schemas.CHAT_MESSAGE)
-    ok, bad = U.good_and_bad(decoded)
-    live = spark.createDataFrame([("c",)], "connection_id string")
-    answered = _run(spark, tmp_path, ok, "request_id string, connection_id string", U.chat_batch(live, lambda b: b.select("request_id", "connection_id")))
-    assert [tuple(r) for r in answered.collect()] == [("r", "c")]
-    (tmp_path / "b").mkdir()
-    assert [r["body"] for r in _run(spark, tmp_path / "b", bad, "body string").collect()] == ["{broken"]
+    live = spark.createDataFrame([("c", 10), ("old", 5)], "connection_id string, ttl int")
+    (source / "3.txt").write_text(json.dumps({**good, "connection_id": "old"}) + "\n")
+    sinks, out = U.chat_sinks(live, lambda b: b.select("request_id", "connection_id"), lambda: F.lit(5)), str(tmp_path / "out")
+    U.consume(decoded, out, str(tmp_path / "progress"), sinks).awaitTermination()
+    answers = U.read_sink(spark, out, "answers", "request_id string, connection_id string")
+    assert [tuple(r) for r in answers.drop("batch_id").collect()] == [("r", "c")]
+    assert [r["body"] for r in U.read_sink(spark, out, "corrupt", "body string").collect()] == ["{broken"]
+    counts = U.read_sink(spark, out, "counts", "processed bigint, failed bigint").groupBy().sum("processed", "failed").first()
+    assert tuple(counts) == (4, 1)
+
+
+def test_sinks_of_a_batch_are_committed_together(spark, tmp_path):
+    """A batch that fails at its last sink leaves nothing to read; repeated, each of its rows is there once."""
+    source, out = tmp_path / "q", str(tmp_path / "out")
+    source.mkdir()
+    for i in range(2):
+        (source / f"{i}.txt").write_text(json.dumps({"request_id": f"r{i}"}) + "\n")
+        os.utime(source / f"{i}.txt", (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken by age
+    fail = {"on": True}
 
+    def sinks(batch):
+        rows = batch.select("request_id")
+        late = rows.select(F.assert_true(F.lit(not fail["on"]) | (F.col("request_id") == "r0")).cast("string").alias("x"))
+        return {"first": rows, "last": late}
 
-def test_seen_table_batches(spark, tmp_path):
-    table, out = str(tmp_path / "seen0"), str(tmp_path / "fresh")
-    state = {"path": table, "n": 0}
-    empty = spark.createDataFrame([], "post_id string, subreddit string, pulled_at bigint, ttl bigint")
-    empty.write.parquet(table)
+    def run():
+        decoded = U.decode(U.read_queue(spark, str(source), 1), schemas.CHAT_MESSAGE)
+        U.consume(decoded, out, str(tmp_path / "progress"), sinks).awaitTermination()
+
+    with pytest.raises(Exception):
+        run()
+    assert [r.request_id for r in U.read_sink(spark, out, "first", "request_id string").collect()] == ["r0"]
+    fail["on"] = False
+    run()
+    assert sorted(r.request_id for r in U.read_sink(spark, out, "first", "request_id string").collect()) == ["r0", "r1"]
 
-    def write(df):
-        state["n"] += 1
-        path = str(tmp_path / f"seen{state['n']}")
-        df.write.parquet(path)
-        state["path"] = path
 
+def test_seen_table_batches(spark, tmp_path):
+    out, name = str(tmp_path / "fresh"), "t_seen"
+    store.create_seen(spark, name, 3)
     run = U.seen_table_batch(
-        lambda: spark.read.parquet(state["path"]), write,
-        lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch_id={i}"), lambda: F.lit(100),
-    )
+        spark, name, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch_id={i}"), lambda: F.lit(100), days=1)
+
+    def feed(i, ids):
+        run(spark.createDataFrame([(x, "f") for x in ids], "id string, subreddit_name string"), i)
+
     for i, batch in enumerate((["1", "2", "2"], ["2", "3"])):
-        run(spark.createDataFrame([(x, "f") for x in batch], "id string, subreddit_name string"), i)
+        feed(i, batch)
+    size = spark.table(name).count()
+    feed(1, ["2", "3"])  # repeated after a failure: the same rows again
     got = spark.read.schema("id string, subreddit_name string, batch_id int").parquet(out)
     assert sorted((r["id"], r["batch_id"]) for r in got.collect()) == [("1", 0), ("2", 0), ("3", 1)]
+    assert size == 3
+    before = {tuple(r) for r in spark.table(name).drop("batch").collect()}
+    store.compact_seen(spark, name, F.lit(100))
+    assert {tuple(r) for r in spark.table(name).drop("batch").collect()} == before and spark.table(name).count() == 3
+    # the table's side of the comparison is read by buckets and not shuffled
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = spark.createDataFrame([("9", "f")], "post_id string, subreddit string").join(spark.table(name), store.SEEN_KEYS, "left_anti")
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    store.compact_seen(spark, name, F.lit(100 + 86_400))
+    assert spark.table(name).count() == 0
+    spark.sql(f"DROP TABLE {name}")
 
 
 def test_retention_drops_repeats_and_old_messages(spark, tmp_path):

@@ -12,6 +12,8 @@ from threadmine.session import salted_join, stage
 
 # Rows kept beside the first one in the chat history and for query rewriting.
 CHAT_TAIL, REWRITE_TAIL = 7, 6
+# Fixed value: the system message about a rewritten question; histories hold it word for word.
+READING = 'The user\'s original question was: "%s"\nIt has been interpreted as: "%s"'
 
 
 def trim_history(turns: DataFrame, keys: list[str], order: list[str], tail: int = CHAT_TAIL) -> DataFrame:
@@ -53,10 +55,7 @@ def assemble_history(
         )
 
     rewritten = (F.coalesce("rewritten", F.lit("")) != "") & (F.col("rewritten") != F.col("query"))
-    reading = F.concat(
-        F.lit('The user\'s original question was: "'), F.col("query"),
-        F.lit('"\nIt has been interpreted as: "'), F.col("rewritten"), F.lit('"'),
-    )
+    reading = F.format_string(READING, F.col("query"), F.col("rewritten"))
     return (
         kept.select(*keys, F.lit(0).alias("section"), *order, "role", "content")
         .unionByName(section(requests.join(own, keys, "left_anti"), 0, "system", F.lit(persona)))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from threadmine.functions import text as X
 from threadmine.functions import times
+from threadmine.operators.bloom import bloom_anti_join, maybe_in
 from threadmine.operators.ranking import latest, top_k
 from threadmine.schemas import PARTITIONS
-from threadmine.session import lookup_join
+from threadmine.session import lookup_join, stage
 
 # Posts taken per forum for all time and per day, and comments taken per post.
 TOP_LIMIT, DAILY_LIMIT, COMMENTS_LIMIT = 200, 50, 5
@@ -97,17 +98,29 @@ def in_forums(posts: DataFrame, forums: list[str]) -> DataFrame:
 
 # -- anti-joins and sets -----------------------------------------------------
 
-def without_ids(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Existing rows whose id the new data does not hold."""
+def without_ids(existing: DataFrame, new: DataFrame, key: str = "id", pruned: bool = False) -> DataFrame:
+    """Existing rows whose id the new data does not hold.
+
+    ``pruned``: rows that a Bloom filter of the new ids rules out as partners are not shuffled for the join, which
+    pays where rows are wide and the new ids too many to broadcast; the new ids are written first.
+    """
+    if pruned:
+        return bloom_anti_join(existing, stage(new.select(key).distinct(), "ids"), [key])
     return existing.join(new.select(key).distinct(), key, "left_anti")
 
 
-def unseen(posts: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
-    """Posts that are not in the seen table of their forum, expired entries not counted."""
+def unseen(posts: DataFrame, seen: DataFrame, now: Column, pruned: bool = False) -> DataFrame:
+    """Posts that are not in the seen table of their forum, expired entries not counted.
+
+    ``pruned``: of the seen table only rows that a Bloom filter of the posts lets through go into the join.
+    """
+    keys = ["id", "subreddit_name"]
     live = seen.where(F.col("ttl") > now).select(
         F.col("post_id").alias("id"), F.col("subreddit").alias("subreddit_name")
     )
-    return posts.join(live, ["id", "subreddit_name"], "left_anti")
+    if pruned:
+        live = maybe_in(live, stage(posts.select(*keys).distinct(), "ids"), keys)
+    return posts.join(live, keys, "left_anti")
 
 
 def mark_seen(seen: DataFrame, posts: DataFrame, now: Column) -> DataFrame:

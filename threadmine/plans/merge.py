@@ -14,16 +14,17 @@ from threadmine.sources import posts as S
 TOUCH = ["subreddit_name", "year", "month"]
 
 
-def merge_top(existing: DataFrame | None, new: DataFrame) -> DataFrame:
+def merge_top(existing: DataFrame | None, new: DataFrame, pruned: bool = False) -> DataFrame:
     """All-time merge: new rows replace existing ones of the same id.
 
     Without existing rows the new ones are the result; without an id on both
     sides the two are appended. A column that only one side has is null on the other's rows.
+    ``pruned``: see :func:`curate.without_ids`.
     """
     if existing is None:
         return new
     both = "id" in existing.columns and "id" in new.columns
-    kept = C.without_ids(existing, new) if both else existing
+    kept = C.without_ids(existing, new, pruned=pruned) if both else existing
     return kept.unionByName(new, allowMissingColumns=True)
 
 
@@ -50,11 +51,12 @@ def run_merge_top(spark: SparkSession, raw: DataFrame, curated_path: str, next_p
     """Merge a snapshot into the table at ``curated_path`` and write the whole to ``next_path``.
 
     The result goes to a fresh folder, so no partition that lost its last row
-    survives. Returns False, and writes nothing, if there are no new rows.
+    survives. Returns False, and writes nothing, if there are no new rows. Stored rows that no new id
+    can replace are passed on without a shuffle.
     """
     if raw.isEmpty():
         return False
-    S.write_curated(merge_top(S.read_curated(spark, curated_path), raw), next_path, replace_all=True)
+    S.write_curated(merge_top(S.read_curated(spark, curated_path), raw, pruned=True), next_path, replace_all=True)
     return True
 
 

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadmine.session import stage
+
 # Postings of one partition, and the most partitions of a table.
 ROWS_PER_PART, MAX_PARTS = 20_000_000, 50_000
 
@@ -47,6 +49,63 @@ def write_by_term(postings: DataFrame, name: str, parts: int) -> None:
     _laid_out(postings, parts).write.mode("overwrite").partitionBy("term_part").saveAsTable(name)
 
 
+# -- seen posts ------------------------------------------------------------------
+#
+# A table that only grows, bucketed by its key: a batch is compared with it bucket by bucket, so the table is not
+# shuffled, and what is written follows the batch.
+
+SEEN_KEYS = ["subreddit", "post_id"]
+
+
+def _write_seen(rows: DataFrame, name: str, buckets: int) -> None:
+    columns = [*SEEN_KEYS, "pulled_at", "ttl", "batch"]
+    rows.select(*columns).repartition(buckets, *SEEN_KEYS).write.bucketBy(buckets, *SEEN_KEYS).sortBy(*SEEN_KEYS).mode(
+        "append").saveAsTable(name)
+
+
+def create_seen(spark: SparkSession, name: str, buckets: int = 64) -> None:
+    """An empty seen table. Choose buckets of some hundred MB for the size that the table will reach."""
+    empty = spark.createDataFrame([], "subreddit string, post_id string, pulled_at bigint, ttl bigint, batch string")
+    _write_seen(empty, name, buckets)
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('seen_buckets' = '{buckets}')")
+
+
+def seen_buckets(spark: SparkSession, name: str) -> int:
+    return int(spark.sql(f"SHOW TBLPROPERTIES {name} ('seen_buckets')").first()["value"])
+
+
+def add_unseen(spark: SparkSession, name: str, posts: DataFrame, now: Column, ttl: Column, batch: str) -> DataFrame:
+    """The posts ``(id, subreddit_name, …)``, once each, that the table does not hold alive at ``now`` (seconds); they are added.
+
+    A batch that is repeated after a failure gets the same answer, since its own rows are passed over: they may
+    then stand in the table twice, which changes nothing and ends at the next ``compact_seen``.
+    """
+    live = spark.table(name).where((F.col("ttl") > now) & (F.col("batch") != batch)).select(*SEEN_KEYS)
+    keyed = posts.dropDuplicates(["id", "subreddit_name"]).withColumns(
+        {"subreddit": F.col("subreddit_name"), "post_id": F.col("id").cast("string")})
+    fresh = stage(keyed.join(live.hint("merge"), SEEN_KEYS, "left_anti"), "fresh")
+    _write_seen(fresh.select(*SEEN_KEYS, now.cast("bigint").alias("pulled_at"), ttl.cast("bigint").alias("ttl"), F.lit(batch).alias("batch")),
+                name, seen_buckets(spark, name))
+    return fresh.drop(*SEEN_KEYS)
+
+
+def compact_seen(spark: SparkSession, name: str, now: Column) -> None:
+    """Rewrite the table with one row for each key that is alive at ``now``, as one file for each bucket.
+
+    The new content gets its name before the old one is dropped. Not while a batch is added.
+    """
+    buckets = seen_buckets(spark, name)
+    rows = spark.table(name).where(F.col("ttl") > now)
+    once = rows.groupBy(*SEEN_KEYS).agg(F.max(F.struct("ttl", "pulled_at", "batch")).alias("r")).select(*SEEN_KEYS, "r.*")
+    delete_index(spark, f"{name}__next")
+    _write_seen(once, f"{name}__next", buckets)
+    spark.sql(f"ALTER TABLE {name}__next SET TBLPROPERTIES ('seen_buckets' = '{buckets}')")
+    delete_index(spark, f"{name}__old")
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}__old")
+    spark.sql(f"ALTER TABLE {name}__next RENAME TO {name}")
+    delete_index(spark, f"{name}__old")
+
+
 # -- versions of an index ------------------------------------------------------
 #
 # An index is a list of segments, each with tables of points, postings, changes in term counts, and greatest weights.
