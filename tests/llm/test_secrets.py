@@ -76,3 +76,8 @@ def test_odd_rows(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
     got = sorted(((r.doc_id or 0, len(r.spans)) for r in secrets.scan_secrets(docs).collect()))
     assert got == ([] if not rows else [(0, 0), (1, 0), (1, 0), (2, 50_000)])
+
+
+def test_ill_formed_bytes_are_single_characters(spark):
+    docs = spark.sql("SELECT 1L doc_id, cast(X'C3FF' || cast(' password=abcdefgh12 ' AS binary) || X'FF' AS string) text")
+    assert [(s.kind, s.start, s.end) for s in secrets.scan_secrets(docs).first().spans] == [("assign", 3, 22)]

@@ -59,3 +59,8 @@ def test_odd_rows(spark, vocabulary, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
     got = sorted((r.doc_id or 0, r.n_chars) for r in tokens.count_tokens(docs, vocabulary).collect())
     assert got == sorted((i or 0, len(t or "")) for i, t, _ in rows)
+
+
+def test_ill_formed_bytes_are_replaced(spark, vocabulary):
+    docs = spark.sql("SELECT 1L doc_id, cast(X'61FF62' AS string) text")
+    assert [r.n_tokens for r in tokens.count_tokens(docs, vocabulary).collect()] == [tokens.Counter(vocabulary).of_text("a�b")]

@@ -62,3 +62,11 @@ def test_cut_archives_are_refused():
     with pytest.raises(EOFError):
         list(warc.normalise_file(io.BytesIO(whole[:-20]), io.BytesIO()))
     assert list(warc.normalise_file(io.BytesIO(b""), io.BytesIO())) == []
+
+
+def test_ids_are_quoted(spark):
+    """No id can be taken for the missing one or for a header."""
+    ids = ["null", "a\r\nWARC-Type: revisit", "", "%0D", "é>", None]
+    rows = [(i, "u", LONG if k % 2 else f"page {k}", 1) for k, i in enumerate(ids)]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, SCHEMA.replace("page_id long", "page_id string"))).collect()
+    assert sorted([tuple(r)[:5] for r in got], key=str) == expected(rows)

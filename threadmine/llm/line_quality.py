@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -193,6 +193,7 @@ def fit(lines: Lines, labels: np.ndarray, rounds: int = 150, rate: float = 0.1,
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on the labelled documents that are not held out with the ``max_train`` smallest hashes of doc_id.
 
+    Of an id that repeats the row with the smallest hash of its text is taken.
     Rows with null ids or labels are not learned from; without labels of both kinds the model is constant.
     """
     ship_package(docs.sparkSession)
@@ -200,7 +201,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     sample = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).orderBy(
         F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(max_train)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")
-    rows = docs.select("doc_id", raw).join(F.broadcast(sample), ["doc_id"])  # max_train rows
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("raw"), "raw")
+    rows = docs.select("doc_id", raw).join(F.broadcast(sample), ["doc_id"]).withColumn(  # max_train rows
+        "turn", F.row_number().over(once)).where("turn = 1").drop("turn")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

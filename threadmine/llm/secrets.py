@@ -120,10 +120,15 @@ def find_spans(raw: bytes, words: ahocorasick.Automaton) -> list[Span]:
     return sorted(spans)
 
 
+def _utf8(raw: bytes) -> bytes:
+    """The text; where it is no UTF-8, with U+FFFD for what can't be read."""
+    return raw if raw.isascii() else raw.decode(errors="replace").encode()
+
+
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) of every row; spans is an array of (kind, start, end) in code points, end exclusive.
 
-    A null or empty text has an empty array, a null doc_id stays, repeated rows are
+    A null or empty text has an empty array, an ill-formed piece of UTF-8 is one character, a null doc_id stays, repeated rows are
     scanned each for itself, an empty table gives an empty result. Needs (doc_id, text); other
     columns are ignored.
     """
@@ -140,7 +145,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         words = automaton()
         for batch in batches:
             found = [
-                [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_spans(raw.as_py() or b"", words)]
+                [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_spans(_utf8(raw.as_py() or b""), words)]
                 for raw in batch.column(1)
             ]
             yield pa.RecordBatch.from_arrays(

@@ -108,7 +108,7 @@ class Counter(dict):
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, n_chars, n_tokens) of every row, over whole texts.
 
-    A null or empty text has 0 tokens; a null doc_id stays, repeated rows are counted each for
+    A null or empty text has 0 tokens, ill-formed UTF-8 is read as U+FFFD; a null doc_id stays, repeated rows are counted each for
     itself, an empty table gives an empty result. Needs (doc_id, text); other columns are ignored.
     The vocabulary (some 10,000 pieces, whatever the input) is broadcast.
     """
@@ -121,10 +121,10 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value)
         for batch in batches:
-            numbers = [counter.of_text(text.as_py() or "") for text in batch.column(2)]
+            numbers = [counter.of_text((raw.as_py() or b"").decode(errors="replace")) for raw in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(numbers, pa.int64())], ["doc_id", "n_chars", "n_tokens"])
 
     return docs.select(
-        "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), "text"
+        "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.col("text").cast("binary").alias("raw")
     ).mapInArrow(count, schema)

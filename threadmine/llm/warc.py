@@ -17,7 +17,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,16 +41,25 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def record(kind: str, page_id: str, url: str, payload: bytes, size: int, digest: str, refers_to: str | None) -> bytes:
+def _urn(page_id: str | None) -> str:
+    """Name of a page's record; ids are quoted, so none can hold a line end or another header. Without an id, the bare name."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+
+
+def _page_of(urn: str) -> str | None:
+    return unquote(urn[len("<urn:page:"):-1]) if urn.startswith("<urn:page:") else None
+
+
+def record(kind: str, page_id: str | None, url: str, payload: bytes, size: int, digest: str, refers_to: str | None) -> bytes:
     """A WARC/1.1 record; a revisit has no payload but the length and digest of what it stands for."""
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}",
         f"WARC-Target-URI: {quote(url, safe=':/?&=#%+,;@~!$*()[]')}",
         f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}",
     ]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                 f"WARC-Refers-To: <urn:page:{refers_to}>"]
+                 f"WARC-Refers-To: {_urn(refers_to)}"]
     body = payload if kind == "response" else b""
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + HEAD_END + body + HEAD_END
@@ -192,7 +201,7 @@ def write_archives(planned: DataFrame, folder: str, max_bytes: int = 256 << 20)
         yield pa.RecordBatch.from_pylist(
             [{"path": p, "records": n} for p, n in done], pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
-    ids = planned.withColumn("page_id", F.coalesce(F.col("page_id").cast("string"), F.lit("null"))).withColumn(
+    ids = planned.withColumn("page_id", F.col("page_id").cast("string")).withColumn(
         "refers_to", F.col("refers_to").cast("string"))
     return stage(ids.mapInArrow(write, ARCHIVE), "warc-written")
 
@@ -266,12 +275,12 @@ def read_records(index: DataFrame, id_type: T.DataType) -> DataFrame:
                 payload = rest[: int(fields["content-length"])]
                 response = fields["warc-type"] == "response"
                 rows.append({
-                    "page_id": fields["warc-record-id"][len("<urn:page:"):-1],
+                    "page_id": _page_of(fields["warc-record-id"]),
                     "payload_bytes": len(payload) if response else int(fields["x-payload-length"]),
                     "payload_digest": hashlib.sha256(payload).hexdigest() if response
                     else fields["warc-payload-digest"].partition(":")[2],
                     "record_type": fields["warc-type"],
-                    "refers_to": fields["warc-refers-to"][len("<urn:page:"):-1] if "warc-refers-to" in fields else None,
+                    "refers_to": _page_of(fields.get("warc-refers-to", "")),
                     "payload": payload,
                 })
                 held += len(payload)
@@ -282,8 +291,7 @@ def read_records(index: DataFrame, id_type: T.DataType) -> DataFrame:
 
     schema = ("page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, "
               "payload binary")
-    return index.mapInArrow(read, schema).withColumn(
-        "page_id", F.when(F.col("page_id") != "null", F.col("page_id")).cast(id_type)).withColumn(
+    return index.mapInArrow(read, schema).withColumn("page_id", F.col("page_id").cast(id_type)).withColumn(
         "refers_to", F.col("refers_to").cast(id_type))
 
 
