@@ -185,16 +185,29 @@ def _alike(x: str, y: str, percent: int) -> Column:
             & ((100 + percent) * bits(PARITY) <= (100 - percent) * (n + o)))
 
 
-def _rest_of_buckets(members: DataFrame, reps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _first_shared(x: str, y: str, m: int) -> Column:
+    """Condition that no table before this one has both nodes in one bucket, so a pair is passed on once.
+
+    Nodes share table (i, j) if their left bands i and right bands j are equal: the first has the first equal band of either.
+    """
+    table = F.col(f"{x}.key").bitwiseAND((1 << (m * m - 1).bit_length()) - 1).cast("int")
+    out = F.lit(True)
+    for side, before in (("left", F.floor(table / m).cast("int")), ("right", table % m)):
+        pairs = F.zip_with(F.slice(f"{x}.{side}", F.lit(1), before), F.slice(f"{y}.{side}", F.lit(1), before), lambda p, q: p == q)
+        out = out & ~F.exists(pairs, lambda equal: equal)
+    return out
+
+
+def _rest_of_buckets(members: DataFrame, reps: DataFrame, found: DataFrame, percent: int, m: int) -> DataFrame:
     """Pairs of one bucket in different components, where the comparison with the smallest node left several."""
-    info = reps.select("node", *SKETCH).join(
+    info = reps.select("node", "left", "right", *SKETCH).join(
         found.withColumnRenamed("component", "c"), ["node"], "left").withColumn("c", F.coalesce("c", "node"))
     rows = stage(members.where(F.col("many") > 2).select("key", "node", "many").join(info, ["node"]), "members")
     top = rows.groupBy("key", "c").agg(F.count("*").alias("of")).groupBy("key").agg(
         F.max(F.struct("of", "c")).alias("top"), F.sum("of").alias("all")).where(F.col("top.of") < F.col("all")).select(
         "key", F.col("top.c").alias("top"), "all", (F.col("all") - F.col("top.of")).alias("others"))
     rows = rows.join(top, ["key"]).select(
-        "key", "node", *SKETCH, "c", (F.col("c") != F.col("top")).alias("outer"),
+        "key", "node", "left", "right", *SKETCH, "c", (F.col("c") != F.col("top")).alias("outer"),
         F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
         F.ceil(F.col("others") / BLOCK).cast("int").alias("outer_blocks"))
 
@@ -208,7 +221,7 @@ def _rest_of_buckets(members: DataFrame, reps: DataFrame, found: DataFrame, perc
     y = rows.withColumn("j", block("blocks")).withColumn("i", each("outer_blocks")).alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "i", "j")]
     differ = (F.col("x.c") != F.col("y.c")) & (~F.col("y.outer") | (F.col("x.node") < F.col("y.node")))
-    return x.join(y, [*same, differ, _alike("x", "y", percent)]).select(
+    return x.join(y, [*same, differ, _alike("x", "y", percent), _first_shared("x", "y", m)]).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -245,7 +258,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 8,
         "a", F.col("node").alias("b")).distinct(), "links")
     # Key rows hold a number and a node only. They are shuffled twice: counted, then joined with the counts above one.
     keys = reps.select("node", F.explode(F.flatten(F.transform("left", lambda x, i: F.transform(
-        "right", lambda y, j: F.xxhash64(i * m + j, x, y))))).alias("key"))
+        "right", lambda y, j: F.call_function("shiftleft", F.xxhash64(i * m + j, x, y), F.lit((m * m - 1).bit_length())).bitwiseOR(
+            (i * m + j).cast("long")))))).alias("key"))  # the number of the table in the lowest bits
     buckets = keys.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("least")).where(F.col("many") > 1)
     members = stage(keys.join(buckets, ["key"]), "buckets")
     stars = members.where(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
@@ -254,7 +268,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 8,
                   .where(_alike("x", "y", percent)).select("a", "b").distinct(), "pairs")
     links = stage(_verified(stars, reps, docs, k, percent).unionByName(same_id), "links")
     found = components(links)
-    rest = stage(_rest_of_buckets(members, reps, found, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    rest = stage(_rest_of_buckets(members, reps, found, percent, m).join(stars, ["a", "b"], "left_anti"), "pairs")
     more = _verified(rest, reps, docs, k, percent)
     nodes = stage(components(links.unionByName(more)).join(
         labelled.groupBy("node").agg(F.min("low").alias("low")), ["node"]), "nodes")
