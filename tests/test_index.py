@@ -188,6 +188,20 @@ def test_many_segments_are_merged_and_a_rebuild_changes_no_result(spark, monkeyp
         store.drop_index(spark, name)
 
 
+def test_a_page_reads_the_files_that_hold_it(spark):
+    points = spark.range(5_000).select(F.format_string("%06d", F.col("id") * 3).alias("id"), F.col("id").alias("v")).repartition(6)
+    store.write_sorted(points, "t_sorted", rows_per_file=100)
+    assert len(spark.table("t_sorted").inputFiles()) > 30
+    want = sorted(r.id for r in points.collect())
+    for after, limit in ((None, 150), ("000003", 1), (want[3_333], 250), (want[-20], 100), (want[-1], 5), ("0", 10_000)):
+        page = store.scroll_sorted(spark, "t_sorted", after, limit)
+        assert [r.id for r in page.collect()] == [i for i in want if after is None or i > after][:limit]
+        if limit <= 250:
+            assert len(page.inputFiles()) <= limit // 60 + 3
+            assert "rangepartitioning" not in page._jdf.queryExecution().executedPlan().toString()
+    store.drop_sorted(spark, "t_sorted")
+
+
 def test_compat_ids_collide_and_full_ids_do_not(spark):
     post = spark.createDataFrame([("p1", "t", "c", 2024, 5, "shopping", [("c1", 1, "one", 2024, 5), ("c2", 1, "two", 2024, 5)])], POST)
     new = {r["id"] for r in index.index_rows(post).collect()}

@@ -21,7 +21,7 @@ from threadmine.plans import landing, merge
 from threadmine.schemas import PARTITIONS
 from threadmine.session import new_path, stage
 from threadmine.sources import posts as P
-from threadmine.sources.store import drop_index, scroll
+from threadmine.sources.store import drop_index, drop_sorted, scroll_sorted, write_sorted
 
 DAY_DATE = dt.date(2025, 10, 1)
 NOW_SECONDS = 1_750_000_000
@@ -46,6 +46,17 @@ def merge_top_written(spark, sf_dir):
     return P.read_curated(spark, second).select(*_OUT)
 
 
+@query(S.clauses(S.POSTS, S.NEW_POSTS) + """SELECT 'new' AS stage, count(*) AS n FROM new_posts
+  UNION ALL SELECT 'kept', count(*) FROM posts WHERE id NOT IN (SELECT id FROM new_posts)
+  UNION ALL SELECT 'merged', count(*) + (SELECT count(*) FROM new_posts) FROM posts WHERE id NOT IN (SELECT id FROM new_posts)""")
+def merge_top_counts(spark, sf_dir):
+    """What that job counts while it writes."""
+    first, second, counts = new_path(spark, "curated"), new_path(spark, "curated"), C.WrittenCounts()
+    P.write_curated(T.posts(spark, sf_dir), first)
+    merge.run_merge_top(spark, T.new_posts(spark, sf_dir), first, second, counts)
+    return spark.createDataFrame(list(counts.counts().items()), "stage string, n bigint")
+
+
 _DAILY = (S.POSTS, S.NEW_POSTS,
           "both_sides AS (SELECT *, 0 AS age FROM new_posts UNION ALL SELECT p.*, 1 FROM posts p WHERE EXISTS ("
           "SELECT 1 FROM new_posts n WHERE n.subreddit_name = p.subreddit_name AND make_date(n.year, n.month, 1) = make_date(p.year, p.month, 1)))",
@@ -227,9 +238,9 @@ def attach_comments(spark, sf_dir):
                     F.size("comments").cast("bigint").alias("n_comments"))
 
 
-@query(S.clauses(S.POSTS) + "SELECT id, subreddit_name, rank FROM (SELECT *, row_number() OVER (PARTITION BY subreddit_name ORDER BY score DESC, id) AS rank FROM posts) WHERE rank <= 50")
+@query(S.clauses(S.POSTS) + "SELECT id, subreddit_name, rank FROM (SELECT *, row_number() OVER (PARTITION BY subreddit_name ORDER BY score DESC, id) AS rank FROM posts) WHERE rank <= 20")
 def top_posts_per_forum(spark, sf_dir):
-    return C.top_posts(T.posts(spark, sf_dir), C.DAILY_LIMIT).select("id", "subreddit_name", "rank")
+    return C.top_posts(T.posts(spark, sf_dir), 20).select("id", "subreddit_name", "rank")
 
 
 # Landed before: every partition of the pages. Hot list: the posts of labelled documents.
@@ -578,4 +589,9 @@ def rebuild_sparse(spark, sf_dir):
 
 @query(S.clauses(S.POSTS) + "SELECT id FROM posts WHERE id > '5' ORDER BY id LIMIT 100")
 def scroll_points(spark, sf_dir):
-    return scroll(T.posts(spark, sf_dir), "5", 100).select("id")
+    """A page of a table of points that was written in the order of their ids."""
+    name = f"points_{uuid.uuid4().hex}"
+    write_sorted(T.posts(spark, sf_dir).select("id", "title"), name, rows_per_file=50)
+    page = stage(scroll_sorted(spark, name, "5", 100).select("id"), "page")
+    drop_sorted(spark, name)
+    return page

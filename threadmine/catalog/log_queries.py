@@ -13,10 +13,10 @@ from threadmine.plans import report
 GROUP = ["log_group"]
 
 
-@query(S.clauses(S.LOGS) + "SELECT event_id, message FROM logs WHERE contains(message, 'REPORT') AND ts >= '2024-01-05' AND ts <= '2024-01-20' ORDER BY ts DESC, event_id LIMIT 1000")
+@query(S.clauses(S.LOGS) + "SELECT event_id, message FROM logs WHERE contains(message, 'REPORT') AND ts >= '2024-01-05' AND ts <= '2024-01-20' ORDER BY ts DESC, event_id LIMIT 300")
 def log_scan(spark, sf_dir):
     start, end = (F.to_timestamp_ntz(F.lit(t)) for t in ("2024-01-05 00:00:00", "2024-01-20 00:00:00"))
-    return L.scan(T.logs(spark, sf_dir), "REPORT", start, end, 1000).select("event_id", "message")
+    return L.scan(T.logs(spark, sf_dir), "REPORT", start, end, 300).select("event_id", "message")
 
 
 @query(S.clauses(S.LOGS, S.STARTS) + r"""SELECT event_id, request_id, TRY_CAST(regexp_extract(message, 'Init Duration:\s*([0-9.]+)\s*ms', 1) AS DOUBLE) AS init_duration_ms,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadmine.functions import text as X
@@ -208,8 +208,24 @@ def attach_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
     return joined.withColumn("comments", F.coalesce("comments", F.array().cast(lists.schema["comments"].dataType)))
 
 
+class WrittenCounts:
+    """Row counts of the steps of a job, taken while its result is written; no frame is read for them alone."""
+
+    def __init__(self):
+        self._seen: dict[str, Observation] = {}
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        """``df``, counted under ``name`` by the next action on it. It may stand at one place of the plan only."""
+        self._seen[name] = Observation()
+        return df.observe(self._seen[name], F.count(F.lit(1)).alias("n"))
+
+    def counts(self) -> dict[str, int]:
+        """Waits for the action."""
+        return {name: seen.get["n"] for name, seen in self._seen.items()}
+
+
 def stage_counts(**frames: DataFrame) -> DataFrame:
-    """``(stage, n)`` for named frames, in one job."""
+    """``(stage, n)`` for named frames; each is computed for its count. See :class:`WrittenCounts` for frames that are written anyway."""
     counted = [
         df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n") for name, df in frames.items()
     ]

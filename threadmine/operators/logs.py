@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmine.operators.ranking import latest, order_statistics
-from threadmine.session import salted_join
+from threadmine.session import lookup_join, salted_join
 
 # Marks of the log lines and the patterns of their numbers.
 COLD_MARK, WARM_MARK = "🚀 Cold start detected", "⚡ Warm start"
@@ -149,6 +149,6 @@ def first_event_flag(events: DataFrame, keys: list[str], event_id: str = "event_
     first = events.groupBy(*keys).agg(F.min(F.struct("ts", event_id)).alias("_f")).select(
         F.col(f"_f.{event_id}").alias(event_id), F.lit(True).alias("_first")
     )
-    return events.join(first, event_id, "left").withColumn(
+    return lookup_join(events, first, [event_id], [event_id], "left").withColumn(
         "is_cold_start", F.coalesce("_first", F.lit(False))
     ).drop("_first")

@@ -14,18 +14,21 @@ from threadmine.sources import posts as S
 TOUCH = ["subreddit_name", "year", "month"]
 
 
-def merge_top(existing: DataFrame | None, new: DataFrame, pruned: bool = False) -> DataFrame:
+def merge_top(
+    existing: DataFrame | None, new: DataFrame, pruned: bool = False, counts: C.WrittenCounts | None = None
+) -> DataFrame:
     """All-time merge: new rows replace existing ones of the same id.
 
     Without existing rows the new ones are the result; without an id on both
     sides the two are appended. A column that only one side has is null on the other's rows.
-    ``pruned``: see :func:`curate.without_ids`.
+    ``pruned``: see :func:`curate.without_ids`. ``counts`` gets the rows ``new``, ``kept`` and ``merged``.
     """
+    watch = counts.watch if counts else lambda name, df: df
     if existing is None:
-        return new
+        return watch("new", new)
     both = "id" in existing.columns and "id" in new.columns
-    kept = C.without_ids(existing, new, pruned=pruned) if both else existing
-    return kept.unionByName(new, allowMissingColumns=True)
+    kept = watch("kept", C.without_ids(existing, new, pruned=pruned) if both else existing)
+    return watch("merged", kept.unionByName(watch("new", new), allowMissingColumns=True))
 
 
 def _touch(existing: DataFrame, new: DataFrame) -> list[str]:
@@ -47,16 +50,18 @@ def merge_daily(existing: DataFrame | None, new: DataFrame, order: list[Column]
     return C.dedupe_latest(both, ["subreddit_name", "id"], newest).drop("_age")
 
 
-def run_merge_top(spark: SparkSession, raw: DataFrame, curated_path: str, next_path: str) -> bool:
+def run_merge_top(
+    spark: SparkSession, raw: DataFrame, curated_path: str, next_path: str, counts: C.WrittenCounts | None = None
+) -> bool:
     """Merge a snapshot into the table at ``curated_path`` and write the whole to ``next_path``.
 
     The result goes to a fresh folder, so no partition that lost its last row
     survives. Returns False, and writes nothing, if there are no new rows. Stored rows that no new id
-    can replace are passed on without a shuffle.
+    can replace are passed on without a shuffle. ``counts`` is filled by the write.
     """
     if raw.isEmpty():
         return False
-    S.write_curated(merge_top(S.read_curated(spark, curated_path), raw, pruned=True), next_path, replace_all=True)
+    S.write_curated(merge_top(S.read_curated(spark, curated_path), raw, True, counts), next_path, replace_all=True)
     return True
 
 

@@ -159,8 +159,43 @@ def drop_index(spark: SparkSession, name: str) -> None:
     vacuum(spark, name)
 
 
-def scroll(points: DataFrame, after: str | None = None, limit: int | None = None, key: str = "id") -> DataFrame:
-    """Points in order of their id, behind ``after``, at most ``limit`` of them."""
-    rows = points if after is None else points.where(F.col(key) > F.lit(after))
-    rows = rows.orderBy(key)
-    return rows if limit is None else rows.limit(limit)
+# -- tables in the order of a key ------------------------------------------------
+
+def write_sorted(points: DataFrame, name: str, key: str = "id", rows_per_file: int = 1_000_000) -> None:
+    """Replace a table with ``points`` in the order of a unique ``key``, and ``<name>_bounds`` with the range of each file.
+
+    The ranges are those of a sampled range partitioning; each task sorts its own.
+    """
+    spark = points.sparkSession
+    files = max(1, -(-points.count() // rows_per_file))
+    drop_sorted(spark, name)
+    points.repartitionByRange(files, key).sortWithinPartitions(key).write.saveAsTable(name)
+    spark.table(name).groupBy(F.input_file_name().alias("file")).agg(
+        F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).write.saveAsTable(f"{name}_bounds")
+
+
+def drop_sorted(spark: SparkSession, name: str) -> None:
+    for table in (name, f"{name}_bounds"):
+        delete_index(spark, table)
+
+
+def scroll_sorted(spark: SparkSession, name: str, after=None, limit: int = 1_000, key: str = "id") -> DataFrame:
+    """The next ``limit`` rows behind ``after`` of a table made by :func:`write_sorted`, in order.
+
+    Only the files that hold the page are read, whichever page it is: the driver takes rows of the bounds, one for
+    each file, until they hold enough rows.
+    """
+    table, wanted = spark.table(name), spark.table(f"{name}_bounds")
+    if after is not None:
+        wanted = wanted.where(F.col("high") > F.lit(after))
+    files, held = [], 0
+    # All rows of every file but the first are behind ``after``.
+    for row in wanted.orderBy("low").limit(limit + 1).toLocalIterator():
+        held += row["n"] if files or after is None or row["low"] > after else 0
+        files.append(row["file"])
+        if held >= limit:
+            break
+    if not files:
+        return table.limit(0)
+    rows = spark.read.schema(table.schema).parquet(*files)
+    return (rows if after is None else rows.where(F.col(key) > F.lit(after))).orderBy(key).limit(limit)
