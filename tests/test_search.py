@@ -161,3 +161,25 @@ def test_heavy_keys_are_split(spark):
     small = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
     for how, rows in (("inner", 101), ("left", 103), ("left_semi", 51), ("left_anti", 2)):
         assert salted_join(big, small, ["k"], ["n"], how, rows_per_salt=4).count() == rows
+
+
+def test_dense_search_hands_on_rows_that_reach_a_bound(spark, monkeypatch):
+    """The same lists with the bound of a sample, from fewer rows, and the number of tasks does not matter."""
+    rng = np.random.default_rng(3)
+    queries = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(5)], "q int, vector array<double>")
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(4_000)] + [(9_000 + i, [1.0] + [0.0] * 5) for i in range(30)]
+    handed, real = [], Q.ranked
+
+    def counting(scores, keys, k, rank="rank"):
+        if keys == ["q"]:
+            handed.append(scores.count())
+        return real(scores, keys, k, rank)
+
+    monkeypatch.setattr(Q, "ranked", counting)
+    found = []
+    for parts, sample in ((4, 10_000), (4, 200), (40, 200)):
+        vectors = spark.createDataFrame(rows, "doc_id bigint, vector array<double>").repartition(parts)
+        got = Q.dense_topk(queries, vectors, ["q"], 20, None, sample=sample).collect()
+        found.append(sorted((r.q, r["rank"], r.doc_id) for r in got))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 100
+    assert handed[2] < 0.8 * 5 * 20 * 40 and handed[2] < 5 * 20 * 4_030 / 200 * 1.5
