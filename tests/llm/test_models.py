@@ -111,3 +111,54 @@ def test_odd_rows(spark, rows, labels):
         assert len(got) == len(rows)
         assert all(0 <= r.score <= 1 for r in got)
     assert toxicity.clean_rows(docs, toxicity.train(docs, known)).columns == docs.columns
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.9])
+def test_risk_and_its_step_equal_plain_loops_and_differences(prior):
+    """The estimate of single documents summed up by loops; the gradient by differences, in either branch."""
+    rng = np.random.default_rng(4)
+
+    def rows(n):
+        sets = [np.sort(rng.choice(6, rng.integers(0, 5), replace=False)) for _ in range(n)]
+        return np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+
+    p, u, w = rows(9), rows(14), rng.normal(size=7) - (1.5 if prior > 0.5 else 0)
+
+    def parts(w):
+        def g(x):
+            return [sum(w[c] for c in x[0][x[1][i]:x[1][i + 1]]) + w[-1] for i in range(len(x[1]) - 1)]
+
+        toxic = prior * sum(np.log(1 + np.exp(-v)) for v in g(p)) / 9
+        clean = sum(np.log(1 + np.exp(v)) for v in g(u)) / 14 - prior * sum(np.log(1 + np.exp(v)) for v in g(p)) / 9
+        return toxic, clean
+
+    for shift in (0.0, 2.0, 4.0):
+        at = w + np.append(np.zeros(6), shift)
+        toxic, clean = parts(at)
+        value, step = toxicity.risk(p, u, at, prior)
+        assert value == pytest.approx(toxic + max(0, clean))
+        for i in range(7):
+            move = np.eye(7)[i] * 1e-6
+            (t1, c1), (t0, c0) = parts(at + move), parts(at - move)
+            want = (t1 + c1 - t0 - c0) / 2e-6 if clean >= 0 else -(c1 - c0) / 2e-6
+            assert step[i] == pytest.approx(want, abs=1e-5)
+
+
+def test_features_counted_by_tasks_are_those_of_the_whole_sample(spark):
+    """The model from Spark equals the one from the same sample held in memory."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, max_unlabelled=500)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~toxicity.held_out()).collect()
+    order = toxicity.F.xxhash64(toxicity.F.lit(3), "doc_id")
+    other = docs.where(~toxicity.held_out()).select("doc_id").distinct().orderBy(order, "doc_id").limit(500).collect()
+
+    def sets(ids):
+        values, first = toxicity.features([texts[i] for i in sorted(ids)])
+        return [values[a:b] for a, b in zip(first, first[1:])]
+
+    want = toxicity.fit(sets({r.doc_id for r in known if r.toxic == 1}), sets({r.doc_id for r in other}),
+                        sum(r.toxic == 1 for r in known) / len(known))
+    assert list(model.features) == list(want.features) and len(want.features) > 0
+    assert model.weights == pytest.approx(want.weights, abs=1e-6)
