@@ -57,6 +57,15 @@ def merge_top_counts(spark, sf_dir):
     return spark.createDataFrame(list(counts.counts().items()), "stage string, n bigint")
 
 
+@query(S.clauses(S.POSTS) + f"SELECT {_SQL_OUT}, false AS written FROM posts")
+def merge_empty_written(spark, sf_dir):
+    """A day without new posts changes nothing in the table, and the job says so."""
+    path = new_path(spark, "curated")
+    P.write_curated(T.posts(spark, sf_dir), path)
+    done = merge.run_merge_daily(spark, T.new_posts(spark, sf_dir).limit(0), path)
+    return P.read_curated(spark, path).select(*_OUT, F.lit(done).alias("written"))
+
+
 _DAILY = (S.POSTS, S.NEW_POSTS,
           "both_sides AS (SELECT *, 0 AS age FROM new_posts UNION ALL SELECT p.*, 1 FROM posts p WHERE EXISTS ("
           "SELECT 1 FROM new_posts n WHERE n.subreddit_name = p.subreddit_name AND make_date(n.year, n.month, 1) = make_date(p.year, p.month, 1)))",
@@ -479,6 +488,19 @@ def chunk_with_splitter(spark, sf_dir):
     return c.select("post_id", "comment_id", "type", "chunk_id", F.md5("page_content").alias("content_id"))
 
 
+def text_sizes(texts: list[str]) -> list[list[float]]:
+    """Example of an embedder a user brings along: characters and spaces of each text."""
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query(S.clauses(*_CHUNKED) + """SELECT post_id, comment_id, chunk_id, type, CAST(length(page_content) AS DOUBLE) AS size,
+  CAST(length(page_content) - length(replace(page_content, ' ', '')) AS DOUBLE) AS spaces FROM chunks""")
+def embed_chunks(spark, sf_dir):
+    c = I.embed(K.chunk_posts(T.posts(spark, sf_dir), _reply_rows(spark, sf_dir)), text_sizes)
+    return c.select("post_id", "comment_id", "chunk_id", "type", *[
+        F.col("vector")[i].cast("double").alias(n) for i, n in enumerate(("size", "spaces"))])
+
+
 def _uuid(name: str) -> str:
     h = f"sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode({name}))"
     return (f"left({h}, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || "
