@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadmine.llm.common import ship_package, slices, text_or_empty
+from threadmine.session import lookup_join, stage
 
 WINDOW, HIDDEN = 64, 8
 # Bounds of the training sample: rows, and windows of each.
@@ -202,14 +203,18 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, max_windows: int = MAX_WI
     """
     raw = text_or_empty().cast("binary")
     known = docs.where(F.col("lang").isNotNull() & ~held_out() & (F.length(raw) > 0)).select(
-        F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit(5), "doc_id").alias("h1"), F.xxhash64(F.lit(6), "text").alias("h2"),
+        F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit(5), "doc_id", "text").alias("place"),
         raw.alias("raw"), F.length(raw).alias("size"))
+    # Of a language with many rows only those below a place that some four times the wanted number reach are ordered.
+    rows = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("place") / F.lit(2.0**64) + 0.5
+    drawn = lookup_join(known, stage(rows, "languages"), ["lang"], ["place"]).where(share * F.col("n") < 4 * max_train)
     room = F.greatest(F.col("size") - WINDOW + 1, F.lit(1))
     places = F.transform(
         F.sequence(F.lit(0), F.least(F.lit(max_windows - 1), F.floor((F.col("size") - 1) / WINDOW).cast("int"))),
-        lambda i: F.substring(F.col("raw"), F.pmod(F.xxhash64("h1", "h2", i), room).cast("int") + 1, F.lit(WINDOW)))
-    turn = Window.partitionBy("lang").orderBy("h1", "h2")
-    sample = known.select("lang", "h1", "h2", places.alias("parts")).withColumn("turn", F.row_number().over(turn)).where(
+        lambda i: F.substring(F.col("raw"), F.pmod(F.xxhash64("place", i), room).cast("int") + 1, F.lit(WINDOW)))
+    turn = Window.partitionBy("lang").orderBy("place", "parts")
+    sample = drawn.select("lang", "place", places.alias("parts")).withColumn("turn", F.row_number().over(turn)).where(
         F.col("turn") <= max_train).orderBy("turn", "lang").limit(max_train).select("lang", "parts").collect()
     pairs = [(bytes(p), r["lang"]) for r in sample for p in r["parts"]]
     return fit([p for p, _ in pairs], [x for _, x in pairs])
