@@ -208,9 +208,17 @@ def zero_result_queries(spark, sf_dir):
         F.count(F.lit(1)).alias("n_queries"), F.count_if(F.col("n").isNull()).alias("n_without_results"))
 
 
-@query()
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(S.clauses(*_RERANK, "c3_best AS (SELECT query_id, list(text ORDER BY rank) AS ts FROM reranked WHERE rank <= 3 GROUP BY query_id)",
+                 "c3_all AS (SELECT DISTINCT query_id FROM queries UNION SELECT -1 - doc_id FROM labels)",
+                 "c3_escaped AS (SELECT query_id, ts, [CAST(to_json(t) AS VARCHAR) for t in ts] AS es FROM c3_all LEFT JOIN c3_best USING (query_id))")
+       + f"""SELECT query_id, coalesce(len(ts), 0) AS n_texts, CASE WHEN ts IS NULL THEN {_sql_text(X.NO_CONTEXT)} ELSE {_sql_text(X.CONTEXT_HEADER)}
+  || array_to_string(['- ' || e[2:length(e) - 1] || chr(10) for e in es], '') || {_sql_text(X.CONTEXT_FOOTER)} END AS context FROM c3_escaped""")
 def context_top3(spark, sf_dir):
-    """Context strings, labels standing for queries that found nothing. Escapes differ between engines, so there is no SQL twin."""
+    """Context strings, labels standing for queries that found nothing."""
     nothing = T.table(spark, sf_dir, "labels").select((-1 - F.col("doc_id")).alias("query_id"))
     asked = T.queries(spark, sf_dir, vectors_too=False).select(*QID).unionByName(nothing)
     c = retrieval.contexts(_stages(spark, sf_dir).reranked, QID, queries=asked)
