@@ -200,7 +200,9 @@ def _first_shared(x: str, y: str, m: int) -> Column:
 
 def _rest_of_buckets(members: DataFrame, reps: DataFrame, found: DataFrame, percent: int, m: int) -> DataFrame:
     """Pairs of one bucket in different components, where the comparison with the smallest node left several."""
-    info = reps.select("node", "left", "right", *SKETCH).join(
+    # 32 bits of a band tell equal ones apart well enough here: the chance to pass a pair over is 4e-9.
+    bands = [F.transform(side, lambda x: F.call_function("shiftright", x, F.lit(32)).cast("int")).alias(side) for side in ("left", "right")]
+    info = reps.select("node", *bands, *SKETCH).join(
         found.withColumnRenamed("component", "c"), ["node"], "left").withColumn("c", F.coalesce("c", "node"))
     rows = stage(members.where(F.col("many") > 2).select("key", "node", "many").join(info, ["node"]), "members")
     top = rows.groupBy("key", "c").agg(F.count("*").alias("of")).groupBy("key").agg(
