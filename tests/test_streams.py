@@ -6,8 +6,11 @@ import datetime as dt
 import json
 import os
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from threadmine import schemas
@@ -230,3 +233,25 @@ def test_history_of_a_hot_conversation(spark):
     kept = V.trim_history(turns, ["h"], ["turn"]).collect()
     assert sorted(r["turn"] for r in kept if r["h"] == "hot") == [0, *range(4993, 5000)]
     assert sorted(r["turn"] for r in kept if r["h"] == "cold") == list(range(8))
+
+
+@pytest.mark.parametrize("processor", [A._Reassembly(1), A._History(1, 3), A._Session(1)])
+def test_processors_travel_by_value(tmp_path, processor):
+    """The process beside the driver's JVM that opens the state has no package sent to it."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    script = "import pickle, sys; assert pickle.load(sys.stdin.buffer).keep_ms == 1 and 'threadmine' not in sys.modules"
+    subprocess.run([sys.executable, "-c", script], input=cloudpickle.dumps(processor), cwd=tmp_path, env=env, check=True)
+
+
+def test_typed_state_needs_no_setting_of_the_session(spark, tmp_path):
+    setting, plain = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, plain)
+    try:
+        stream = _feed(spark, tmp_path, [("s", 1, "create", _at(0)), ("s", 2, "touch", _at(5))], "session_id string, seq bigint, kind string, ts timestamp", 1)
+        spark.createDataFrame([("zz", 3, "touch", _at(10_000))], stream.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = _run(spark, tmp_path, A.session_stream(stream), "session_id string, seq bigint, status string, created_ms bigint")
+        assert {r.seq: r.status for r in out.collect() if r.session_id == "s"} == {1: "new", 2: "valid"}
+        assert spark.conf.get(setting) == plain
+    finally:
+        spark.conf.set(setting, before)

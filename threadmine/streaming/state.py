@@ -13,19 +13,24 @@ whose entries are single chunks or turns. Keys are forgotten by a timer in event
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from threadmine.functions.times import CONNECTION_DAYS, SESSION_DAYS
 from threadmine.operators.conversation import CHAT_TAIL
-from threadmine.session import ship_package
 
 DAY_MS = 86_400_000
 
+# A Python process beside the driver's JVM opens the state of a processor first. What ``addPyFile`` sends reaches the
+# executors only, so the classes below travel by value and nobody has to import this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class _InOrder(StatefulProcessor):
     """Hands each event of a key to ``apply`` once the watermark has passed it, in the order of time and ``seq``.
@@ -100,7 +105,6 @@ class _InOrder(StatefulProcessor):
 
 def _applied(events: DataFrame, key: str, delay: str, processor: _InOrder, output: str) -> DataFrame:
     """``events`` has ``ts`` and ``seq`` (order within a time)."""
-    ship_package(events.sparkSession)
     stamped = events.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts")).select(
         key, "ts", "ms", F.col("seq").cast("bigint").alias("seq"), *[name for name, _ in processor.fields])
     return stamped.groupBy(key).transformWithStateInPandas(processor, output, "Append", "EventTime")
