@@ -41,3 +41,9 @@ def test_filter_and_columns_reach_the_scan(spark):
     df = queries()["since_predicate"](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,source:string,n_chars:bigint>" in plan
+
+
+@pytest.mark.parametrize("name", ["top_posts_per_forum", "log_scan"])
+def test_limits_are_whole(spark, name):
+    """50 posts of each of 20 forums, 1,000 records; the small tables hold fewer, so the larger ones are read."""
+    assert queries()[name](spark, "/root/testdata/sf0.1").count() == 1_000
