@@ -66,6 +66,26 @@ def test_sparse_search_by_both_joins(spark, bounded):
     assert got == _brute_sparse(docs, queries, 20)
 
 
+@pytest.mark.parametrize("max_queries", [100, 1])
+@pytest.mark.parametrize("repeated", [[], [(3, "hot w1 w1"), (3, "w2 hot w2 hot"), (None, "w1 w2"), (None, "w2 w1"), (7, None)]])
+def test_searches_of_texts_give_what_postings_give(spark, monkeypatch, repeated, max_queries):
+    """Ids of several rows, queries in several groups, few cells at a time; nothing is aggregated over postings of all rows."""
+    monkeypatch.setattr(Q, "_SCORE_CELLS", 64)
+    docs = _corpus() + [(1000, None), (1001, "")] + repeated
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    q = spark.createDataFrame([("a", 1, "hot w1 w2 w2"), ("a", None, "w3 unknown"), ("c", 1, "hot"), ("d", 1, ""), ("e", 1, "unknown")],
+                              "query_id string, variant int, text string")
+    keys, post, n = ["query_id", "variant"], W.postings(d), W.count_rows(d)
+    by_texts = Q.sparse_topk(q, W.tokens_of(d), n, keys, 20, max_queries=max_queries), Q.keyword_topk(q, W.tokens_of(d), n, keys, 20, max_queries=max_queries)
+    by_postings = Q.sparse_scores(q, post, n, keys), Q.keyword_scores(q, post, n, W.average_length(post, n), keys)
+    for got, scores in zip(by_texts, by_postings):
+        rows = sorted([tuple(r) for r in got.select(*keys, "rank", "doc_id", F.round("score", 9)).collect()], key=str)
+        assert rows == sorted([tuple(r) for r in Q.ranked(scores, keys, 20).select(*keys, "rank", "doc_id", F.round("score", 9)).collect()], key=str)
+        assert len(rows) > 40
+    if not repeated:
+        assert "HashAggregate" not in by_texts[0]._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("max_broadcast", [100, 0])
 def test_dense_search_by_both_ways(spark, max_broadcast):
     rng = np.random.default_rng(3)

@@ -27,7 +27,7 @@ QID = ["query_id"]
 
 def _sparse(spark, sf_dir):
     d, q = T.docs(spark, sf_dir), T.queries(spark, sf_dir, vectors_too=False)
-    return Q.ranked(Q.sparse_scores(q, W.postings(d), W.count_rows(d), KEYS), KEYS, 45)
+    return Q.sparse_topk(q, W.tokens_of(d), W.count_rows(d), KEYS, 45)
 
 
 def _dense(spark, sf_dir):
@@ -96,9 +96,7 @@ _KEYWORD = (S.QUERIES, S.POSTINGS, S.QUERY_TERMS, _BM25_ALL)
 
 def _keyword(spark, sf_dir):
     d, q = T.docs(spark, sf_dir), T.queries(spark, sf_dir, vectors_too=False)
-    post = W.postings(d)
-    n_docs = W.count_rows(d)
-    return Q.ranked(Q.keyword_scores(q, post, n_docs, W.average_length(post, n_docs), KEYS), KEYS, 45)
+    return Q.keyword_topk(q, W.tokens_of(d), W.count_rows(d), KEYS, 45)
 
 
 @query(S.clauses(*_KEYWORD) + _LIST + "kw")

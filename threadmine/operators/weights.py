@@ -24,7 +24,11 @@ def postings(
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if repartition:
         source = source.repartition("doc_id")
-    tokens = source.select("doc_id", tokenizer(F.col("text")).alias("tokens"))
+    return count_terms(source.select("doc_id", tokenizer(F.col("text")).alias("tokens")))
+
+
+def count_terms(tokens: DataFrame) -> DataFrame:
+    """Postings of ``(doc_id, tokens)``."""
     return (
         # explode_outer: plain explode would test size(tokens) in a pushed-down filter
         # and tokenise every text a second time for it.
@@ -35,6 +39,12 @@ def postings(
     )
 
 
+def tokens_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer=tokenize_sparse) -> DataFrame:
+    """``(doc_id, tokens)``, one row per document, dealt evenly; for searches that need no postings."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+    return source.select("doc_id", tokenizer(F.col("text")).alias("tokens"))
+
+
 def count_rows(df: DataFrame) -> Column:
     """Row count as a scalar subquery; it is computed within the query that uses it."""
     return df.select(F.count(F.lit(1))).scalar()

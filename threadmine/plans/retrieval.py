@@ -22,7 +22,7 @@ def candidate_lists(
 ) -> tuple[DataFrame, DataFrame]:
     """Dense and sparse lists of ``3 * limit`` documents per query.
 
-    Without a stored ``index`` the postings are made from ``docs`` on the fly and
+    Without a stored ``index`` the texts of ``docs`` are scored as they are read and
     only the frequency of the terms that are asked for is counted.
     """
     size = size or Q.QuerySize.of(queries)
@@ -30,8 +30,7 @@ def candidate_lists(
     dense = Q.dense_topk(queries, vectors, keys, k)
     if index:
         return dense, index.topk(queries, keys, k, size.terms_bounded)
-    scores = Q.sparse_scores(queries, W.postings(docs), W.count_rows(docs), keys, bounded=size.terms_bounded)
-    return dense, Q.ranked(scores, keys, k)
+    return dense, Q.sparse_topk(queries, W.tokens_of(docs), W.count_rows(docs), keys, k)
 
 
 def _with_text_after(
@@ -70,11 +69,13 @@ def blend_search(
     columns = columns or ["text"]
     size = Q.QuerySize.of(queries)
     k = limit * Q.OVERFETCH
-    post = index.postings_for(queries) if index else W.postings(docs)
-    n_docs = index.n_docs if index else W.count_rows(docs)
-    average = W.average_length(post, n_docs)
-    scores = Q.keyword_scores(queries, post, n_docs, average, keys, bounded=size.terms_bounded)
-    fused = Q.blend_fuse(Q.dense_topk(queries, vectors, keys, k), Q.ranked(scores, keys, k), keys, alpha)
+    if index:
+        post = index.postings_for(queries)
+        average = W.average_length(post, index.n_docs)
+        keyword = Q.ranked(Q.keyword_scores(queries, post, index.n_docs, average, keys, bounded=size.terms_bounded), keys, k)
+    else:
+        keyword = Q.keyword_topk(queries, W.tokens_of(docs), W.count_rows(docs), keys, k)
+    fused = Q.blend_fuse(Q.dense_topk(queries, vectors, keys, k), keyword, keys, alpha)
     top = _with_text_after(fused, docs, keys, limit, columns, size)
     return top.select(*keys, "rank", "doc_id", "score", *columns)
 
