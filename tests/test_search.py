@@ -203,3 +203,15 @@ def test_dense_search_hands_on_rows_that_reach_a_bound(spark, monkeypatch):
         found.append(sorted((r.q, r["rank"], r.doc_id) for r in got))
     assert found[0] == found[1] == found[2] and len(found[0]) == 100
     assert handed[2] < 0.8 * 5 * 20 * 40 and handed[2] < 5 * 20 * 4_030 / 200 * 1.5
+
+
+@pytest.mark.parametrize("max_rows", [0, 5, 200_000])
+def test_weights_by_broadcast_and_by_join(spark, max_rows):
+    """Frequent, single and other terms; with a broadcast that holds all of them no posting is shuffled."""
+    docs = _corpus(60) + [(100, "u1 hot"), (101, "u2 u3")]
+    post = W.postings(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    got = W.tfidf(post, F.lit(len(docs)), max_rows)
+    df = Counter(t for _, text in docs for t in set(text.split()))
+    want = {(i, t): c / len(text.split()) * (math.log((len(docs) + 1) / (df[t] + 1)) + 1) for i, text in docs for t, c in Counter(text.split()).items()}
+    assert {(r["doc_id"], r["term"]): r["weight"] for r in got.collect()} == pytest.approx(want)
+    assert ("SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()) or max_rows < 200_000

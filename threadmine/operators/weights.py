@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmine.functions.text import tokenize_sparse
 from threadmine.operators.ranking import with_row_index
-from threadmine.session import salted_join
+from threadmine.session import BROADCAST_ROWS, salted_join, stage
 
 
 def postings(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer=tokenize_sparse,
-    repartition: bool = True,
+    repartition: bool = True, parts: int | None = None,
 ) -> DataFrame:
     """``(doc_id, doc_len, term, tf)``, one row per document and term.
 
     The documents are hash-partitioned by id once. Counting terms, and later
     summing scores per document, then need no shuffle of their own; the text is
     smaller than the postings made from it. Pass ``repartition=False`` if the
-    source is already bucketed by id.
+    source is already bucketed by id, and ``parts`` to fix the number of tasks.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if repartition:
-        source = source.repartition("doc_id")
+        source = source.repartition(parts, "doc_id") if parts else source.repartition("doc_id")
     return count_terms(source.select("doc_id", tokenizer(F.col("text")).alias("tokens")))
 
 
@@ -69,16 +69,29 @@ def with_idf(frequency: DataFrame, n_docs: Column) -> DataFrame:
     return frequency.withColumn("idf", idf(F.col("df"), n_docs))
 
 
-def tfidf(post: DataFrame, n_docs: Column) -> DataFrame:
+def tfidf(post: DataFrame, n_docs: Column, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(doc_id, term, weight)`` with weight ``tf / doc_len * idf``.
 
-    A frequent term is in a large part of the postings, so the join is salted.
+    Most postings belong to the most frequent terms, which are broadcast, up to ``max_rows``; where the other terms are
+    those of a single document, their frequency is known. Only postings of terms between the two are shuffled, and none
+    of these is frequent. ``post`` is read twice, or three times where there are such terms.
     """
-    terms = with_idf(document_frequency(post), n_docs).select("term", "idf")
-    weighted = salted_join(post, terms, ["term"], ["doc_id"])
-    return weighted.select(
-        "doc_id", "term", (F.col("tf") / F.col("doc_len") * F.col("idf")).alias("weight")
-    )
+    terms = stage(document_frequency(post), "frequency")
+    # Terms by frequency, a row for each frequency: there are at most sqrt(2 * postings) of them.
+    above = Window.orderBy(F.col("df").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_df = terms.groupBy("df").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.sum("n").over(above))
+    least = by_df.where((F.col("n") <= max_rows) & (F.col("df") > 1)).agg(F.min("df")).first()[0]
+    largest = terms.agg(F.max("df")).first()[0] or 1
+    least = largest + 1 if least is None else least
+    between = terms.where((F.col("df") > 1) & (F.col("df") < least))
+    marked = post.join(F.broadcast(terms.where(F.col("df") >= least)), "term", "left")
+    if not between.isEmpty():
+        # The largest frequency of the rest may be high where nothing could be broadcast.
+        rest = salted_join(marked.where(F.col("df").isNull()).drop("df"), terms.where(F.col("df") < least), ["term"], ["doc_id"])
+        marked = marked.where(F.col("df").isNotNull()).unionByName(rest.select(*marked.columns))
+    else:
+        marked = marked.withColumn("df", F.coalesce("df", F.lit(1)))
+    return marked.select("doc_id", "term", (F.col("tf") / F.col("doc_len") * idf(F.col("df"), n_docs)).alias("weight"))
 
 
 def vocabulary(post: DataFrame) -> DataFrame:

@@ -44,6 +44,9 @@ def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
     return chunks.mapInPandas(run, f"{schema}, vector array<float>")
 
 
+_DOCS_OF_TASK = 10_000
+
+
 @dataclass(frozen=True)
 class SparseIndex:
     """Postings, term statistics and the number of documents, empty ones included.
@@ -59,8 +62,12 @@ class SparseIndex:
 
     @staticmethod
     def of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> SparseIndex:
-        post = W.postings(docs, doc_id, text)
-        return SparseIndex(post, W.document_frequency(post), W.count_rows(docs))
+        """Postings are written once, since they are read several times; a task makes those of some 10,000 documents,
+        so that what it holds does not grow with the table."""
+        n = docs.count()
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // _DOCS_OF_TASK))
+        post = stage(W.postings(docs, doc_id, text, parts=parts), "postings")
+        return SparseIndex(post, W.document_frequency(post), F.lit(n))
 
     def topk(self, queries: DataFrame, keys: list[str], k: int, bounded: bool | None = None) -> DataFrame:
         """Best ``k`` documents of each query by sparse score; of stored postings only the blocks that may hold them."""
