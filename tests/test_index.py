@@ -13,7 +13,7 @@ from threadmine.operators import weights as W
 from threadmine.operators.weights import count_rows
 from threadmine.operators import search as Q
 from threadmine.plans import evaluation, index
-from threadmine.session import stage
+from threadmine.session import stage, staged
 from threadmine.sources import store
 
 POST = "id string, title string, content string, year int, month int, subreddit_name string, comments array<struct<id:string,score:int,body:string,year:int,month:int>>"
@@ -244,3 +244,12 @@ def test_feedback_rows(spark):
 def test_count_is_a_subquery(spark):
     df = spark.range(5)
     assert df.withColumn("n", count_rows(df)).first()["n"] == 5
+
+
+def test_a_write_leaves_no_intermediate_tables(spark):
+    before = staged()
+    index.write_index(spark, "t_left", _points(spark, [("a", "alpha beta"), ("b", "beta")]), parts=1)
+    index.write_index(spark, "t_left", _points(spark, [("b", "gamma")]), recreate=False)
+    index.rebuild_sparse(spark, "t_left")
+    assert staged() == before and index.open_points(spark, "t_left").count() == 2
+    store.drop_index(spark, "t_left")

@@ -19,7 +19,7 @@ from threadmine.operators import weights as W
 from threadmine.operators.bloom import bloom_anti_join, bloom_semi_join
 from threadmine.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_posts
 from threadmine.operators.tables import newest_per_key, upsert
-from threadmine.session import ship_package, stage
+from threadmine.session import discard_staged, ship_package, stage, staged
 from threadmine.sources import store
 
 
@@ -126,13 +126,19 @@ def write_index(
     manifest = store.read_manifest(spark, name)
     if manifest is not None and batch is not None and batch in manifest["batches"]:
         return
+    mark = staged()
     points = stage(one_per_id(points), "points")
     if recreate or manifest is None:
         _commit_whole(spark, name, points, manifest, parts, batch)
-        return
-    if len(manifest["segments"]) >= MAX_SEGMENTS:
-        _commit_whole(spark, name, upsert(open_points(spark, name), points, ["id"]), manifest, manifest["parts"], batch)
-        return
+    elif len(manifest["segments"]) >= MAX_SEGMENTS:
+        whole = stage(upsert(open_points(spark, name), points, ["id"]), "points")
+        _commit_whole(spark, name, whole, manifest, manifest["parts"], batch)
+    else:
+        _commit_segment(spark, name, points, manifest, batch)
+    discard_staged(spark, mark)  # all of it stands in the tables now
+
+
+def _commit_segment(spark: SparkSession, name: str, points: DataFrame, manifest: dict, batch: str | None) -> None:
     gone = stage(bloom_semi_join(open_points(spark, name).select("id"), points, ["id"]).select(F.col("id").alias("doc_id")), "gone")
     new = stage(W.postings(points, "id", "page_content"), "postings")
     count = F.count(F.lit(1))
@@ -155,7 +161,7 @@ def _write_segment(points: DataFrame, postings: DataFrame, terms: DataFrame, nam
 
 
 def _commit_whole(spark: SparkSession, name: str, points: DataFrame, manifest: dict | None, parts: int | None, batch: str | None) -> None:
-    points = stage(points, "points")
+    """``points`` are read several times."""
     post = stage(W.postings(points, "id", "page_content"), "postings")
     parts = parts or store.parts_for(post.count())
     n = points.count()
@@ -167,7 +173,9 @@ def _commit_whole(spark: SparkSession, name: str, points: DataFrame, manifest: d
 
 def rebuild_sparse(spark: SparkSession, name: str, parts: int | None = None) -> None:
     """Make postings and term statistics again from the stored texts, as one segment; dense vectors stay as they are."""
-    _commit_whole(spark, name, open_points(spark, name), _manifest(spark, name), parts, None)
+    mark = staged()
+    _commit_whole(spark, name, stage(open_points(spark, name), "points"), _manifest(spark, name), parts, None)
+    discard_staged(spark, mark)
 
 
 def _manifest(spark: SparkSession, name: str) -> dict:
