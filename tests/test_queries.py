@@ -7,6 +7,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.conftest import SF_DIR
 from tests.oracle import compare, connect
+from threadmine.operators import search as Q
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,23 @@ def test_filter_and_columns_reach_the_scan(spark):
 def test_limits_are_whole(spark, name):
     """50 posts of each of 20 forums, 1,000 records; the small tables hold fewer, so the larger ones are read."""
     assert queries()[name](spark, "/root/testdata/sf0.1").count() == 1_000
+
+
+def test_hits_go_to_the_texts(spark, monkeypatch):
+    """The few hits are sent to where texts are read; texts are neither shuffled nor sorted for them."""
+    joined, real = [], Q.with_text
+
+    def counting(hits, docs, columns, bounded=False):
+        joined.append(real(hits, docs, columns, bounded))
+        return joined[-1]
+
+    monkeypatch.setattr(Q, "with_text", counting)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("dedupe_first_text", "recall_at_k"):
+            queries()[name](spark, SF_DIR)
+        plans = [j._jdf.queryExecution().executedPlan().toString() for j in joined]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2 and not any("SortMergeJoin" in p for p in plans)

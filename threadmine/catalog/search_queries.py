@@ -154,7 +154,8 @@ def combine_dedupe(spark, sf_dir):
 def dedupe_first_text(spark, sf_dir):
     lists = _dense(spark, sf_dir).withColumns({"source": F.lit("dense"), "side": F.lit(0)}).unionByName(
         _sparse(spark, sf_dir).withColumns({"source": F.lit("sparse"), "side": F.lit(1)}))
-    rows = Q.with_text(lists, T.docs(spark, sf_dir), ["text"])
+    size = Q.QuerySize.of(T.queries(spark, sf_dir, vectors_too=False))
+    rows = Q.with_text(lists, T.docs(spark, sf_dir), ["text"], size.hits_bounded(2 * 45))
     first = Q.first_by_text(rows, KEYS, [F.col("side"), F.col("rank"), F.col("doc_id")])
     return first.select(*KEYS, "doc_id", "source")
 
@@ -244,7 +245,8 @@ def _metrics(spark, sf_dir):
     d = T.docs(spark, sf_dir)
     dense, sparse = retrieval.candidate_lists(q, d, T.vectors(spark, sf_dir), KEYS)
     dense = stage(dense, "dense")
-    hits = stage(Q.fused_top(Q.with_text(Q.rrf_fuse(dense, sparse, KEYS), d, ["text"]), KEYS), "hits")
+    few = Q.QuerySize.of(q).hits_bounded(2 * 45)
+    hits = stage(Q.fused_top(Q.with_text(Q.rrf_fuse(dense, sparse, KEYS), d, [], few), KEYS), "hits")
     judged = Q.scaled(dense, KEYS).select(*QID, "doc_id", F.col("scaled").alias("relevance_score"), F.col("rank").alias("seq"))
     return M.retrieval_metrics(hits.select(*QID, "rank", "doc_id"), judged, QID)
 
