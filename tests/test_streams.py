@@ -8,7 +8,9 @@ import os
 import random
 import subprocess
 import sys
+import time
 
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -109,6 +111,41 @@ def test_session_stream_equals_its_batch_form(spark, tmp_path, n_files):
     assert {s for _, _, s, _ in want} == {"new", "valid", "invalid"}
 
 
+def test_many_sessions_cost_little_state_each(spark, tmp_path):
+    """Sessions share groups, null ids and requests without a number too; a group's requests of many days, some in a
+    session that lives since an earlier micro-batch, are classified at once. With state of its own for each request this takes minutes."""
+    rng, day = random.Random(3), 86_400
+    rows = [(rng.choice([None, *range(1_500)]), i, rng.choice(["create", "touch", "touch", None]), _at(rng.randint(0, 30 * day)))
+            for i in range(6_000)]
+    rows = [(None if k is None else str(k), seq, kind, ts) for k, seq, kind, ts in rows]
+    schema = "session_id string, seq bigint, kind string, ts timestamp"
+    rows.sort(key=lambda r: r[3])
+    stream = _feed(spark, tmp_path, rows[:3_000], schema, 1)
+    rows.append(("x", None, "create", _at(20 * day)))
+    for part in (rows[3_000:], [("zz", 9, "touch", _at(200 * day))], [("zz", 10, "touch", _at(201 * day))]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start = time.time()
+    out = _run(spark, tmp_path, A.session_stream(stream, "1 day", keep_days=4, groups=7),
+               "session_id string, seq bigint, status string, created_ms bigint")
+    took = time.time() - start
+    batch = spark.createDataFrame(rows, schema).withColumn("ms", F.unix_millis("ts")).drop("ts")
+    want = {(r.session_id, r.seq, r.status, r.created_ms) for r in V.session_fold(batch, keep_days=4).collect()}
+    got = {tuple(r) for r in out.collect() if r.session_id != "zz"}
+    assert got == want
+    assert took < 60, took
+
+
+def test_sessions_go_on_over_a_long_step_of_the_watermark():
+    """A session that lives is known to requests that become final long after it would have run out."""
+    known = pd.DataFrame({"session_id": ["a", "b"], "created": [1, 2], "last": [90, 10]})
+    asked = pd.DataFrame({"session_id": ["a", "a", "b", "a", None], "ms": [150, 100, 300, 400, 5], "seq": [2, 1, 3, 4, 5], "unnumbered": False,
+                          "create": [False, False, False, True, False]})
+    rows, after = A.classified(asked, known, 100)
+    got = {r.seq: (r.status, None if pd.isna(r.created_ms) else r.created_ms) for r in rows.itertuples()}
+    assert got == {1: ("valid", 1), 2: ("valid", 1), 3: ("invalid", None), 4: ("new", 400), 5: ("invalid", None)}
+    assert after.values.tolist() == [["a", 400, 400]]
+
+
 @pytest.mark.parametrize("block", [1, 3_600_000, 10**12])
 def test_session_fold_equals_plain_loops(spark, block):
     rng, hour = random.Random(7), 3_600_000

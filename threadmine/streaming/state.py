@@ -5,7 +5,7 @@ operator here therefore holds events back until the watermark has passed them an
 then applies them in event-time order; what it emits does not depend on how the
 input was cut into batches.
 
-An event waits as one entry of a map state under its time and its number within that
+An event of a message or conversation waits as one entry of a map state under its time and its number within that
 time, with a timer for the time. Timers of a key fire in time order, so an event is
 written once, read once and removed. What a key carries on is typed state as well: values, and maps
 whose entries are single chunks or turns. Keys are forgotten by a timer in event time.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -200,33 +201,141 @@ def conversation_stream(
 
 
 # -- sessions ----------------------------------------------------------------
+#
+# A request costs too little work for state of its own. Sessions are therefore dealt to a fixed number of groups, and
+# a group's requests are held back, put in order and classified all at once. State is appended: a row of arrays for the
+# requests of a group in a micro-batch, and one for the sessions that they changed.
 
-class _Session(_InOrder):
-    fields = [("kind", "string")]
+SESSION_GROUPS = 256
+# Rows of sessions in a group that are outdated, besides as many as are not, before the state is written anew.
+_OUTDATED = 1_000
+
+
+class _Session(StatefulProcessor):
+    """State: ``waiting`` requests, ``sessions`` that live (of a session's rows the last counts), and the time of the timer
+    that forgets the ones that have run out."""
+
+    columns = ["session_id", "ms", "seq", "unnumbered", "create"]
     output = ["session_id", "seq", "status", "created_ms"]
 
-    def open(self) -> None:
-        self.created = self.handle.getValueState("created", "ms bigint")
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
 
-    def forget(self) -> None:
-        self.created.clear()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState(
+            "waiting", "session_id array<string>, ms array<bigint>, seq array<bigint>, unnumbered array<boolean>, create array<boolean>")
+        self.sessions = handle.getListState("sessions", "session_id array<string>, created array<bigint>, last array<bigint>")
+        self.due = handle.getValueState("due", "ms bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            if len(batch):
+                self.waiting.appendValue(_row(batch[c] for c in self.columns))
+                low = int(batch["ms"].min())
+                first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(first + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Requests before the watermark are final: a later one would come late."""
+        now, at = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        due = self.due.get()[0] if self.due.exists() else None
+        if due == at:
+            self.due.clear()
+        held = list(self.waiting.get())
+        requests = pd.DataFrame({c: _joined(x[i] for x in held) for i, c in enumerate(self.columns)})
+        ready = requests["ms"] < now
+        if not ready.any() and due != at:
+            return
+        rest = requests[~ready]
+        self.waiting.clear()
+        if len(rest):
+            self.waiting.appendValue(_row(rest[c] for c in self.columns))
+            self.handle.registerTimer(int(rest["ms"].min()) + 1)
+        stored = list(self.sessions.get())
+        known = pd.DataFrame({c: _joined(x[i] for x in stored) for i, c in enumerate(["session_id", "created", "last"])})
+        n_stored = len(known)
+        known = known.drop_duplicates("session_id", keep="last")
+        rows, changed = classified(requests[ready], known, self.keep_ms)
+        every = pd.concat([known[~known["session_id"].isin(changed["session_id"])], changed]) if len(changed) else known
+        every, changed = (x[x["last"] + self.keep_ms >= now] for x in (every, changed))  # requests that wait are not older
+        if n_stored + len(changed) > 2 * len(every) + _OUTDATED or len(stored) > 16 or not len(every):
+            self.sessions.clear()
+            changed = every
+        if len(changed):
+            self.sessions.appendValue(_row(changed[c] for c in ["session_id", "created", "last"]))
+        if len(every) and (due is None or due == at):
+            runs_out = int(every["last"].min()) + self.keep_ms + 1
+            self.due.update((runs_out,))
+            self.handle.registerTimer(runs_out)
+        if len(rows):
+            yield rows
+
+    def close(self) -> None:
+        pass
 
-    def apply(self, key: str, ms: int, seq: int, kind: str) -> list[tuple]:
-        created = self.created.get()[0] if self.created.exists() else None
-        status = "new" if kind == "create" else "invalid" if created is None else "valid"
-        if kind == "create" and created is None:
-            created = ms
-            self.created.update((ms,))
-        if created is not None:
-            self.remember(ms)
-        return [(key, seq, status, created)]
 
+def _row(columns: Iterator[pd.Series]) -> tuple:
+    """Columns as arrays of one row. Only ids may be null."""
+    return tuple([None if pd.isna(x) else x for x in c] if c.dtype == object else c.tolist() for c in columns)
 
-def session_stream(requests: DataFrame, delay: str = "10 minutes", keep_days: int = SESSION_DAYS) -> DataFrame:
+
+def _joined(lists: Iterator[list]) -> pd.Series:
+    values = [x for part in lists for x in part]
+    return pd.Series(values, dtype=object if None in values or not values or isinstance(values[0], str) else None)
+
+
+def classified(requests: pd.DataFrame, known: pd.DataFrame, keep_ms: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Status and start of the session for each request, and the sessions ``(session_id, created, last)`` after them.
+
+    ``requests`` is ``(session_id, ms, seq, unnumbered, create)`` in any order, ``known`` the sessions before them. Requests of a
+    session with no pause longer than ``keep_ms`` between them are one run, and in a run all after its first creation
+    are accepted: see ``conversation.session_fold``. A known session is a creation at its last time.
+    """
+    n, m = len(known), len(requests)
+    name = np.concatenate([known["session_id"].to_numpy(object), requests["session_id"].to_numpy(object)])
+    codes, names = pd.factorize(name, use_na_sentinel=False)
+    ms = np.concatenate([known["last"].to_numpy(np.int64), requests["ms"].to_numpy(np.int64)])
+    start = np.concatenate([known["created"].to_numpy(np.int64), requests["ms"].to_numpy(np.int64)])
+    create = np.concatenate([np.ones(n, bool), requests["create"].to_numpy(bool)])
+    fresh = np.arange(n + m) >= n
+    seq = np.concatenate([np.zeros(n, np.int64), requests["seq"].to_numpy(np.int64)])
+    empty = np.concatenate([np.zeros(n, bool), requests["unnumbered"].to_numpy(bool)])
+    order = np.lexsort((seq, empty, fresh, ms, codes))
+    codes, ms, start, create, fresh = codes[order], ms[order], start[order], create[order], fresh[order]
+    opens = np.ones(n + m, bool)  # the first of a run
+    opens[1:] = (codes[1:] != codes[:-1]) | (ms[1:] - ms[:-1] > keep_ms)
+    run = np.cumsum(opens) - 1
+    place = np.arange(n + m)
+    first = np.full(run[-1] + 1 if n + m else 0, n + m)
+    np.minimum.at(first, run[create], place[create])
+    lives = place >= first[run]
+    created = start[np.minimum(first[run], n + m - 1)] if n + m else start
+    status = np.where(create, "new", np.where(lives, "valid", "invalid"))
+    ids = np.asarray(names, object)[codes]
+    out = pd.DataFrame({"session_id": ids, "seq": pd.array(seq[order], "Int64"), "status": status, "created_ms": pd.array(created, "Int64")})
+    out.loc[empty[order], "seq"] = pd.NA
+    out.loc[~lives, "created_ms"] = pd.NA
+    ends = np.append(codes[1:] != codes[:-1], True) & lives if n + m else lives
+    after = pd.DataFrame({"session_id": ids[ends], "created": created[ends], "last": ms[ends]})
+    touched = np.isin(codes[ends], codes[fresh])
+    return out[fresh], after[touched]
+
+
+def session_stream(
+    requests: DataFrame, delay: str = "10 minutes", keep_days: int = SESSION_DAYS, groups: int = SESSION_GROUPS
+) -> DataFrame:
     """Status of each request of a session: new, valid or invalid; the batch form is ``conversation.session_fold``.
 
     ``requests`` is ``(session_id, seq, kind, ts)``, kind ``create`` or ``touch``. Every accepted
-    request moves the expiry on.
+    request moves the expiry on. A task holds the waiting requests and living sessions of one of ``groups`` groups at a
+    time; their number belongs to the state and can't change while a checkpoint is used.
     """
-    return _applied(requests, "session_id", delay, _Session(keep_days * DAY_MS),
-                    "session_id string, seq bigint, status string, created_ms bigint")
+    stamped = requests.withWatermark("ts", delay).where(F.col("ts").isNotNull()).select(
+        F.pmod(F.xxhash64("session_id"), F.lit(groups)).alias("group"), "ts", "session_id", F.unix_millis("ts").alias("ms"),
+        F.coalesce(F.col("seq").cast("bigint"), F.lit(0)).alias("seq"), F.col("seq").isNull().alias("unnumbered"), F.coalesce(F.col("kind") == "create", F.lit(False)).alias("create"))
+    return stamped.groupBy("group").transformWithStateInPandas(
+        _Session(keep_days * DAY_MS), "session_id string, seq bigint, status string, created_ms bigint", "Append", "EventTime")
