@@ -253,3 +253,31 @@ def test_a_write_leaves_no_intermediate_tables(spark):
     index.rebuild_sparse(spark, "t_left")
     assert staged() == before and index.open_points(spark, "t_left").count() == 2
     store.drop_index(spark, "t_left")
+
+
+def test_stored_postings_are_small_and_score_as_flat_ones(spark, monkeypatch):
+    """Best lists of a stored index in three segments, with replaced points, ties, a null id and queries in several groups,
+    equal those over all points; postings have a row for each term and block, not for each document."""
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.8)) % 200}" for _ in range(40_000)]
+    texts = [" ".join(words[i * 20:i * 20 + rng.choice([0, 1, 5, 20])]) for i in range(1_500)]
+    rows = {f"p{i}": t for i, t in enumerate(texts)}
+    index.write_index(spark, "t_small", _points(spark, list(rows.items()) + [(None, "w1 w2 w3")]), parts=3)
+    for i in range(2):
+        change = {f"p{j}": texts[(j * 7 + i) % 1_500] for j in range(i * 50, i * 50 + 200)} | {f"n{i}": "w1 w2"}
+        rows |= change
+        index.write_index(spark, "t_small", _points(spark, list(change.items())), recreate=False)
+    q = spark.createDataFrame([(i, " ".join(rng.choices(words, k=4))) for i in range(40)] + [(98, "nothing here"), (99, "")], "q int, text string")
+    held = index.open_sparse(spark, "t_small")
+    whole = index.SparseIndex.of(_points(spark, list(rows.items()) + [(None, "w1 w2 w3")]), "id", "page_content")
+    for k, most in ((1, 4_096), (10, 4_096), (3_000, 4_096), (10, 7)):
+        monkeypatch.setattr(Q, "_SCORE_CELLS", 128 * 42 * (1 if k < 100 else 5))
+        live = held.docs.join(held.dead, ["block", "no"], "left_anti")
+        got = Q.packed_topk(q, held.packed, live, held.n_docs, ["q"], k, held.terms, max_queries=most)
+        want = whole.topk(q, ["q"], k)
+        assert sorted((r.q, r["rank"], str(r.doc_id), round(r.score, 9)) for r in got.collect()) == sorted(
+            (r.q, r["rank"], str(r.doc_id), round(r.score, 9)) for r in want.collect())
+    by_term = {t: round(w, 6) for t, w in held.weights(named=False).groupBy("term").agg(F.sum("weight")).collect()}
+    assert by_term == {t: round(w, 6) for t, w in whole.weights().groupBy("term").agg(F.sum("weight")).collect()}
+    assert held.packed.count() < 0.25 * whole.postings.count()
+    store.drop_index(spark, "t_small")

@@ -19,7 +19,7 @@ from threadmine.operators.weights import with_idf
 from threadmine.plans import index as I
 from threadmine.plans import landing, merge
 from threadmine.schemas import PARTITIONS
-from threadmine.session import new_path, stage
+from threadmine.session import new_path, shuffles_removed, stage
 from threadmine.sources import posts as P
 from threadmine.sources.store import drop_index, drop_sorted, scroll_sorted, write_sorted
 
@@ -551,7 +551,8 @@ def _search_stored(spark, sf_dir, name):
     """The keyword list of a stored index, which then goes."""
     asked = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     index = I.open_sparse(spark, name)
-    found = stage(index.topk(asked, ["query_id"], 45), "found")
+    with shuffles_removed(spark):
+        found = stage(index.topk(asked, ["query_id"], 45), "found")
     drop_index(spark, name)
     return found.select("query_id", "rank", "doc_id", T.r6("score").alias("score"))
 
@@ -568,7 +569,8 @@ def index_search(spark, sf_dir):
 def index_incremental(spark, sf_dir):
     """The same in two writes: all points but some posts' comments, then those and new texts of the same posts."""
     name = f"ix_{uuid.uuid4().hex}"
-    points = stage(I.index_rows(T.posts(spark, sf_dir), _reply_rows(spark, sf_dir)), "points")
+    with shuffles_removed(spark):
+        points = stage(I.index_rows(T.posts(spark, sf_dir), _reply_rows(spark, sf_dir)), "points", "zstd")
     again = F.col("post_id").endswith("3")
     changed = F.when(F.col("type") == "post", F.concat("page_content", F.lit(" benchmark"))).otherwise(F.col("page_content"))
     I.write_index(spark, name, points.where(~again | (F.col("type") == "post")), parts=64)
@@ -602,9 +604,10 @@ def rebuild_sparse(spark, sf_dir):
     I.write_index(spark, name, B.newest_per_key(new, ["id"], F.struct("score")), recreate=False)
     I.rebuild_sparse(spark, name)
     index = I.open_sparse(spark, name)
-    total = index.weights().groupBy("term").agg(T.r6(F.sum("weight")).alias("total_weight"))
-    found = stage(with_idf(index.terms, index.n_docs).withColumn("idf", T.r6("idf")).join(total, "term").select(
-        "term", "df", "idf", "total_weight"), "weights")
+    total = index.weights(named=False).groupBy("term").agg(T.r6(F.sum("weight")).alias("total_weight"))
+    with shuffles_removed(spark):
+        found = stage(with_idf(index.terms, index.n_docs).withColumn("idf", T.r6("idf")).join(total, "term").select(
+            "term", "df", "idf", "total_weight"), "weights")
     drop_index(spark, name)
     return found
 

@@ -18,7 +18,7 @@ from threadmine.operators import rerank as R
 from threadmine.operators import search as Q
 from threadmine.operators import weights as W
 from threadmine.plans import evaluation, index, retrieval
-from threadmine.session import stage
+from threadmine.session import shuffles_removed, stage
 from threadmine.sources.store import drop_index
 
 KEYS = ["query_id", "variant"]
@@ -126,17 +126,18 @@ def index_hybrid(spark, sf_dir):
     """The same on a stored index of texts and their vectors that was written in two versions, the second one twice."""
     name = f"ix_{uuid.uuid4().hex}"
     points = stage(T.docs(spark, sf_dir).join(T.vectors(spark, sf_dir), ["doc_id"], "left").select(
-        F.col("doc_id").alias("id"), F.col("doc_id").alias("post_id"), F.col("text").alias("page_content"), "vector"), "points")
+        F.col("doc_id").alias("id"), F.col("doc_id").alias("post_id"), F.col("text").alias("page_content"), "vector"), "points", "zstd")
     later = F.pmod("id", F.lit(3)) == 0
     stale = F.when(F.pmod("id", F.lit(6)) == 0, F.lit("an older text")).otherwise(F.col("page_content"))
     index.write_index(spark, name, points.where(~later | (F.pmod("id", F.lit(6)) == 0)).withColumn("page_content", stale), parts=16)
     for _ in range(2):
         index.write_index(spark, name, points.where(later), recreate=False, batch="second")
     held = index.open_points(spark, name)
-    hits = retrieval.hybrid_search(
-        T.queries(spark, sf_dir), held.select(F.col("id").alias("doc_id"), F.col("page_content").alias("text")),
-        held.where("vector IS NOT NULL").select(F.col("id").alias("doc_id"), "vector"), KEYS, index=index.open_sparse(spark, name))
-    found = stage(hits.select(*KEYS, "rank", "doc_id", T.r6("score").alias("score"), F.md5("text").alias("text_id")), "hits")
+    with shuffles_removed(spark):
+        hits = retrieval.hybrid_search(
+            T.queries(spark, sf_dir), held.select(F.col("id").alias("doc_id"), F.col("page_content").alias("text")),
+            held.where("vector IS NOT NULL").select(F.col("id").alias("doc_id"), "vector"), KEYS, index=index.open_sparse(spark, name))
+        found = stage(hits.select(*KEYS, "rank", "doc_id", T.r6("score").alias("score"), F.md5("text").alias("text_id")), "hits")
     drop_index(spark, name)
     return found
 

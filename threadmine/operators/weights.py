@@ -69,14 +69,13 @@ def with_idf(frequency: DataFrame, n_docs: Column) -> DataFrame:
     return frequency.withColumn("idf", idf(F.col("df"), n_docs))
 
 
-def tfidf(post: DataFrame, n_docs: Column, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``(doc_id, term, weight)`` with weight ``tf / doc_len * idf``.
+def with_frequency(rows: DataFrame, terms: DataFrame, spread_by: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` with the frequency of their ``term``, from ``(term, df)``; the order of the columns may change.
 
-    Most postings belong to the most frequent terms, which are broadcast, up to ``max_rows``; where the other terms are
-    those of a single document, their frequency is known. Only postings of terms between the two are shuffled, and none
-    of these is frequent. ``post`` is read twice, or three times where there are such terms.
+    Most rows belong to the most frequent terms, which are broadcast, up to ``max_rows``; where the other terms are
+    those of a single document, their frequency is known. Only rows of terms between the two are shuffled, and none
+    of these is frequent. ``rows`` are read once, or twice where there are such terms.
     """
-    terms = stage(document_frequency(post), "frequency")
     # Terms by frequency, a row for each frequency: there are at most sqrt(2 * postings) of them.
     above = Window.orderBy(F.col("df").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     by_df = terms.groupBy("df").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.sum("n").over(above))
@@ -84,14 +83,22 @@ def tfidf(post: DataFrame, n_docs: Column, max_rows: int = BROADCAST_ROWS) -> Da
     largest = terms.agg(F.max("df")).first()[0] or 1
     least = largest + 1 if least is None else least
     between = terms.where((F.col("df") > 1) & (F.col("df") < least))
-    marked = post.join(F.broadcast(terms.where(F.col("df") >= least)), "term", "left")
-    if not between.isEmpty():
-        # The largest frequency of the rest may be high where nothing could be broadcast.
-        rest = salted_join(marked.where(F.col("df").isNull()).drop("df"), terms.where(F.col("df") < least), ["term"], ["doc_id"])
-        marked = marked.where(F.col("df").isNotNull()).unionByName(rest.select(*marked.columns))
-    else:
-        marked = marked.withColumn("df", F.coalesce("df", F.lit(1)))
-    return marked.select("doc_id", "term", (F.col("tf") / F.col("doc_len") * idf(F.col("df"), n_docs)).alias("weight"))
+    marked = rows.join(F.broadcast(terms.where(F.col("df") >= least)), "term", "left")
+    if between.isEmpty():
+        return marked.withColumn("df", F.coalesce("df", F.lit(1)))
+    # The largest frequency of the rest may be high where nothing could be broadcast.
+    rest = salted_join(marked.where(F.col("df").isNull()).drop("df"), terms.where(F.col("df") < least), ["term"], spread_by)
+    return marked.where(F.col("df").isNotNull()).unionByName(rest.select(*marked.columns))
+
+
+def tfidf(post: DataFrame, n_docs: Column, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``(doc_id, term, weight)`` with weight ``tf / doc_len * idf``; ``post`` is read twice or three times (see ``with_frequency``)."""
+    marked = with_frequency(post, stage(document_frequency(post), "frequency"), ["doc_id"], max_rows)
+    return marked.select("doc_id", "term", weight(n_docs).alias("weight"))
+
+
+def weight(n_docs: Column) -> Column:
+    return F.col("tf") / F.col("doc_len") * idf(F.col("df"), n_docs)
 
 
 def vocabulary(post: DataFrame) -> DataFrame:

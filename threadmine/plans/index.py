@@ -18,8 +18,9 @@ from threadmine.operators import search as Q
 from threadmine.operators import weights as W
 from threadmine.operators.bloom import bloom_anti_join, bloom_semi_join
 from threadmine.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_posts
+from threadmine.operators.packed import listed, packets
 from threadmine.operators.tables import newest_per_key, upsert
-from threadmine.session import discard_staged, ship_package, stage, staged
+from threadmine.session import discard_staged, ship_package, shuffles_removed, stage, staged
 from threadmine.sources import store
 
 
@@ -51,14 +52,17 @@ _DOCS_OF_TASK = 10_000
 class SparseIndex:
     """Postings, term statistics and the number of documents, empty ones included.
 
-    ``parts`` is the number of term partitions of stored postings, ``bounds`` their greatest weights by block.
+    Of a stored index ``parts`` is the number of term partitions, ``packed`` has the postings as they are stored (see
+    ``operators.packed``) and ``docs`` the ids ``(block, no, doc_id)`` of all documents in them; ``dead`` are those replaced, if any.
     """
 
     postings: DataFrame
     terms: DataFrame
     n_docs: Column
     parts: int | None = None
-    bounds: DataFrame | None = None
+    packed: DataFrame | None = None
+    docs: DataFrame | None = None
+    dead: DataFrame | None = None
 
     @staticmethod
     def of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> SparseIndex:
@@ -70,24 +74,31 @@ class SparseIndex:
         return SparseIndex(post, W.document_frequency(post), F.lit(n))
 
     def topk(self, queries: DataFrame, keys: list[str], k: int, bounded: bool | None = None) -> DataFrame:
-        """Best ``k`` documents of each query by sparse score; of stored postings only the blocks that may hold them."""
-        if self.bounds is None:
+        """Best ``k`` documents of each query by sparse score; stored postings are scored block by block."""
+        if self.packed is None:
             return Q.ranked(Q.sparse_scores(queries, self.postings, self.n_docs, keys, self.terms, bounded=bounded), keys, k)
-        return Q.pruned_topk(queries, self.postings_for(queries), self.bounds, self.n_docs, keys, k, self.terms, bounded)
+        live = self.docs if self.dead is None else self.docs.join(self.dead, _DOC, "left_anti")
+        return Q.packed_topk(queries, self._asked(queries, self.packed), live, self.n_docs, keys, k, self.terms)
 
     def postings_for(self, queries: DataFrame, text: str = "text") -> DataFrame:
-        """The postings, of stored ones only the partitions with a term that ``queries`` ask for.
+        """The postings, of stored ones only the partitions with a term that ``queries`` ask for."""
+        return self.postings if self.parts is None else self._asked(queries, self.postings, text)
 
-        The driver collects partition numbers, ``parts`` of them at most.
-        """
-        if self.parts is None:
-            return self.postings
+    def _asked(self, queries: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
+        """The driver collects partition numbers, ``parts`` of them at most."""
         term = F.explode(tokenize_sparse(F.col(text))).alias("term")
         asked = queries.select(term).select(store.part_of(F.col("term"), self.parts)).distinct().collect()
-        return self.postings.where(F.col("term_part").isin([r.term_part for r in asked]))
+        return rows.where(F.col("term_part").isin([r.term_part for r in asked]))
 
-    def weights(self) -> DataFrame:
-        return W.tfidf(self.postings, self.n_docs)
+    def weights(self, named: bool = True) -> DataFrame:
+        """``(doc_id, term, weight)``. Of a stored index ``named=False`` gives (block, no) for ``doc_id``, without looking it up."""
+        if self.packed is None:
+            return W.tfidf(self.postings, self.n_docs)
+        post = listed(W.with_frequency(self.packed, self.terms, ["block"]))
+        if self.dead is not None:
+            post = post.join(self.dead, _DOC, "left_anti")
+        weights = post.select(*_DOC, "term", W.weight(self.n_docs).alias("weight"))
+        return weights.join(self.docs, _DOC).select("doc_id", "term", "weight") if named else weights
 
 
 def index_rows(
@@ -107,8 +118,12 @@ def one_per_id(points: DataFrame) -> DataFrame:
     return newest_per_key(points, ["id"], place)
 
 
-# Segments from which on a write is merged with all before it, and documents of a block, about.
-MAX_SEGMENTS, BLOCK_DOCS = 8, 128
+# Segments from which on a write is merged with all before it.
+MAX_SEGMENTS = 8
+# Columns of stored postings that name a document.
+_DOC = ["block", "no"]
+# Points and what is made from their texts are compressed well.
+_CODEC = "zstd"
 
 
 def write_index(
@@ -127,54 +142,66 @@ def write_index(
     if manifest is not None and batch is not None and batch in manifest["batches"]:
         return
     mark = staged()
-    points = stage(one_per_id(points), "points")
-    if recreate or manifest is None:
-        _commit_whole(spark, name, points, manifest, parts, batch)
-    elif len(manifest["segments"]) >= MAX_SEGMENTS:
-        whole = stage(upsert(open_points(spark, name), points, ["id"]), "points")
-        _commit_whole(spark, name, whole, manifest, manifest["parts"], batch)
-    else:
-        _commit_segment(spark, name, points, manifest, batch)
+    with shuffles_removed(spark):
+        if recreate or manifest is None:
+            _commit_whole(spark, name, one_per_id(points), manifest, parts, batch)
+        elif len(manifest["segments"]) >= MAX_SEGMENTS:
+            points = stage(one_per_id(points), "points", _CODEC)
+            _commit_whole(spark, name, upsert(open_points(spark, name), points, ["id"]), manifest, manifest["parts"], batch)
+        else:
+            _commit_segment(spark, name, one_per_id(points), _current(manifest, name), batch)
     discard_staged(spark, mark)  # all of it stands in the tables now
 
 
 def _commit_segment(spark: SparkSession, name: str, points: DataFrame, manifest: dict, batch: str | None) -> None:
-    gone = stage(bloom_semi_join(open_points(spark, name).select("id"), points, ["id"]).select(F.col("id").alias("doc_id")), "gone")
-    new = stage(W.postings(points, "id", "page_content"), "postings")
-    count = F.count(F.lit(1))
-    old = bloom_semi_join(_live(spark, manifest, "postings", "doc_id"), gone, ["doc_id"])
-    change = new.groupBy("term").agg(count.alias("df")).unionByName(old.groupBy("term").agg((-count).alias("df"))).groupBy(
+    segment, points = _write_points(spark, name, points)
+    version = manifest["version"] + 1
+    _write_postings(points, segment, manifest["parts"], version)
+    gone = stage(bloom_semi_join(open_points(spark, name).select("id", "page_content"), points, ["id"]), "gone", _CODEC)
+    terms = gone.select(F.explode(F.array_distinct(tokenize_sparse(F.col("page_content")))).alias("term"))
+    change = _frequency(spark, segment).unionByName(terms.groupBy("term").agg((-F.count(F.lit(1))).alias("df"))).groupBy(
         "term").agg(F.sum("df").alias("df")).where("df <> 0")
-    segment = _write_segment(points, new, change, name, manifest["parts"], manifest["buckets"])
+    change.write.saveAsTable(segment["terms"])
     store.commit(spark, name, {
-        "version": manifest["version"] + 1, "parts": manifest["parts"], "buckets": manifest["buckets"],
+        "version": version, "layout": store.LAYOUT, "parts": manifest["parts"],
         "n": manifest["n"] + points.count() - gone.count(), "segments": [*manifest["segments"], segment]}, batch)
 
 
-def _write_segment(points: DataFrame, postings: DataFrame, terms: DataFrame, name: str, parts: int, buckets: int) -> dict:
+def _write_points(spark: SparkSession, name: str, points: DataFrame) -> tuple[dict, DataFrame]:
+    """A new segment with its table of points, which other tables are made from; none is read before the commit."""
     segment = {kind: f"{name}_segment_{uuid4().hex}_{kind}" for kind in store.KINDS}
-    points.write.saveAsTable(segment["points"])
-    store.write_by_term(Q.with_blocks(postings, buckets), segment["postings"], parts)
-    Q.block_bounds(points.sparkSession.table(segment["postings"])).write.saveAsTable(segment["bounds"])
-    terms.write.saveAsTable(segment["terms"])
-    return segment
+    points.write.option("compression", _CODEC).saveAsTable(segment["points"])
+    return segment, spark.table(segment["points"])
+
+
+def _write_postings(points: DataFrame, segment: dict, parts: int | None, version: int) -> int:
+    """Write the segment's postings and their documents; the number of partitions."""
+    made = stage(packets(points, "id", "page_content", store.lanes_for(parts), version), "packets")
+    rows = made.where(F.col("packet").isNotNull())
+    parts = parts or store.parts_for(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    store.write_by_term(rows.select("lane", "packet"), segment["postings"], parts)
+    made.where(F.col("packet").isNull()).select(*_DOC, "doc_id").write.option("compression", _CODEC).saveAsTable(segment["docs"])
+    return parts
+
+
+def _frequency(spark: SparkSession, segment: dict) -> DataFrame:
+    return spark.table(segment["postings"]).groupBy("term").agg(F.sum(F.size("list").cast("bigint")).alias("df"))
 
 
 def _commit_whole(spark: SparkSession, name: str, points: DataFrame, manifest: dict | None, parts: int | None, batch: str | None) -> None:
-    """``points`` are read several times."""
-    post = stage(W.postings(points, "id", "page_content"), "postings")
-    parts = parts or store.parts_for(post.count())
-    n = points.count()
-    buckets = max(1, n // (8 * BLOCK_DOCS))
-    segment = _write_segment(points, post, W.document_frequency(post), name, parts, buckets)
+    segment, points = _write_points(spark, name, points)
     version = manifest["version"] + 1 if manifest else 1
-    store.commit(spark, name, {"version": version, "parts": parts, "buckets": buckets, "n": n, "segments": [segment]}, batch)
+    parts = _write_postings(points, segment, parts, version)
+    _frequency(spark, segment).write.saveAsTable(segment["terms"])
+    store.commit(spark, name, {
+        "version": version, "layout": store.LAYOUT, "parts": parts, "n": points.count(), "segments": [segment]}, batch)
 
 
 def rebuild_sparse(spark: SparkSession, name: str, parts: int | None = None) -> None:
     """Make postings and term statistics again from the stored texts, as one segment; dense vectors stay as they are."""
     mark = staged()
-    _commit_whole(spark, name, stage(open_points(spark, name), "points"), _manifest(spark, name), parts, None)
+    with shuffles_removed(spark):
+        _commit_whole(spark, name, open_points(spark, name), _manifest(spark, name), parts, None)
     discard_staged(spark, mark)
 
 
@@ -185,28 +212,38 @@ def _manifest(spark: SparkSession, name: str) -> dict:
     return manifest
 
 
-def _live(spark: SparkSession, manifest: dict, kind: str, key: str) -> DataFrame:
-    """Rows of all segments, but for those of points that a later segment holds too."""
-    parts, segments = [], manifest["segments"]
-    for i, segment in enumerate(segments):
-        rows = spark.table(segment[kind])
-        later = [spark.table(s["points"]).select(F.col("id").alias(key)) for s in segments[i + 1:]]
-        parts.append(bloom_anti_join(rows, reduce(DataFrame.unionByName, later), [key]) if later else rows)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def _current(manifest: dict, name: str) -> dict:
+    if manifest.get("layout") != store.LAYOUT:
+        raise ValueError(f"the postings of index {name} have an older layout; rebuild_sparse makes them again")
+    return manifest
+
+
+def _later(spark: SparkSession, segments: list[dict], key: str = "id") -> DataFrame:
+    """Ids of the points of some segments."""
+    return reduce(DataFrame.unionByName, [spark.table(s["points"]).select(F.col("id").alias(key)) for s in segments])
 
 
 def open_points(spark: SparkSession, name: str) -> DataFrame:
-    return _live(spark, _manifest(spark, name), "points", "id")
+    """Points of all segments, but for those that a later segment holds too."""
+    segments, parts = _manifest(spark, name)["segments"], []
+    for i, segment in enumerate(segments):
+        rows = spark.table(segment["points"])
+        parts.append(bloom_anti_join(rows, _later(spark, segments[i + 1:]), ["id"]) if segments[i + 1:] else rows)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def open_sparse(spark: SparkSession, name: str) -> SparseIndex:
-    manifest = _manifest(spark, name)
-    counts = reduce(DataFrame.unionByName, [spark.table(s["terms"]) for s in manifest["segments"]])
-    bounds = reduce(DataFrame.unionByName, [spark.table(s["bounds"]) for s in manifest["segments"]])
-    if len(manifest["segments"]) > 1:
+    manifest = _current(_manifest(spark, name), name)
+    segments = manifest["segments"]
+    counts = reduce(DataFrame.unionByName, [spark.table(s["terms"]) for s in segments])
+    if len(segments) > 1:
         counts = counts.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-        bounds = bounds.groupBy("term", "block").agg(F.max("most").alias("most"))  # of replaced points too: still bounds
-    return SparseIndex(_live(spark, manifest, "postings", "doc_id"), counts, F.lit(manifest["n"]), manifest["parts"], bounds)
+    packed, docs = ([spark.table(s[kind]) for s in segments] for kind in ("postings", "docs"))
+    gone = [bloom_semi_join(rows, _later(spark, segments[i + 1:], "doc_id"), ["doc_id"]).select(*_DOC) for i, rows in enumerate(docs[:-1])]
+    live = [rows.join(out, _DOC, "left_anti") for rows, out in zip(docs, gone)] + docs[-1:]
+    post = [listed(rows).join(named, _DOC).select("doc_id", "doc_len", "term", "tf", "block", "term_part") for rows, named in zip(packed, live)]
+    every = [reduce(DataFrame.unionByName, x) if x else None for x in (post, packed, docs, gone)]
+    return SparseIndex(every[0], counts, F.lit(manifest["n"]), manifest["parts"], *every[1:])
 
 
 def index_totals(posts: DataFrame, points: DataFrame) -> DataFrame:

@@ -54,20 +54,32 @@ def build_session(app_name: str = "threadmine", master: str | None = None, **con
 
 
 @contextmanager
-def typed_state(spark: SparkSession) -> Iterator[None]:
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """What is run in here has these settings of the session, which then gets its own back."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def typed_state(spark: SparkSession):
     """Streaming queries started in here keep their state in RocksDB, whatever the session is set to.
 
     Typed state needs it. A query copies the settings of its session when it starts, so the session gets its own back.
     """
-    before = spark.conf.get(_STATE_STORE, None)
-    spark.conf.set(_STATE_STORE, DEFAULTS[_STATE_STORE])
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_STATE_STORE)
-        else:
-            spark.conf.set(_STATE_STORE, before)
+    return settings(spark, {_STATE_STORE: DEFAULTS[_STATE_STORE]})
+
+
+def shuffles_removed(spark: SparkSession):
+    """What is run in here leaves no shuffle files; else they stay until the driver happens to collect its garbage."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -108,15 +120,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+def stage(df: DataFrame, label: str = "stage", codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors and, unlike a checkpoint,
-    keeps column pruning and filter pushdown for what is read from it.
+    keeps column pruning and filter pushdown for what is read from it. ``codec``: compression other than the session's.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,10 +7,13 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmine.session import stage
+from threadmine.operators.packed import unpacked
+from threadmine.session import settings, stage
 
 # Postings of one partition, and the most partitions of a table.
 ROWS_PER_PART, MAX_PARTS = 20_000_000, 50_000
+# Lanes that a task's postings are cut to.
+MAX_LANES = 64
 
 
 def create_index(spark: SparkSession, name: str, schema: str, force: bool = False) -> None:
@@ -26,14 +29,7 @@ def delete_index(spark: SparkSession, name: str) -> None:
 
 def part_of(term: Column, parts: int) -> Column:
     """Partition of a term in a table of ``parts`` partitions."""
-    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int").alias("term_part")
-
-
-def _laid_out(postings: DataFrame, parts: int) -> DataFrame:
-    """Postings in the order of the table; a frequent term is spread over several files of its partition."""
-    columns = [c for c in postings.columns if c != "term_part"]
-    return postings.select(*columns, part_of(F.col("term"), parts)).hint(
-        "rebalance", F.col("term_part")).sortWithinPartitions("term_part", *[c for c in ("block", "term", "doc_id") if c in columns])
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(parts)).cast("int").alias("term_part")
 
 
 def parts_for(rows: int) -> int:
@@ -41,12 +37,22 @@ def parts_for(rows: int) -> int:
     return max(1, min(MAX_PARTS, -(-rows // ROWS_PER_PART)))
 
 
-def write_by_term(postings: DataFrame, name: str, parts: int) -> None:
-    """Write a table of postings, partitioned by a hash of the term and sorted by block and term within its files.
+def lanes_for(parts: int | None) -> int:
+    """Lanes that packets of postings are dealt to, before or after the number of partitions is known."""
+    return min(parts or MAX_LANES, MAX_LANES)
+
+
+def write_by_term(packets: DataFrame, name: str, parts: int) -> None:
+    """Write a table of postings from their packets ``(lane, packet)``, partitioned by a hash of the term.
 
-    A search reads the partitions of the terms it asks for and no others.
+    A search reads the partitions of the terms it asks for and no others. A frequent term is spread over several
+    files of its partition; in a file the blocks of one packet stand together.
     """
-    _laid_out(postings, parts).write.mode("overwrite").partitionBy("term_part").saveAsTable(name)
+    dealt = packets.select(F.pmod("lane", F.lit(parts)).alias("lane"), "packet").hint("rebalance", F.col("lane"))
+    rows = unpacked(dealt)
+    with settings(packets.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": "64"}):  # no sort by partition
+        rows.select(*rows.columns, part_of(F.col("term"), parts)).write.mode("overwrite").option(
+            "compression", "zstd").partitionBy("term_part").saveAsTable(name)
 
 
 # -- seen posts ------------------------------------------------------------------
@@ -108,11 +114,12 @@ def compact_seen(spark: SparkSession, name: str, now: Column) -> None:
 
 # -- versions of an index ------------------------------------------------------
 #
-# An index is a list of segments, each with tables of points, postings, changes in term counts, and greatest weights.
+# An index is a list of segments, each with tables of points, postings, their documents, and changes in term counts.
 # The list stands in one property of a small table, so it changes in one step: a reader sees all of a write or
 # nothing, and tables of a write that ended early are never read.
 
-KINDS = ("points", "postings", "terms", "bounds")
+KINDS = ("points", "postings", "docs", "terms")
+LAYOUT = 2  # of the postings
 _PROPERTY = "manifest"
 KEPT_BATCHES = 1_000
 
@@ -138,7 +145,7 @@ def commit(spark: SparkSession, name: str, manifest: dict, batch: str | None = N
 
 
 def segment_tables(segment: dict) -> list[str]:
-    return [segment[kind] for kind in KINDS]
+    return list(segment.values())
 
 
 def vacuum(spark: SparkSession, name: str) -> list[str]:
